@@ -45,15 +45,15 @@ def row_batches(rows: DataFrame, batch_size: int, seq: str = "seq") -> DataFrame
     """Add ``batch_id``, ``pos`` and ``batch_n``: consecutive rows, the last batch may be short."""
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
-    numbered = number_rows(rows, seq, "__idx", total="__total")
+    numbered = number_rows(rows, seq, "__idx", total="__rows")
     return numbered.withColumns(
         {
             "batch_id": F.expr(f"__idx div {batch_size}"),
             "pos": (F.col("__idx") % batch_size).cast("int"),
         }
     ).withColumn(
-        "batch_n", F.least(F.lit(batch_size), F.col("__total") - F.col("batch_id") * batch_size).cast("int")
-    ).drop("__idx", "__total")
+        "batch_n", F.least(F.lit(batch_size), F.col("__rows") - F.col("batch_id") * batch_size).cast("int")
+    ).drop("__idx", "__rows")
 
 
 def plan_summary(plan: Plan) -> str:

@@ -121,8 +121,9 @@ def explode_verdicts(responses: DataFrame, text: str = "text") -> DataFrame:
         .when(index.is_integer(), F.try_variant_get(index.x, "$", "bigint"))
         .alias("idx"),
         is_valid.alias("is_valid"),
-        F.when(has_score, number).when(is_valid, 1.0).otherwise(0.0).alias("score"),
-        F.when(issues.is_array(), texts)
+        F.when(F.col("ord").isNull() | has_score, number).when(is_valid, 1.0).otherwise(0.0).alias("score"),
+        F.when(F.col("ord").isNull(), F.lit(None))
+        .when(issues.is_array(), texts)
         .when(issues.is_string(), F.array(issues.string()))
         .when(has_issues, F.array(F.to_json(issues.x)))
         .otherwise(F.array().cast("array<string>"))
