@@ -9,11 +9,12 @@ from .text import strip
 
 # Fixed patterns: a reasoning block, and the first fenced block of a response.
 THINK_BLOCK = r"(?isu)<think>.*?</think>"
-FENCED_BLOCK = r"(?isu)```(?:json)?(.*?)```"
+FENCED_BLOCK = r"(?isu)^.*?```(?:json)?(.*?)```.*\z"
 FIRST_BRACKET = r"(?s)[\{\[].*"
 
-# Numbers that variant text does not keep apart: 1 and 1.0, or beyond 38 digits.
-_UNSAFE_NUMBER = r"[0-9][.eE]|[0-9]{39}"
+# Where a number may start that variant text does not keep apart: 1 and 1.0, or beyond 38
+# digits. Text values can look the same; they only cost the slower way.
+_UNSAFE_NUMBER = r"(?:^|[:\[,])\s*-?[0-9]+(?:[.eE]|(?<=[0-9]{39}))"
 _STRING_OR_NUMBER = (
     r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
     r"|(-?[0-9]++(?:\.[0-9]++(?:[eE][-+]?[0-9]++)?|[eE][-+]?[0-9]++)|-?[0-9]{39,}+)"
@@ -39,8 +40,7 @@ def with_parsed(df: DataFrame, text: str, into: str) -> DataFrame:
 def clean_response(text: Column) -> Column:
     """Drop reasoning blocks; keep the body of the first fenced block if there is one."""
     cleaned = strip(F.regexp_replace(strip(text), THINK_BLOCK, ""))
-    fenced = strip(F.regexp_extract(cleaned, FENCED_BLOCK, 1))
-    return F.when(cleaned.rlike(FENCED_BLOCK), fenced).otherwise(cleaned)
+    return strip(F.regexp_replace(cleaned, FENCED_BLOCK, "$1"))
 
 
 def from_first_bracket(cleaned: Column) -> Column:

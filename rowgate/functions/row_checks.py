@@ -130,7 +130,7 @@ def _check_array(value: Value, schema: dict, path: tuple, gate: Answer, out: _Is
             _check(item, items, (*path, "[", index.cast("string"), "]"), True, found)
             return found.column()
 
-        out.add_list(gate, F.flatten(value.each(check_item)))
+        out.add_list(gate, F.flatten(value.each(check_item, items.get("type"))))
 
 
 def _check_object(value: Value, schema: dict, path: tuple, gate: Answer, out: _Issues) -> None:

@@ -198,10 +198,19 @@ class VariantValue:
     def size(self) -> Column:
         return F.size(self._get("array<variant>"))
 
-    def each(self, check: Callable[[VariantValue, Column], Column]) -> Column:
-        return F.transform(
+    def each(self, check: Callable[[Any, Column], Column], expected: Any = None) -> Column:
+        """``check`` on every item. Arrays that hold only the expected kind of scalar (and
+        nulls) are checked as typed arrays, which saves a type test per item."""
+        mixed = F.transform(
             self._get("array<variant>"), lambda item, i: check(VariantValue(item), i)
         )
+        typed = {"string": T.StringType(), "integer": T.LongType(), "number": T.LongType()}.get(expected)
+        if typed is None:
+            return mixed
+        kind = "STRING" if expected == "string" else "BIGINT"
+        items = self._get(f"array<{kind}>")
+        alike = F.transform(items, lambda item, i: check(TypedValue(item, typed, True), i))
+        return F.when(self.kind == f"ARRAY<{kind}>", alike).otherwise(mixed)
 
     def child(self, name: str) -> tuple[Answer, VariantValue]:
         quoted = name.replace("\\", "\\\\").replace("'", "\\'")
@@ -322,7 +331,7 @@ class TypedValue:
     def size(self) -> Column:
         return F.size(self.x)
 
-    def each(self, check: Callable[[Any, Column], Column]) -> Column:
+    def each(self, check: Callable[[Any, Column], Column], expected: Any = None) -> Column:
         item_type = self.dtype.elementType
         if isinstance(item_type, T.VariantType):
             return F.transform(self.x, lambda item, i: check(VariantValue(item), i))

@@ -30,12 +30,10 @@ def mark_first(rows: DataFrame, key: str = "key", seq: str = "seq", into: str =
     to one row per task. The mark is joined back on ``seq``, which is unique, so no task
     ever holds all the rows of a key. One shuffle moves whole rows, two move 40 bytes a row.
     """
-    firsts = (
-        rows.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min(seq).alias("__first"))
-        .select("__first", F.lit(True).alias("__mark"))
-    )
+    # rows without a key form a group with a NULL result; a filter instead would be pushed
+    # below the checks and run them twice
+    first = F.min(F.when(F.col(key).isNotNull(), F.col(seq)))
+    firsts = rows.groupBy(key).agg(first.alias("__first")).select("__first", F.lit(True).alias("__mark"))
     marked = rows.join(firsts, rows[seq] == firsts["__first"], "left")
     mark = F.when(F.col(key).isNotNull(), F.coalesce("__mark", F.lit(False)))
     return marked.withColumn(into, mark).drop("__first", "__mark")

@@ -16,25 +16,26 @@ NOT_VERDICTS = "Expected a list of validation results, got "
 INVALID_JSON = "invalid JSON in response"
 
 
+def _parsed(responses: DataFrame, text: str) -> DataFrame:
+    """Add ``__tail``, the cleaned text from its first bracket on, ``v`` and ``reason``."""
+    return (
+        responses.withColumn("__tail", from_first_bracket(clean_response(F.col(text))))
+        .withColumn("v", F.try_parse_json("__tail"))
+        .withColumn(
+            "reason",
+            F.when(F.coalesce("__tail", F.lit("")) == "", "no_payload").when(F.col("v").isNull(), "bad_json"),
+        )
+    )
+
+
 def parse_payload(responses: DataFrame, text: str = "text") -> DataFrame:
     """Add ``span`` (JSON text), ``v`` (VARIANT) and ``reason`` (NULL, ``no_payload``, ``bad_json``).
 
     The payload is the first object or array in the cleaned text. It must parse from its
     first bracket on; text after it is ignored.
     """
-    return (
-        responses.withColumn("__tail", from_first_bracket(clean_response(F.col(text))))
-        .withColumn("v", F.try_parse_json("__tail"))
-        .withColumns(
-            {
-                "span": F.when(F.col("v").isNotNull(), F.get_json_object("__tail", "$")),
-                "reason": F.when(F.coalesce("__tail", F.lit("")) == "", "no_payload").when(
-                    F.col("v").isNull(), "bad_json"
-                ),
-            }
-        )
-        .drop("__tail")
-    )
+    span = F.when(F.col("v").isNotNull(), F.get_json_object("__tail", "$"))
+    return _parsed(responses, text).withColumn("span", span).drop("__tail")
 
 
 def _error(shape_fits: Column, wrong_shape: str) -> Column:
@@ -48,32 +49,28 @@ def _error(shape_fits: Column, wrong_shape: str) -> Column:
 def with_samples(responses: DataFrame, text: str = "text") -> DataFrame:
     """Parse responses that hold rows: an array, or an object with an array ``samples``.
 
-    Adds ``error`` (NULL if the shape fits) and the array ``elements`` of ``(raw, v)``.
+    Adds ``error`` (NULL if the shape fits) and the array ``elements`` of ``(raw, v)``, NULL
+    in refused responses.
     """
-    parsed = parse_payload(responses, text)
-    wrapped = F.try_variant_get("v", "$.samples", "variant")
-    is_list = F.schema_of_variant("v").startswith("ARRAY<")
-    fits = is_list | F.coalesce(F.schema_of_variant(wrapped).startswith("ARRAY<"), F.lit(False))
-    shaped = parsed.withColumns(
+    is_list = F.startswith("__tail", F.lit("["))
+    parsed = _parsed(responses, text).withColumns(
         {
-            "error": _error(fits, NOT_SAMPLES),
-            "span": F.when(is_list, F.col("span")).otherwise(F.get_json_object("span", "$.samples")),
-            "v": F.when(is_list, F.col("v")).otherwise(wrapped),
+            "__list": F.when(is_list, F.col("v")).otherwise(F.try_variant_get("v", "$.samples", "variant")),
+            "__text": F.when(is_list, F.col("__tail")).otherwise(F.get_json_object("__tail", "$.samples")),
         }
     )
-    listed = F.when(F.col("error").isNull(), F.col("v"))
-    return shaped.withColumn("elements", json_elements("span", listed)).drop("span", "v", "reason")
+    fits = is_list | F.coalesce(F.schema_of_variant("__list").startswith("ARRAY<"), F.lit(False))
+    listed = F.when(F.col("reason").isNull() & fits, F.col("__list"))
+    shaped = parsed.withColumns({"error": _error(fits, NOT_SAMPLES), "elements": json_elements("__text", listed)})
+    return shaped.drop("__tail", "__list", "__text", "v", "reason")
 
 
 def with_verdicts(responses: DataFrame, text: str = "text") -> DataFrame:
     """Parse responses that hold a JSON array of verdicts; adds ``error`` and ``verdicts``."""
-    parsed = parse_payload(responses, text)
-    fits = F.schema_of_variant("v").startswith("ARRAY<")
-    return (
-        parsed.withColumn("error", _error(fits, NOT_VERDICTS))
-        .withColumn("verdicts", F.when(F.col("error").isNull(), F.col("v")).cast("array<variant>"))
-        .drop("span", "v", "reason")
-    )
+    fits = F.startswith("__tail", F.lit("["))
+    listed = F.when(F.col("reason").isNull() & fits, F.col("v")).cast("array<variant>")
+    parsed = _parsed(responses, text).withColumns({"error": _error(fits, NOT_VERDICTS), "verdicts": listed})
+    return parsed.drop("__tail", "v", "reason")
 
 
 def explode_samples(responses: DataFrame, text: str = "text", keys: tuple[str, ...] = ("batch_id",)) -> DataFrame:
@@ -81,10 +78,10 @@ def explode_samples(responses: DataFrame, text: str = "text", keys: tuple[str, .
 
     Use ``with_samples`` to see the refused ones.
     """
-    good = with_samples(responses, text).where("error IS NULL")
-    return good.select(*keys, F.posexplode("elements").alias("pos", "e")).select(
-        *keys, "pos", "e.raw", "e.v"
-    )
+    # A filter on ``error``, or the one that an inner explode implies, would be pushed below
+    # the parsing and run it twice; one on ``pos`` stays above the explode.
+    exploded = with_samples(responses, text).select(*keys, F.posexplode_outer("elements").alias("pos", "e"))
+    return exploded.where("pos IS NOT NULL").select(*keys, "pos", "e.raw", "e.v")
 
 
 def explode_verdicts(responses: DataFrame, text: str = "text") -> DataFrame:

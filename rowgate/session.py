@@ -38,14 +38,14 @@ def staging_root(spark: SparkSession) -> str:
     Only a local session that names none gets a temporary folder; on a cluster a
     machine-local folder would be lost with its executor, so that is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="rowgate-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="rowgate-"))
+    return context.getCheckpointDir()
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

@@ -71,8 +71,9 @@ def read_json_array(spark: SparkSession, path: str, mode: str = "failfast") -> D
     problem = F.raise_error(F.concat(F.lit("expected a JSON array in "), F.col("file")))
     element = json_elements("raw", F.when(is_array, F.col("v")).otherwise(problem.cast("variant")))
     rows = parsed.join(positions(spark, files), "file").select(
-        "input_ord", "file_ord", F.posexplode(element).alias("pos", "e")
+        "input_ord", "file_ord", F.posexplode_outer(element).alias("pos", "e")
     )
+    rows = rows.where("pos IS NOT NULL")  # stays above the explode, so files are parsed once
     seq = F.shiftleft(F.col("file_ord"), 40) + F.col("pos")
     return _finish(rows.select(seq.alias("seq"), "input_ord", "e.raw", "e.v"), mode)
 
