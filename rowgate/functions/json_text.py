@@ -12,9 +12,9 @@ THINK_BLOCK = r"(?isu)<think>.*?</think>"
 FENCED_BLOCK = r"(?isu)^.*?```(?:json)?(.*?)```.*\z"
 FIRST_BRACKET = r"(?s)[\{\[].*"
 
-# Where a number may start that variant text does not keep apart: 1 and 1.0, or beyond 38
+# Where a number may stand that variant text does not keep apart: 1 and 1.0, or beyond 38
 # digits. Text values can look the same; they only cost the slower way.
-_UNSAFE_NUMBER = r"(?:^|[:\[,])\s*-?[0-9]+(?:[.eE]|(?<=[0-9]{39}))"
+_UNSAFE_NUMBER = r"[:\[,]\s*-?[0-9]++(?:[.eE]|(?<=[0-9]{39}))"
 _STRING_OR_NUMBER = (
     r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
     r"|(-?[0-9]++(?:\.[0-9]++(?:[eE][-+]?[0-9]++)?|[eE][-+]?[0-9]++)|-?[0-9]{39,}+)"
@@ -70,7 +70,8 @@ def canonical_json(raw: Column, parsed: Column) -> Column:
     marked = F.replace(marked, F.lit(mark * 2), F.lit(""))
     marked = F.regexp_replace(marked, f"{mark}([^{mark}]+){mark}", r'"\\u0001$1"')
     exact = F.to_json(F.try_parse_json(marked))
-    return F.when(raw.rlike(_UNSAFE_NUMBER), exact).otherwise(F.to_json(parsed))
+    is_number = F.ascii(raw).between(ord("0"), ord("9")) | raw.startswith("-")
+    return F.when(is_number | raw.rlike(_UNSAFE_NUMBER), exact).otherwise(F.to_json(parsed))
 
 
 def row_key(canonical: Column) -> Column:

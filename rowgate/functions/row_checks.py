@@ -7,6 +7,7 @@ returns an array of strings in the order in which a person would read the schema
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -24,30 +25,60 @@ def no_issues() -> Column:
 
 
 class _Issues:
-    """Collects optional messages and, for array items, lists of messages."""
+    """Collects optional messages and, for array items and extra keys, lists of messages.
+
+    Messages are built behind one test of all conditions, so a row without issues pays only
+    for those. Lists are concatenated rather than filtered: ``concat`` runs as generated
+    code, while a higher-order function would take every expression inside it out of that.
+    """
 
     def __init__(self) -> None:
-        self._parts: list[Column | list[Column]] = []
+        self._parts: list[Column | list[tuple[Answer, Column]]] = []
 
     def add(self, condition: Answer, message: Column) -> None:
         if condition is False:
             return
-        found = message if condition is True else F.when(condition, message)
         if not self._parts or not isinstance(self._parts[-1], list):
             self._parts.append([])
-        self._parts[-1].append(found)
+        self._parts[-1].append((condition, message))
 
     def add_list(self, condition: Answer, messages: Column) -> None:
-        if condition is False:
-            return
-        self._parts.append(messages if condition is True else F.when(condition, messages).otherwise(no_issues()))
+        if condition is not False:
+            self._parts.append(messages if condition is True else F.when(condition, messages).otherwise(no_issues()))
+
+    @staticmethod
+    def _messages(found: list[tuple[Answer, Column]]) -> Column:
+        if len(found) == 1:
+            return F.array(found[0][1])
+        singles = [(on, F.array(m)) for on, m in found]
+        return F.concat(*[m if on is True else F.when(on, m).otherwise(no_issues()) for on, m in singles])
+
+    @staticmethod
+    def _any(found: list[tuple[Answer, Column]]) -> Answer:
+        return reduce(_either, (condition for condition, _ in found))
 
     def column(self) -> Column:
-        lists = [F.array_compact(F.array(*p)) if isinstance(p, list) else p for p in self._parts]
+        lists = []
+        for part in self._parts:
+            if isinstance(part, list):
+                broken, messages = self._any(part), self._messages(part)
+                part = messages if broken is True else F.when(broken, messages).otherwise(no_issues())
+            lists.append(part)
         if not lists:
             return no_issues()
         return lists[0] if len(lists) == 1 else F.concat(*lists)
 
+    def column_if_any(self) -> Column:
+        """Like ``column``, but NULL instead of an empty list where that is cheap to tell."""
+        if len(self._parts) == 1 and isinstance(self._parts[0], list):
+            broken, messages = self._any(self._parts[0]), self._messages(self._parts[0])
+            return messages if broken is True else F.when(broken, messages)
+        return self.column()
+
+
+def _either(left: Answer, right: Answer) -> Answer:
+    return negate(both(negate(left), negate(right)))
+
 
 def _text(*parts: Any) -> Column:
     """Join literal text and columns, merging neighbouring literals."""
@@ -128,9 +159,9 @@ def _check_array(value: Value, schema: dict, path: tuple, gate: Answer, out: _Is
         def check_item(item: Value, index: Column) -> Column:
             found = _Issues()
             _check(item, items, (*path, "[", index.cast("string"), "]"), True, found)
-            return found.column()
+            return found.column_if_any()
 
-        out.add_list(gate, F.flatten(value.each(check_item, items.get("type"))))
+        out.add_list(gate, F.flatten(F.array_compact(value.each(check_item, items.get("type")))))
 
 
 def _check_object(value: Value, schema: dict, path: tuple, gate: Answer, out: _Issues) -> None:
@@ -159,21 +190,31 @@ def _check_object(value: Value, schema: dict, path: tuple, gate: Answer, out: _I
         for present, name in single:
             out.add(both(gate, present), _text(*path, f": unexpected field '{name}'"))
         if listed is not None:
-            out.add_list(
-                gate,
-                F.transform(listed, lambda name: _text(*path, ": unexpected field '", name, "'")),
-            )
+            named = F.transform(F.sort_array(listed), lambda name: _text(*path, ": unexpected field '", name, "'"))
+            out.add_list(both(gate, F.size(listed) > 0), named)
 
 
 def _root(df: DataFrame, value: str | None, columns: Sequence[str] | None, null_as: str):
     """The value to check: the VARIANT column ``value``, or typed ``columns`` as one object."""
     if value is not None:
         bindings = Bindings("check")
-        return VariantValue(F.col(value), bindings), bindings
+        return VariantValue(F.col(value), bindings, kind=kind_of_row(df, value)), bindings
     names = columns if columns is not None else df.columns
     return RowValue(T.StructType([df.schema[name] for name in names]), null_as), Bindings("check")
 
 
+def kind_of_row(df: DataFrame, value: str) -> Column | None:
+    """The type of whole rows, read off their JSON text if there is one.
+
+    For an object ``schema_of_variant`` describes every field, which is not needed here.
+    """
+    if "raw" not in df.columns:
+        return None
+    first = F.left(F.col("raw"), F.lit(1))
+    kind = F.when(first == "{", "OBJECT<").when(first == "[", "ARRAY<").otherwise(F.schema_of_variant(value))
+    return F.when(F.col(value).isNotNull(), kind)
+
+
 def with_schema_issues(
     df: DataFrame,
     schema: dict,
@@ -220,14 +261,10 @@ def with_field_issues(
     if listed is None:
         named = [F.lit(name) if on is True else F.when(on, name) for on, name in single]
         listed = F.array_compact(F.array(*named)) if named else no_issues()
-    out.add(F.size(listed) > 0, _text("Unexpected fields: ", F.array_join(listed, ", ")))
+    out.add(F.size(listed) > 0, _text("Unexpected fields: ", F.array_join(F.sort_array(listed), ", ")))
     return bindings.drop_from(bindings.add_to(df).withColumn(into, out.column()))
 
 
-def _either(left: Answer, right: Answer) -> Answer:
-    return negate(both(negate(left), negate(right)))
-
-
 def _check_field(value: Value, name: str, kind: str, rules: dict, gate: Answer, out: _Issues) -> None:
     number = _either(value.is_number(), value.is_boolean())
     fits = {

@@ -21,6 +21,16 @@ Answer = Column | bool
 
 # The schema type names and the names Python gives to parsed JSON values.
 SCHEMA_TYPES = ("string", "integer", "number", "boolean", "object", "array", "null")
+PYTHON_NAMES = {
+    "STRING": "str",
+    "BIGINT": "int",
+    "DOUBLE": "float",
+    "DECIMAL": "float",
+    "BOOLEAN": "bool",
+    "VOID": "NoneType",
+    "OBJECT": "dict",
+    "ARRAY": "list",
+}
 
 
 def both(left: Answer, right: Answer) -> Answer:
@@ -78,6 +88,15 @@ class Bindings:
         return df.drop(*[name for level in self.levels for name in level])
 
 
+def _once(value: Column, show: Callable[[Column], Column]) -> Column:
+    """``show(value)`` for an expression that uses its input many times.
+
+    As a lambda over one item the input appears once, which keeps the generated code of a
+    row check small. Only rows with an issue get here.
+    """
+    return F.get(F.transform(F.array(value), show), F.lit(0))
+
+
 def _pick(cases: list[tuple[Answer, Callable[[], Column]]], otherwise: Callable[[], Column]) -> Column:
     """CASE WHEN over the cases, leaving out those whose answer is known."""
     picked = None
@@ -96,10 +115,12 @@ class VariantValue:
     ``settled`` names the schema type that a test has already established.
     """
 
-    def __init__(self, x: Column, bindings: Bindings | None = None, level: int = 0):
+    def __init__(
+        self, x: Column, bindings: Bindings | None = None, level: int = 0, kind: Column | None = None
+    ):
         self.bindings, self.level, self.settled = bindings, level, None
         self.x = x if bindings is None else bindings.bind(x, level)
-        kind = F.schema_of_variant(self.x)
+        kind = F.schema_of_variant(self.x) if kind is None else kind
         self.kind = kind if bindings is None else bindings.bind(kind, level + 1)
 
     def settle(self, schema_type: str) -> VariantValue:
@@ -141,15 +162,9 @@ class VariantValue:
         return self._is(self.kind == "VOID", "null")
 
     def type_name(self) -> Column:
-        names = (
-            (self.is_string(), "str"),
-            (self.is_integer(), "int"),
-            (self.is_number(), "float"),
-            (self.is_boolean(), "bool"),
-            (self.is_null(), "NoneType"),
-            (self.is_object(), "dict"),
-        )
-        return _pick([(answer, lambda n=name: F.lit(n)) for answer, name in names], lambda: F.lit("list"))
+        names = F.create_map(*[F.lit(part) for pair in PYTHON_NAMES.items() for part in pair])
+        named = F.try_element_at(names, F.regexp_extract(self.kind, "^[A-Z]+", 0))
+        return F.when(self._is_big_integer(), "int").otherwise(named)
 
     def string(self) -> Column:
         return self._get("string")
@@ -167,13 +182,13 @@ class VariantValue:
         return (
             F.when(self.kind == "BIGINT", self._get("bigint").cast("string"))
             .when(self._is_big_integer(), self._get("decimal(38,0)").cast("string"))
-            .otherwise(python_float(self._get("double")))
+            .otherwise(_once(self._get("double"), python_float))
         )
 
     def text(self) -> Column:
         return _pick(
             [
-                (self.is_string(), lambda: python_string(self.string())),
+                (self.is_string(), lambda: _once(self.string(), python_string)),
                 (self.is_number(), self.number_text),
                 (self.is_boolean(), lambda: F.when(self.boolean(), "True").otherwise("False")),
                 (self.is_null(), lambda: F.lit("None")),
@@ -222,7 +237,7 @@ class VariantValue:
         names = F.map_keys(self._get("map<string,variant>"))
         if known:
             names = F.array_except(names, F.array(*[F.lit(k) for k in known]))
-        return [], F.array_sort(names)
+        return [], names
 
 
 class TypedValue:
@@ -296,11 +311,11 @@ class TypedValue:
     def number_text(self) -> Column:
         if isinstance(self.dtype, T.IntegralType):
             return self.x.cast("string")
-        return python_float(self.x)
+        return _once(self.x, python_float)
 
     def text(self) -> Column:
         if isinstance(self.dtype, T.StringType):
-            shown = python_string(self.x)
+            shown = _once(self.x, python_string)
         elif isinstance(self.dtype, T.NumericType):
             shown = self.number_text()
         elif isinstance(self.dtype, T.BooleanType):
@@ -360,7 +375,7 @@ class TypedValue:
     def extra_names(self, known: list[str]) -> tuple[list[tuple[Answer, str]], Column | None]:
         if isinstance(self.dtype, T.MapType):
             names = F.map_keys(self.x)
-            return [], F.array_sort(F.array_except(names, F.array(*[F.lit(k) for k in known])) if known else names)
+            return [], F.array_except(names, F.array(*[F.lit(k) for k in known])) if known else names
         extra = sorted(set(self.dtype.fieldNames()) - set(known))
         return [(self.child(name)[0], name) for name in extra], None
 
