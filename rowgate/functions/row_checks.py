@@ -24,6 +24,10 @@ def no_issues() -> Column:
     return F.array().cast("array<string>")
 
 
+# Messages behind one test; more of them would make one expression too deep.
+_GROUP = 30
+
+
 class _Issues:
     """Collects optional messages and, for array items and extra keys, lists of messages.
 
@@ -38,7 +42,7 @@ class _Issues:
     def add(self, condition: Answer, message: Column) -> None:
         if condition is False:
             return
-        if not self._parts or not isinstance(self._parts[-1], list):
+        if not self._parts or not isinstance(self._parts[-1], list) or len(self._parts[-1]) == _GROUP:
             self._parts.append([])
         self._parts[-1].append((condition, message))
 
@@ -77,7 +81,11 @@ class _Issues:
 
 
 def _either(left: Answer, right: Answer) -> Answer:
-    return negate(both(negate(left), negate(right)))
+    if left is True or right is True:
+        return True
+    if left is False:
+        return right
+    return left if right is False else left | right
 
 
 def _text(*parts: Any) -> Column:

@@ -228,8 +228,11 @@ class VariantValue:
         return F.when(self.kind == f"ARRAY<{kind}>", alike).otherwise(mixed)
 
     def child(self, name: str) -> tuple[Answer, VariantValue]:
-        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-        found = F.try_variant_get(self.x, f"$['{quoted}']", "variant")
+        quote = "'" if "'" not in name else '"'
+        if quote in name:  # paths have no escapes
+            found = F.try_element_at(self._get("map<string,variant>"), F.lit(name))
+        else:
+            found = F.try_variant_get(self.x, f"$[{quote}{name}{quote}]", "variant")
         value = VariantValue(found, self.bindings, self.level + 1)
         return value.x.isNotNull(), value
 
