@@ -18,35 +18,37 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(PYTHON_WHITESPACE))
 
 
-def python_float(value: Column) -> Column:
-    """A double printed the way Python prints a float (``2.0``, ``1e+16``, ``1e-05``)."""
-    value = value.cast("double")
-    text = value.cast("string")
-    size = F.abs(value)
-    fixed = F.rtrim(text.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
-    fixed = F.when(fixed.endswith("."), F.concat(fixed, F.lit("0"))).otherwise(fixed)
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(text, "E", -1)
-    digits = F.regexp_replace(exponent, "^-", "")
-    sign = F.when(exponent.startswith("-"), "-").otherwise("+")
-    padded = F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits)
+def sql_text(text: str) -> str:
+    """A string literal in SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def python_float(value: str) -> str:
+    """SQL for a double printed the way Python prints a float (``2.0``, ``1e+16``, ``1e-05``)."""
+    text, exponent = "CAST(d AS STRING)", "substring_index(CAST(d AS STRING), 'E', -1)"
+    fixed = f"TRIM(TRAILING '0' FROM CAST(TRY_CAST({text} AS DECIMAL(38,21)) AS STRING))"
+    digits = f"regexp_replace({exponent}, '^-', '')"
     return (
-        F.when(F.isnan(value), "nan")
-        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
-        .when(size == 0, text)
-        .when((size >= 1e-4) & (size < 1e16), fixed)
-        .otherwise(F.concat(mantissa, F.lit("e"), sign, padded))
+        f"transform(array(CAST({value} AS DOUBLE)), d -> CASE WHEN isnan(d) THEN 'nan' "
+        "WHEN abs(d) = DOUBLE('Infinity') THEN if(d > 0, 'inf', '-inf') "
+        f"WHEN d = 0 THEN {text} "
+        f"WHEN abs(d) >= 1e-4D AND abs(d) < 1e16D THEN regexp_replace({fixed}, '[.]$', '.0') "
+        f"ELSE concat(regexp_replace(substring_index({text}, 'E', 1), '[.]0$', ''), 'e', "
+        f"if(startswith({exponent}, '-'), '-', '+'), "
+        f"lpad({digits}, greatest(2, length({digits})), '0')) END)[0]"
     )
 
 
-def python_string(text: Column) -> Column:
-    """A string quoted the way Python's ``repr`` quotes it (no escapes for unprintable text)."""
-    body = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for char, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        body = F.replace(body, F.lit(char), F.lit(escaped))
-    double_quoted = F.concat(F.lit('"'), body, F.lit('"'))
-    single_quoted = F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))
-    return F.when(text.contains("'") & ~text.contains('"'), double_quoted).otherwise(single_quoted)
+def python_string(value: str) -> str:
+    """SQL for a string quoted as by Python's ``repr`` (no escapes for unprintable text)."""
+    body = "s"
+    for char, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        body = f"replace({body}, {sql_text(char)}, {sql_text(escaped)})"
+    single, escaped = sql_text("'"), sql_text("\\'")
+    return (
+        f"transform(array({value}), s -> if(contains(s, {single}) AND NOT contains(s, '\"'), "
+        f"concat('\"', {body}, '\"'), concat({single}, replace({body}, {single}, {escaped}), {single})))[0]"
+    )
 
 
 def quote_column(name: str) -> str:

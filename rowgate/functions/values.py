@@ -1,7 +1,8 @@
 """What a row check may ask about a value, for VARIANT values and for typed columns.
 
-Both classes answer with Columns, or with a plain ``True`` / ``False`` where the answer is
-known before the job runs; ``both`` and ``negate`` fold those away.
+Answers are SQL text, which one call turns into an expression however wide a schema is, or a
+plain ``True`` / ``False`` where they are known before the job runs. ``both``, ``either`` and
+``negate`` fold those away.
 """
 
 from __future__ import annotations
@@ -9,15 +10,16 @@ from __future__ import annotations
 import copy
 import json
 from collections.abc import Callable
+from itertools import count
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import python_float, python_string, quote_column
+from .text import python_float, python_string, quote_column, sql_text
 
-Answer = Column | bool
+Answer = str | bool
 
 # The schema type names and the names Python gives to parsed JSON values.
 SCHEMA_TYPES = ("string", "integer", "number", "boolean", "object", "array", "null")
@@ -32,33 +34,70 @@ PYTHON_NAMES = {
     "ARRAY": "list",
 }
 
+_lambda_names = count()
+
 
 def both(left: Answer, right: Answer) -> Answer:
     if left is False or right is False:
         return False
     if left is True:
         return right
-    return left if right is True else left & right
+    return left if right is True else f"({left} AND {right})"
+
+
+def either(left: Answer, right: Answer) -> Answer:
+    return negate(both(negate(left), negate(right))) if isinstance(left, bool) or isinstance(right, bool) else (
+        f"({left} OR {right})"
+    )
 
 
 def negate(answer: Answer) -> Answer:
-    return (not answer) if isinstance(answer, bool) else ~answer
+    return (not answer) if isinstance(answer, bool) else f"(NOT {answer})"
+
+
+def as_sql(answer: Answer) -> str:
+    return str(answer).upper() if isinstance(answer, bool) else answer
+
+
+def case(*cases: tuple[Answer, str], otherwise: str = "NULL") -> str:
+    """CASE WHEN without the cases whose answer is known."""
+    parts = []
+    for answer, result in cases:
+        if answer is False:
+            continue
+        if answer is True:
+            otherwise = result
+            break
+        parts.append(f"WHEN {answer} THEN {result}")
+    return f"CASE {' '.join(parts)} ELSE {otherwise} END" if parts else otherwise
+
+
+def _one_of(value: str, choices: list, show: Callable[[Any], str]) -> str:
+    return f"({value} IN ({', '.join(map(show, choices))}))" if choices else "FALSE"
 
 
-def _is_number(item: Any) -> bool:
-    return isinstance(item, (int, float))
+class _Choices:
+    """The values of an enum by the kind of value they can equal, as in Python."""
 
+    def __init__(self, choices: list):
+        numbers = [c for c in choices if isinstance(c, (int, float))]
+        self.strings = [c for c in choices if isinstance(c, str)]
+        self.numbers = [float(n) for n in numbers]
+        self.whole = [int(n) for n in numbers if float(n).is_integer() and abs(n) < 2**63]
+        self.has_null = str(None in choices).upper()
+        self.nested = [json.dumps(c, ensure_ascii=False) for c in choices if isinstance(c, (list, dict))]
 
-def _split_choices(choices: list) -> tuple[list[str], list[float], list[int], bool, list[str]]:
-    strings = [c for c in choices if isinstance(c, str)]
-    numbers = [c for c in choices if _is_number(c)]
-    whole = [int(n) for n in numbers if float(n).is_integer() and abs(n) < 2**63]
-    nested = [json.dumps(c, ensure_ascii=False) for c in choices if isinstance(c, (list, dict))]
-    return strings, [float(n) for n in numbers], whole, None in choices, nested
+    def has_string(self, value: str) -> str:
+        return _one_of(value, self.strings, sql_text)
 
+    def has_whole(self, value: str) -> str:
+        return _one_of(value, self.whole, lambda n: f"{n}L")
 
-def _isin(value: Column, choices: list) -> Column:
-    return value.isin(choices) if choices else F.lit(False)
+    def has_number(self, value: str) -> str:
+        return _one_of(value, self.numbers, lambda n: f"{n!r}D")
+
+    def has_nested(self, json_text: str) -> str:
+        return _one_of(json_text, self.nested, lambda text: f"to_json(parse_json({sql_text(text)}))")
 
 
 class Bindings:
@@ -69,58 +108,36 @@ class Bindings:
     """
 
     def __init__(self, prefix: str):
-        self.prefix = prefix
-        self.levels: list[dict[str, Column]] = []
+        self.prefix, self.size = prefix, 0
+        self.levels: list[dict[str, str]] = []
 
-    def bind(self, expression: Column, level: int) -> Column:
+    def bind(self, expression: str, level: int) -> str:
         while len(self.levels) <= level:
             self.levels.append({})
-        name = f"__{self.prefix}_{sum(map(len, self.levels))}"
+        name = f"__{self.prefix}_{self.size}"
+        self.size += 1
         self.levels[level][name] = expression
-        return F.col(name)
+        return name
 
     def add_to(self, df: DataFrame) -> DataFrame:
         for level in self.levels:
-            df = df.withColumns(level)
+            df = df.selectExpr("*", *[f"{expression} AS {name}" for name, expression in level.items()])
         return df
 
     def drop_from(self, df: DataFrame) -> DataFrame:
         return df.drop(*[name for level in self.levels for name in level])
 
 
-def _once(value: Column, show: Callable[[Column], Column]) -> Column:
-    """``show(value)`` for an expression that uses its input many times.
-
-    As a lambda over one item the input appears once, which keeps the generated code of a
-    row check small. Only rows with an issue get here.
-    """
-    return F.get(F.transform(F.array(value), show), F.lit(0))
-
-
-def _pick(cases: list[tuple[Answer, Callable[[], Column]]], otherwise: Callable[[], Column]) -> Column:
-    """CASE WHEN over the cases, leaving out those whose answer is known."""
-    picked = None
-    for answer, make in cases:
-        if answer is False:
-            continue
-        if answer is True:
-            return make() if picked is None else picked.otherwise(make())
-        picked = F.when(answer, make()) if picked is None else picked.when(answer, make())
-    return otherwise() if picked is None else picked.otherwise(otherwise())
-
-
 class VariantValue:
     """A VARIANT expression ``x`` (NULL = absent) and the text of its type, ``kind``.
 
     ``settled`` names the schema type that a test has already established.
     """
 
-    def __init__(
-        self, x: Column, bindings: Bindings | None = None, level: int = 0, kind: Column | None = None
-    ):
+    def __init__(self, x: str, bindings: Bindings | None = None, level: int = 0, kind: str | None = None):
         self.bindings, self.level, self.settled = bindings, level, None
         self.x = x if bindings is None else bindings.bind(x, level)
-        kind = F.schema_of_variant(self.x) if kind is None else kind
+        kind = f"schema_of_variant({self.x})" if kind is None else kind
         self.kind = kind if bindings is None else bindings.bind(kind, level + 1)
 
     def settle(self, schema_type: str) -> VariantValue:
@@ -128,127 +145,127 @@ class VariantValue:
         value.settled = schema_type
         return value
 
-    def _is(self, answer: Column, *settled_by: str, open_for: tuple[str, ...] = ()) -> Answer:
+    def _is(self, answer: str, *settled_by: str, open_for: tuple[str, ...] = ()) -> Answer:
         if self.settled is None or self.settled in open_for:
             return answer
         return self.settled in settled_by
 
-    def _get(self, kind: str) -> Column:
-        return F.try_variant_get(self.x, "$", kind)
+    def get(self, kind: str) -> str:
+        return f"try_variant_get({self.x}, '$', '{kind}')"
 
-    def _is_big_integer(self) -> Column:
-        return self.kind.rlike(r"^DECIMAL\((19|[23]\d),0\)")
+    def _is_big_integer(self) -> str:
+        return f"rlike({self.kind}, '^DECIMAL[(](19|[23][0-9]),0[)]')"
 
     def is_string(self) -> Answer:
-        return self._is(self.kind == "STRING", "string")
+        return self._is(f"({self.kind} = 'STRING')", "string")
 
     def is_boolean(self) -> Answer:
-        return self._is(self.kind == "BOOLEAN", "boolean", open_for=("number",))
+        return self._is(f"({self.kind} = 'BOOLEAN')", "boolean", open_for=("number",))
 
     def is_integer(self) -> Answer:
-        return self._is((self.kind == "BIGINT") | self._is_big_integer(), "integer", open_for=("number",))
+        answer = f"({self.kind} = 'BIGINT' OR {self._is_big_integer()})"
+        return self._is(answer, "integer", open_for=("number",))
 
     def is_number(self) -> Answer:
-        number = (self.kind == "BIGINT") | (self.kind == "DOUBLE") | self.kind.startswith("DECIMAL")
-        return self._is(number, "integer", open_for=("number",))
+        answer = f"({self.kind} IN ('BIGINT', 'DOUBLE') OR startswith({self.kind}, 'DECIMAL'))"
+        return self._is(answer, "integer", open_for=("number",))
 
     def is_array(self) -> Answer:
-        return self._is(self.kind.startswith("ARRAY<"), "array")
+        return self._is(f"startswith({self.kind}, 'ARRAY<')", "array")
 
     def is_object(self) -> Answer:
-        return self._is(self.kind.startswith("OBJECT<"), "object")
+        return self._is(f"startswith({self.kind}, 'OBJECT<')", "object")
 
     def is_null(self) -> Answer:
-        return self._is(self.kind == "VOID", "null")
+        return self._is(f"({self.kind} = 'VOID')", "null")
 
-    def type_name(self) -> Column:
-        names = F.create_map(*[F.lit(part) for pair in PYTHON_NAMES.items() for part in pair])
-        named = F.try_element_at(names, F.regexp_extract(self.kind, "^[A-Z]+", 0))
-        return F.when(self._is_big_integer(), "int").otherwise(named)
+    def type_name(self) -> str:
+        names = ", ".join(f"'{kind}', '{name}'" for kind, name in PYTHON_NAMES.items())
+        named = f"try_element_at(map({names}), regexp_extract({self.kind}, '^[A-Z]+', 0))"
+        return f"if({self._is_big_integer()}, 'int', {named})"
 
-    def string(self) -> Column:
-        return self._get("string")
+    def string(self) -> str:
+        return self.get("string")
 
-    def boolean(self) -> Column:
-        return self._get("boolean")
+    def boolean(self) -> str:
+        return self.get("boolean")
 
-    def compare(self, limit: float, op: Callable[[Column, Any], Column]) -> Column:
-        inexact = op(self._get("double"), float(limit))
+    def compare(self, sign: str, limit: float) -> str:
+        inexact = f"{self.get('double')} {sign} {float(limit)!r}D"
         if isinstance(limit, int) and abs(limit) < 2**63:
-            return F.when(self.kind == "BIGINT", op(self._get("bigint"), int(limit))).otherwise(inexact)
-        return inexact
-
-    def number_text(self) -> Column:
-        return (
-            F.when(self.kind == "BIGINT", self._get("bigint").cast("string"))
-            .when(self._is_big_integer(), self._get("decimal(38,0)").cast("string"))
-            .otherwise(_once(self._get("double"), python_float))
+            return f"if({self.kind} = 'BIGINT', {self.get('bigint')} {sign} {int(limit)}L, {inexact})"
+        return f"({inexact})"
+
+    def number_text(self) -> str:
+        return case(
+            (f"{self.kind} = 'BIGINT'", f"CAST({self.get('bigint')} AS STRING)"),
+            (self._is_big_integer(), f"CAST({self.get('decimal(38,0)')} AS STRING)"),
+            otherwise=python_float(self.get("double")),
         )
 
-    def text(self) -> Column:
-        return _pick(
-            [
-                (self.is_string(), lambda: _once(self.string(), python_string)),
-                (self.is_number(), self.number_text),
-                (self.is_boolean(), lambda: F.when(self.boolean(), "True").otherwise("False")),
-                (self.is_null(), lambda: F.lit("None")),
-            ],
-            lambda: F.to_json(self.x),
+    def text(self) -> str:
+        return case(
+            (self.is_string(), python_string(self.string())),
+            (self.is_number(), self.number_text()),
+            (self.is_boolean(), f"if({self.boolean()}, 'True', 'False')"),
+            (self.is_null(), "'None'"),
+            otherwise=f"to_json({self.x})",
         )
 
-    def among(self, choices: list) -> Column:
-        strings, numbers, whole, has_null, nested = _split_choices(choices)
-        number = self.is_number()
-        return _pick(
-            [
-                (self.is_string(), lambda: _isin(self.string(), strings)),
-                (both(number, self.kind == "BIGINT"), lambda: _isin(self._get("bigint"), whole)),
-                (number, lambda: _isin(self._get("double"), numbers)),
-                (self.is_boolean(), lambda: _isin(self.boolean().cast("bigint"), whole)),
-                (self.is_null(), lambda: F.lit(has_null)),
-            ],
-            lambda: _isin(F.to_json(self.x), [F.to_json(F.parse_json(F.lit(text))) for text in nested]),
+    def among(self, choices: list) -> str:
+        known, number = _Choices(choices), self.is_number()
+        return case(
+            (self.is_string(), known.has_string(self.string())),
+            (both(number, f"{self.kind} = 'BIGINT'"), known.has_whole(self.get("bigint"))),
+            (number, known.has_number(self.get("double"))),
+            (self.is_boolean(), known.has_whole(f"CAST({self.boolean()} AS BIGINT)")),
+            (self.is_null(), known.has_null),
+            otherwise=known.has_nested(f"to_json({self.x})"),
         )
 
-    def size(self) -> Column:
-        return F.size(self._get("array<variant>"))
+    def size(self) -> str:
+        return f"size({self.get('array<variant>')})"
 
-    def each(self, check: Callable[[Any, Column], Column], expected: Any = None) -> Column:
+    def each(self, check: Callable[[Any, str], str], expected: Any = None) -> str:
         """``check`` on every item. Arrays that hold only the expected kind of scalar (and
         nulls) are checked as typed arrays, which saves a type test per item."""
-        mixed = F.transform(
-            self._get("array<variant>"), lambda item, i: check(VariantValue(item), i)
-        )
+        mixed = _transform(self.get("array<variant>"), lambda item, i: check(VariantValue(item), i))
         typed = {"string": T.StringType(), "integer": T.LongType(), "number": T.LongType()}.get(expected)
         if typed is None:
             return mixed
-        kind = "STRING" if expected == "string" else "BIGINT"
-        items = self._get(f"array<{kind}>")
-        alike = F.transform(items, lambda item, i: check(TypedValue(item, typed, True), i))
-        return F.when(self.kind == f"ARRAY<{kind}>", alike).otherwise(mixed)
+        kind = typed.simpleString()
+        alike = _transform(self.get(f"array<{kind}>"), lambda item, i: check(TypedValue(item, typed, True), i))
+        return f"if({self.kind} = 'ARRAY<{kind.upper()}>', {alike}, {mixed})"
 
     def child(self, name: str) -> tuple[Answer, VariantValue]:
         quote = "'" if "'" not in name else '"'
         if quote in name:  # paths have no escapes
-            found = F.try_element_at(self._get("map<string,variant>"), F.lit(name))
+            found = f"try_element_at({self.get('map<string,variant>')}, {sql_text(name)})"
         else:
-            found = F.try_variant_get(self.x, f"$[{quote}{name}{quote}]", "variant")
+            found = f"try_variant_get({self.x}, {sql_text(f'$[{quote}{name}{quote}]')}, 'variant')"
         value = VariantValue(found, self.bindings, self.level + 1)
-        return value.x.isNotNull(), value
+        return f"({value.x} IS NOT NULL)", value
+
+    def extra_names(self, known: list[str]) -> tuple[list[tuple[Answer, str]], str | None]:
+        return [], _without(f"map_keys({self.get('map<string,variant>')})", known)
+
+
+def _transform(array: str, body: Callable[[str, str], str]) -> str:
+    number = next(_lambda_names)
+    item, index = f"x{number}", f"i{number}"
+    return f"transform({array}, ({item}, {index}) -> {body(item, index)})"
+
 
-    def extra_names(self, known: list[str]) -> tuple[list[tuple[Answer, str]], Column | None]:
-        names = F.map_keys(self._get("map<string,variant>"))
-        if known:
-            names = F.array_except(names, F.array(*[F.lit(k) for k in known]))
-        return [], names
+def _without(names: str, known: list[str]) -> str:
+    return f"array_except({names}, array({', '.join(map(sql_text, known))}))" if known else names
 
 
 class TypedValue:
     """A typed column. ``nullable`` says whether a NULL in it counts as a null value."""
 
-    def __init__(self, x: Column, dtype: T.DataType, nullable: bool, null_as: str = "absent"):
+    def __init__(self, x: str, dtype: T.DataType, nullable: bool, null_as: str = "absent"):
         if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            x, dtype = x.cast("string"), T.StringType()
+            x, dtype = f"CAST({x} AS STRING)", T.StringType()
         self.x, self.dtype, self.nullable, self.null_as = x, dtype, nullable, null_as
 
     def settle(self, schema_type: str) -> TypedValue:
@@ -259,7 +276,7 @@ class TypedValue:
         return value
 
     def _is(self, *types: type) -> Answer:
-        return both(isinstance(self.dtype, types), self.x.isNotNull() if self.nullable else True)
+        return both(isinstance(self.dtype, types), f"({self.x} IS NOT NULL)" if self.nullable else True)
 
     def is_string(self) -> Answer:
         return self._is(T.StringType)
@@ -282,103 +299,104 @@ class TypedValue:
     def is_null(self) -> Answer:
         if isinstance(self.dtype, T.NullType):
             return True
-        return self.x.isNull() if self.nullable else False
+        return f"({self.x} IS NULL)" if self.nullable else False
 
-    def type_name(self) -> Column:
+    def type_name(self) -> str:
         names = (
-            (T.StringType, "str"),
-            (T.IntegralType, "int"),
-            (T.NumericType, "float"),
-            (T.BooleanType, "bool"),
-            (T.ArrayType, "list"),
-            ((T.StructType, T.MapType), "dict"),
-            (T.NullType, "NoneType"),
+            (T.StringType, "'str'"),
+            (T.IntegralType, "'int'"),
+            (T.NumericType, "'float'"),
+            (T.BooleanType, "'bool'"),
+            (T.ArrayType, "'list'"),
+            ((T.StructType, T.MapType), "'dict'"),
+            (T.NullType, "'NoneType'"),
         )
         name = next((n for kind, n in names if isinstance(self.dtype, kind)), None)
         if name is None:
             raise ValueError(f"cast columns of type {self.dtype.simpleString()} to text first")
-        return F.when(self.x.isNull(), "NoneType").otherwise(name) if self.nullable else F.lit(name)
+        return self._unless_null("'NoneType'", name)
 
-    def string(self) -> Column:
+    def _unless_null(self, null: str, otherwise: str) -> str:
+        return f"if({self.x} IS NULL, {null}, {otherwise})" if self.nullable else otherwise
+
+    def string(self) -> str:
         return self.x
 
-    def boolean(self) -> Column:
+    def boolean(self) -> str:
         return self.x
 
-    def compare(self, limit: float, op: Callable[[Column, Any], Column]) -> Column:
-        found = op(self.x, limit)
+    def compare(self, sign: str, limit: float) -> str:
+        shown = f"{limit!r}D" if isinstance(limit, float) else str(int(limit))
+        found = f"({self.x} {sign} {shown})"
         if isinstance(self.dtype, (T.FloatType, T.DoubleType)):
-            return found & ~F.isnan(self.x)
+            return f"({found} AND NOT isnan({self.x}))"
         return found
 
-    def number_text(self) -> Column:
+    def number_text(self) -> str:
         if isinstance(self.dtype, T.IntegralType):
-            return self.x.cast("string")
-        return _once(self.x, python_float)
+            return f"CAST({self.x} AS STRING)"
+        return python_float(self.x)
 
-    def text(self) -> Column:
+    def text(self) -> str:
         if isinstance(self.dtype, T.StringType):
-            shown = _once(self.x, python_string)
+            shown = python_string(self.x)
         elif isinstance(self.dtype, T.NumericType):
             shown = self.number_text()
         elif isinstance(self.dtype, T.BooleanType):
-            shown = F.when(self.x, "True").otherwise("False")
+            shown = f"if({self.x}, 'True', 'False')"
         elif isinstance(self.dtype, T.NullType):
-            return F.lit("None")
+            return "'None'"
         else:
-            shown = F.to_json(self.x)
-        return F.when(self.x.isNull(), "None").otherwise(shown) if self.nullable else shown
+            shown = f"to_json({self.x})"
+        return self._unless_null("'None'", shown)
 
-    def among(self, choices: list) -> Column:
-        strings, numbers, whole, has_null, nested = _split_choices(choices)
+    def among(self, choices: list) -> str:
+        known = _Choices(choices)
         if isinstance(self.dtype, T.StringType):
-            found = _isin(self.x, strings)
+            found = known.has_string(self.x)
         elif isinstance(self.dtype, T.IntegralType):
-            found = _isin(self.x, whole)
+            found = known.has_whole(self.x)
         elif isinstance(self.dtype, T.NumericType):
-            found = _isin(self.x.cast("double"), numbers)
+            found = known.has_number(f"CAST({self.x} AS DOUBLE)")
         elif isinstance(self.dtype, T.BooleanType):
-            found = _isin(self.x.cast("int"), whole)
+            found = known.has_whole(f"CAST({self.x} AS BIGINT)")
         elif isinstance(self.dtype, T.NullType):
-            return F.lit(has_null)
+            return known.has_null
         else:
-            texts = [F.to_json(F.parse_json(F.lit(text))) for text in nested]
-            found = _isin(F.to_json(F.to_variant_object(self.x)), texts)
-        return F.when(self.x.isNull(), F.lit(has_null)).otherwise(found) if self.nullable else found
-
-    def size(self) -> Column:
-        return F.size(self.x)
-
-    def each(self, check: Callable[[Any, Column], Column], expected: Any = None) -> Column:
-        item_type = self.dtype.elementType
-        if isinstance(item_type, T.VariantType):
-            return F.transform(self.x, lambda item, i: check(VariantValue(item), i))
-        return F.transform(
-            self.x, lambda item, i: check(TypedValue(item, item_type, True, self.null_as), i)
-        )
+            found = known.has_nested(f"to_json(to_variant_object({self.x}))")
+        return self._unless_null(known.has_null, found)
+
+    def size(self) -> str:
+        return f"size({self.x})"
+
+    def each(self, check: Callable[[Any, str], str], expected: Any = None) -> str:
+        kind = self.dtype.elementType
+        if isinstance(kind, T.VariantType):
+            return _transform(self.x, lambda item, i: check(VariantValue(item), i))
+        return _transform(self.x, lambda item, i: check(TypedValue(item, kind, True, self.null_as), i))
 
-    def _field(self, name: str) -> Column:
-        return self.x.getField(name) if isinstance(self.dtype, T.StructType) else self.x[name]
+    def _field(self, name: str) -> str:
+        if isinstance(self.dtype, T.MapType):
+            return f"try_element_at({self.x}, {sql_text(name)})"
+        return f"{self.x}.{quote_column(name)}"
 
     def child(self, name: str) -> tuple[Answer, Any]:
         if isinstance(self.dtype, T.MapType):
-            value, dtype, present = self._field(name), self.dtype.valueType, F.map_contains_key(self.x, name)
+            dtype, present = self.dtype.valueType, f"map_contains_key({self.x}, {sql_text(name)})"
         elif name in self.dtype.fieldNames():
-            value, dtype, present = self._field(name), self.dtype[name].dataType, True
+            dtype, present = self.dtype[name].dataType, True
         else:
             return False, None
+        value, absent = self._field(name), self.null_as == "absent"
+        if absent or isinstance(dtype, T.VariantType):
+            present = both(present, f"({value} IS NOT NULL)")
         if isinstance(dtype, T.VariantType):
-            return both(present, value.isNotNull()), VariantValue(value)
-        absent = self.null_as == "absent"
-        return (
-            both(present, value.isNotNull() if absent else True),
-            TypedValue(value, dtype, not absent, self.null_as),
-        )
+            return present, VariantValue(value)
+        return present, TypedValue(value, dtype, not absent, self.null_as)
 
-    def extra_names(self, known: list[str]) -> tuple[list[tuple[Answer, str]], Column | None]:
+    def extra_names(self, known: list[str]) -> tuple[list[tuple[Answer, str]], str | None]:
         if isinstance(self.dtype, T.MapType):
-            names = F.map_keys(self.x)
-            return [], F.array_except(names, F.array(*[F.lit(k) for k in known])) if known else names
+            return [], _without(f"map_keys({self.x})", known)
         extra = sorted(set(self.dtype.fieldNames()) - set(known))
         return [(self.child(name)[0], name) for name in extra], None
 
@@ -387,7 +405,12 @@ class RowValue(TypedValue):
     """All columns of a DataFrame as one object, without building a struct."""
 
     def __init__(self, schema: T.StructType, null_as: str = "absent"):
-        super().__init__(F.lit(True), schema, False, null_as)
+        super().__init__("TRUE", schema, False, null_as)
+
+    def _field(self, name: str) -> str:
+        return quote_column(name)
+
 
-    def _field(self, name: str) -> Column:
-        return F.col(quote_column(name))
+def column(answer: Answer):
+    """An answer as a Column."""
+    return F.expr(as_sql(answer))

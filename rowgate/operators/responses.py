@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_text import clean_response, from_first_bracket
-from ..functions.values import VariantValue
+from ..functions.values import VariantValue, case, negate
 from ..sources.rows import json_elements
 
 # Error texts of a response without payload or of the wrong shape.
@@ -42,7 +42,7 @@ def _error(shape_fits: Column, wrong_shape: str) -> Column:
     return (
         F.when(F.col("reason") == "no_payload", NO_PAYLOAD)
         .when(F.col("reason") == "bad_json", INVALID_JSON)
-        .when(~shape_fits, F.concat(F.lit(wrong_shape), VariantValue(F.col("v")).type_name()))
+        .when(~shape_fits, F.concat(F.lit(wrong_shape), F.expr(VariantValue("v").type_name())))
     )
 
 
@@ -96,36 +96,33 @@ def explode_verdicts(responses: DataFrame, text: str = "text") -> DataFrame:
         shaped = shaped.withColumn("error", F.coalesce("scorer_error", "error"))
     one = shaped.select("batch_id", "error", F.posexplode_outer("verdicts").alias("ord", "e"))
     # an empty array leaves one row without a verdict; it counts as zero verdicts
-    verdict = VariantValue(F.col("e"))
-    has_index, index = verdict.child("index")
-    has_valid, valid = verdict.child("is_valid")
-    has_score, score = verdict.child("score")
-    has_issues, issues = verdict.child("issues")
-    is_valid = F.when(valid.is_boolean(), valid.boolean())
-    number = F.when(score.is_boolean(), score.boolean().cast("double")).when(
-        score.is_number(), F.try_variant_get(score.x, "$", "double")
+    verdict = VariantValue("e")
+    (has_index, index), (_, valid) = verdict.child("index"), verdict.child("is_valid")
+    (has_score, score), (has_issues, issues) = verdict.child("score"), verdict.child("issues")
+    is_valid = F.expr(case((valid.is_boolean(), valid.boolean())))
+    number = case((score.is_boolean(), f"CAST({score.boolean()} AS DOUBLE)"), (score.is_number(), score.get("double")))
+    index_of = case(
+        (negate(has_index), "CAST(ord AS BIGINT)"),
+        (index.is_boolean(), f"CAST({index.boolean()} AS BIGINT)"),
+        (index.is_integer(), index.get("bigint")),
     )
-    texts = F.transform(
-        F.try_variant_get(issues.x, "$", "array<variant>"),
-        lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x)),
+    one_text = "if(schema_of_variant(x) = 'STRING', try_variant_get(x, '$', 'string'), to_json(x))"
+    texts = case(
+        ("ord IS NULL", "NULL"),
+        (issues.is_array(), f"transform({issues.get('array<variant>')}, x -> {one_text})"),
+        (issues.is_string(), f"array({issues.string()})"),
+        (has_issues, f"array(to_json({issues.x}))"),
+        otherwise="CAST(array() AS ARRAY<STRING>)",
     )
     parsed = one.select(
         "batch_id",
         "error",
         "ord",
-        F.when(~has_index, F.col("ord").cast("bigint"))
-        .when(index.is_boolean(), index.boolean().cast("bigint"))
-        .when(index.is_integer(), F.try_variant_get(index.x, "$", "bigint"))
-        .alias("idx"),
+        F.expr(index_of).alias("idx"),
         is_valid.alias("is_valid"),
-        F.when(F.col("ord").isNull() | has_score, number).when(is_valid, 1.0).otherwise(0.0).alias("score"),
-        F.when(F.col("ord").isNull(), F.lit(None))
-        .when(issues.is_array(), texts)
-        .when(issues.is_string(), F.array(issues.string()))
-        .when(has_issues, F.array(F.to_json(issues.x)))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("issues"),
-        verdict.is_object().alias("__object"),
+        F.when(F.expr(f"ord IS NULL OR {has_score}"), F.expr(number)).when(is_valid, 1.0).otherwise(0.0).alias("score"),
+        F.expr(texts).alias("issues"),
+        F.expr(verdict.is_object()).alias("__object"),
     )
     problem = (
         F.when(F.col("ord").isNull(), F.lit(None).cast("string"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.row_checks import no_issues, with_schema_issues
 from ..functions.text import quote_column
-from ..functions.values import VariantValue
+from ..functions.values import Bindings, VariantValue, case
 from ..plans import Plan, Profile, rules_of
 from ..sources.rows import BAD_JSON
 
@@ -57,24 +57,21 @@ def split_rejects(checked: DataFrame) -> DataFrame:
     )
 
 
-def _projected(value: VariantValue, rules: dict) -> Column:
-    kind = rules.get("type")
+def _projected(value: VariantValue, rules: dict) -> str:
+    kind, items, fields = rules.get("type"), rules.get("items"), rules.get("properties")
     if kind == "string":
-        return F.when(value.is_string(), value.string())
+        return case((value.is_string(), value.string()))
     if kind == "integer":
-        return F.when(value.is_integer(), F.try_variant_get(value.x, "$", "bigint"))
+        return case((value.is_integer(), value.get("bigint")))
     if kind == "number":
-        return F.when(value.is_number(), F.try_variant_get(value.x, "$", "double"))
+        return case((value.is_number(), value.get("double")))
     if kind == "boolean":
-        return F.when(value.is_boolean(), value.boolean())
-    if kind == "object" and rules.get("properties"):
-        fields = [
-            _projected(value.child(name)[1], sub).alias(name)
-            for name, sub in rules["properties"].items()
-        ]
-        return F.when(value.is_object(), F.struct(*fields))
-    if kind == "array" and isinstance(rules.get("items"), dict):
-        return F.when(value.is_array(), value.each(lambda item, _: _projected(item, rules["items"])))
+        return case((value.is_boolean(), value.boolean()))
+    if kind == "object" and fields:
+        inner = [f"{_projected(value.child(name)[1], sub)} AS {quote_column(name)}" for name, sub in fields.items()]
+        return case((value.is_object(), f"struct({', '.join(inner)})"))
+    if kind == "array" and isinstance(items, dict):
+        return case((value.is_array(), value.each(lambda item, _: _projected(item, items))))
     return value.x
 
 
@@ -84,11 +81,11 @@ def typed_projection(rows: DataFrame, plan: Plan, keep: Sequence[str] = ("seq",)
     Columns are sorted by name, or in field order for plans of the older form. A field
     without a declared shape stays VARIANT.
     """
-    root, properties = VariantValue(F.col("v")), plan.row_schema["properties"]
-    fields = [
-        _projected(root.child(name)[1], properties[name]).alias(name) for name in plan.field_names
-    ]
-    return rows.select(*keep, *fields)
+    bindings, properties = Bindings("field"), plan.row_schema["properties"]
+    root = VariantValue("v", bindings)
+    found = {name: root.child(name)[1] for name in plan.field_names}
+    fields = [f"{_projected(found[name], properties[name])} AS {quote_column(name)}" for name in found]
+    return bindings.add_to(rows).selectExpr(*keep, *fields)
 
 
 def columns_as_json(columns: Sequence[str]) -> Column:

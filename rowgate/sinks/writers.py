@@ -50,9 +50,10 @@ def code_file_table(rows: DataFrame, plan: Plan | None) -> DataFrame:
     if field is None:
         name, content = F.concat(stem, F.lit(".json")), F.col("raw")
     else:
-        present, value = VariantValue(F.col("v")).child(field)
+        has_field, value = VariantValue("v").child(field)
+        present = F.expr(has_field)
         refused = F.raise_error(F.concat(F.lit(f"field {field} is not text in "), stem)).cast("string")
-        text = F.when(value.is_string(), value.string()).otherwise(refused)
+        text = F.when(F.expr(value.is_string()), F.expr(value.string())).otherwise(refused)
         name = F.concat(stem, F.when(present, extension).otherwise(".json"))
         content = F.when(present, text).otherwise(F.col("raw"))
     return numbered.select("seq", name.alias("file_name"), content.alias("content"))

@@ -314,10 +314,10 @@ def test_plan_documents():
 def test_python_texts(spark):
     floats = [0.0, -0.0, 1.0, 1e15, 1e16, 1.5e-5, 0.0001, 123456789.125, 1e100, -2.5e-300, 0.1 + 0.2, float("inf"), float("nan")]
     df = spark.createDataFrame([(f,) for f in floats], "f double")
-    assert [r[0] for r in df.select(python_float(F.col("f"))).collect()] == [repr(f) for f in floats]
+    assert [r[0] for r in df.selectExpr(python_float("f")).collect()] == [repr(f) for f in floats]
     strings = ["plain", "it's", 'say "hi"', "both ' and \"", "back\\slash", "line\nbreak\t"]
     df = spark.createDataFrame([(s,) for s in strings], "s string")
-    assert [r[0] for r in df.select(python_string(F.col("s"))).collect()] == [repr(s) for s in strings]
+    assert [r[0] for r in df.selectExpr(python_string("s")).collect()] == [repr(s) for s in strings]
     padded = [" \t  x　\x1f\n", "​x", ""]
     df = spark.createDataFrame([(s,) for s in padded], "s string")
     assert [r[0] for r in df.select(strip(F.col("s"))).collect()] == [s.strip() for s in padded]
