@@ -67,24 +67,29 @@ requests AS (
 """
 
 
-def stub_scorer():
-    """Deterministic: fails some batches, and answers others only after a repair message."""
-    import json
+def make_stub():
+    """A scorer factory; nested, so that it travels to the workers by value."""
 
-    def answer(messages):
-        rows = json.loads(messages[1]["content"].split("Samples:\n")[1])
-        kind = rows[0]["doc_id"] // 10 % 5
-        if kind == 1:
-            raise RuntimeError("no connection")
-        if kind == 2 or (kind == 3 and len(messages) < 4):
-            return "let me think"
-        return json.dumps([{"index": i, "is_valid": row["n_chars"] >= 40} for i, row in enumerate(rows)])
+    def stub_scorer():
+        """Deterministic: fails some batches, and answers others only after a repair message."""
+        import json
 
-    return answer
+        def answer(messages):
+            rows = json.loads(messages[1]["content"].split("Samples:\n")[1])
+            kind = rows[0]["doc_id"] // 10 % 5
+            if kind == 1:
+                raise RuntimeError("no connection")
+            if kind == 2 or (kind == 3 and len(messages) < 4):
+                return "let me think"
+            return json.dumps([{"index": i, "is_valid": row["n_chars"] >= 40} for i, row in enumerate(rows)])
+
+        return answer
+
+    return stub_scorer
 
 
 def scorer_answers(spark, sf_dir):
-    answers = run_scorer(requests(spark, sf_dir), stub_scorer)
+    answers = run_scorer(requests(spark, sf_dir), make_stub())
     return answers.select("batch_id", F.col("attempts").cast("bigint").alias("attempts"), "text", "error")
 
 
