@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-# Fixed patterns: a reasoning block, and the first fenced block of a response.
-THINK_BLOCK = r"(?isu)<think>.*?</think>"
+# Fixed patterns: the tags around reasoning, and the first fenced block of a response.
+THINK_OPEN, THINK_CLOSE = "<think>", "</think>"
 FENCED_BLOCK = r"(?isu)^.*?```(?:json)?(.*?)```.*\z"
 FIRST_BRACKET = r"(?s)[\{\[].*"
 
@@ -37,10 +37,30 @@ def with_parsed(df: DataFrame, text: str, into: str) -> DataFrame:
     return df.withColumn(pair, F.try_parse_json(wrapped)).withColumn(into, value).drop(pair)
 
 
+def _without_reasoning(text: Column) -> Column:
+    """Drop each block from an opening tag to the next closing tag; unclosed ones stay.
+
+    The text is cut after every closing tag, and a piece that ends in one loses all from its
+    first opening tag on. One pattern over the whole text would look for the end of every
+    unclosed tag anew.
+    """
+    pieces = F.split(text, f"(?iu)(?<={THINK_CLOSE})", -1)
+    dropped = F.concat_ws(
+        "",
+        F.transform(
+            pieces,
+            lambda piece: F.when(
+                F.lower(F.right(piece, F.lit(len(THINK_CLOSE)))) == THINK_CLOSE,
+                F.regexp_replace(piece, f"(?isu){THINK_OPEN}.*\\z", ""),
+            ).otherwise(piece),
+        ),
+    )
+    return F.when(text.rlike(f"(?iu){THINK_CLOSE}"), dropped).otherwise(text)
+
+
 def clean_response(text: Column) -> Column:
     """Drop reasoning blocks; keep the body of the first fenced block if there is one."""
-    cleaned = strip(F.regexp_replace(strip(text), THINK_BLOCK, ""))
-    return strip(F.regexp_replace(cleaned, FENCED_BLOCK, "$1"))
+    return strip(F.regexp_replace(strip(_without_reasoning(strip(text))), FENCED_BLOCK, "$1"))
 
 
 def from_first_bracket(cleaned: Column) -> Column:

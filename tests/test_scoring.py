@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +71,19 @@ def test_payload_in_noise(spark):
     ]
 
 
+def test_cleaning_against_brute_force(spark):
+    source = random.Random(3)
+    tokens = ["<think>", "</think>", "<THINK>", "</Think>", "```", "```JSON", "json", "x", " ", "\n", "{", "}", "\u2003", "é"]
+    texts = ["".join(source.choices(tokens, k=source.randrange(14))) for _ in range(3000)]
+    expected = []
+    for text in texts:
+        text = re.sub("<think>.*?</think>", "", text.strip(), flags=re.S | re.I).strip()
+        fence = re.search(r"```(?:json)?\s*(.*?)```", text, flags=re.S | re.I)
+        expected.append(fence.group(1).strip() if fence else text)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(clean_response(F.col("t"))).collect()] == expected
+
+
 def test_reasons_and_long_text(spark):
     prose, fences = "word { \" " * 20_000, "word ``` { \" " * 20_000
     texts = ["none", "{bad", "[1] " + prose, prose, "[1] " + fences, "<think>" * 20_000, "```" + prose]
