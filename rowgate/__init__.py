@@ -2,7 +2,7 @@
 
 from .operators import *  # noqa: F401,F403
 from .plans import TEXT_COMPRESSION, Axis, CodeRule, Plan, Profile
-from .session import configure, session, stage
+from .session import clear_staging, configure, session, stage
 from .sinks import *  # noqa: F401,F403
 from .sources import *  # noqa: F401,F403
 from .streaming import merge_arrivals
@@ -13,6 +13,7 @@ __all__ = [
     "Plan",
     "Profile",
     "TEXT_COMPRESSION",
+    "clear_staging",
     "configure",
     "merge_arrivals",
     "session",

@@ -137,14 +137,11 @@ def quality_gate(
 
 def gate_metrics(gated: DataFrame) -> DataFrame:
     """Counts of a gate in one row; accepted and rejected are those after dedupe."""
-    batches = gated.where("batch_error IS NOT NULL").agg(
-        F.count_distinct("batch_id").alias("validation_error_batches")
-    )
     accepted = F.count_if(F.col("status") == "accepted")
-    counts = gated.agg(
+    return gated.agg(
         F.count("*").alias("raw_sample_count"),
         accepted.alias("valid_count"),
         (F.count("*") - accepted).alias("rejected_count"),
         F.count_if(F.col("status") == "duplicate").alias("duplicate_count"),
+        F.count_distinct(F.when(F.col("batch_error").isNotNull(), F.col("batch_id"))).alias("validation_error_batches"),
     )
-    return counts.crossJoin(batches)

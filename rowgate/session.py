@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings. Repeated keys in a JSON object: the last one wins.
@@ -48,9 +49,22 @@ def staging_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """The folder of this application below the staging root."""
+    return f"{staging_root(spark).rstrip('/')}/rowgate-{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the staging folder."""
-    return f"{staging_root(spark).rstrip('/')}/rowgate/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder of this application."""
+    return f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_staging(spark: SparkSession) -> None:
+    """Delete what this application has staged. Results that read from it cannot be used after."""
+    folder = staging_folder(spark)
+    system, path = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -36,6 +36,16 @@ def spark_rows(df) -> tuple[list[str], list[tuple]]:
     return names, sorted((tuple(_cell(r[n]) for n in names) for r in df.collect()), key=repr)
 
 
+# DuckDB names of the Spark types that the queries return
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def type_difference(df, connection, sql: str) -> str | None:
+    described = {d[0]: str(d[1]) for d in connection.execute(f"SELECT * FROM ({sql}) LIMIT 0").description}
+    found = {name: DUCK_TYPES.get(kind, kind) for name, kind in df.dtypes}
+    return None if found == described else f"types {found} and {described}"
+
+
 def duck_rows(connection, sql: str) -> tuple[list[str], list[tuple]]:
     result = connection.execute(sql)
     columns = [d[0] for d in result.description]
@@ -46,6 +56,9 @@ def duck_rows(connection, sql: str) -> tuple[list[str], list[tuple]]:
 
 def difference(df, connection, sql: str) -> str | None:
     """None if the rows are equal, else a short description of the first difference."""
+    wrong_types = type_difference(df, connection, sql)
+    if wrong_types:
+        return wrong_types
     (names, found), (other, expected) = spark_rows(df), duck_rows(connection, sql)
     if names != other:
         return f"columns {names} and {other}"

@@ -8,6 +8,7 @@ import pytest
 from rowgate.operators import merge_rows
 from rowgate.plans import Plan
 from rowgate.sinks import json_lines_to_columnar, write_json_lines, write_rows, write_run_artifacts
+from rowgate.session import clear_staging, stage
 from rowgate.sources import read_json_lines
 from rowgate.streaming import merge_arrivals
 
@@ -111,3 +112,13 @@ def test_arriving_chunks_equal_one_merge(spark, tmp_path):
     whole = merge_rows(read_json_lines(spark, str(folder)), plan, stage_checked=True)
     assert rows == sorted((r.raw, r.status) for r in whole.collect()) == sorted((r.raw, r.status) for r in again.collect())
     assert [s for _, s in rows].count("accepted") == 4
+
+
+def test_staged_tables_are_in_the_shared_folder_and_can_be_cleared(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    staged = stage(spark.range(5).toDF("n"), "numbers")
+    assert staged.count() == 5
+    assert all(name.startswith(f"file://{root}") for name in staged.inputFiles())
+    clear_staging(spark)
+    assert not list(root.glob("rowgate-*"))
+    clear_staging(spark)
