@@ -9,7 +9,8 @@ from .text import strip
 
 # Fixed patterns: the tags around reasoning, and the first fenced block of a response.
 THINK_OPEN, THINK_CLOSE = "<think>", "</think>"
-FENCED_BLOCK = r"(?isu)^.*?```(?:json)?(.*?)```.*\z"
+FENCE = "```"
+FENCED_BLOCK = rf"(?s)^.*?{FENCE}(?iu:json)?(.*?){FENCE}.*\z"
 FIRST_BRACKET = r"(?s)[\{\[].*"
 
 # Where a number may stand that variant text does not keep apart: 1 and 1.0, or beyond 38
@@ -55,12 +56,18 @@ def _without_reasoning(text: Column) -> Column:
             ).otherwise(piece),
         ),
     )
-    return F.when(text.rlike(f"(?iu){THINK_CLOSE}"), dropped).otherwise(text)
+    closes = text.contains(THINK_CLOSE[:2]) & text.rlike(f"(?iu){THINK_CLOSE}")
+    return F.when(closes, dropped).otherwise(text)
 
 
 def clean_response(text: Column) -> Column:
-    """Drop reasoning blocks; keep the body of the first fenced block if there is one."""
-    return strip(F.regexp_replace(strip(_without_reasoning(strip(text))), FENCED_BLOCK, "$1"))
+    """Drop reasoning blocks; keep the body of the first fenced block if there is one.
+
+    Plain substring tests come first: most texts then need no pattern at all.
+    """
+    cleaned = _without_reasoning(strip(text))
+    fenced = F.regexp_replace(cleaned, FENCED_BLOCK, "$1")
+    return strip(F.when(text.contains(FENCE), fenced).otherwise(cleaned))
 
 
 def from_first_bracket(cleaned: Column) -> Column:

@@ -58,16 +58,11 @@ def row_batches(rows: DataFrame, batch_size: int, seq: str = "seq") -> DataFrame
 
 def plan_summary(plan: Plan) -> str:
     """The plan in a few lines of text, for the head of a request."""
-    properties = plan.row_schema["properties"]
-    required = ", ".join(plan.row_schema.get("required", [])) or "(none)"
-    return "\n".join(
-        [
-            f"Dataset: {plan.dataset_name}",
-            f"Description: {plan.description}",
-            f"Fields: {', '.join(sorted(properties))}",
-            f"Required: {required}",
-            f"Target rows: {plan.num_rows} (batch {plan.batch_size})",
-        ]
+    required = plan.row_schema.get("required") or ["none"]
+    return (
+        f"{plan.dataset_name}: {plan.description}\n"
+        f"Columns: {', '.join(plan.field_names)} (always present: {', '.join(required)})\n"
+        f"Size: {plan.num_rows} rows in batches of {plan.rows_per_batch}"
     )
 
 
