@@ -9,6 +9,7 @@ from .common import prepared
 # name of the query: module that has the function of that name
 _MODULES = {
     "op1_decontaminate": "decontaminate",
+    "op5_simhash": "simhash",
 }
 
 
