@@ -10,6 +10,7 @@ from .common import prepared
 _MODULES = {
     "op1_decontaminate": "decontaminate",
     "op5_simhash": "simhash",
+    "op6_toxicity": "toxicity",
 }
 
 
