@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 # Rows per Arrow batch: some texts have a hundred thousand characters, so batches are kept short.
 BATCH_ROWS = 400
@@ -14,9 +20,20 @@ BATCH_ROWS = 400
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+_shipped: set[str] = set()
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Set the size of Arrow batches for operators that hand whole texts to Python."""
+    """Set the size of Arrow batches, and send this package to the Python workers once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package, made = Path(__file__).resolve().parents[1], tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, made, ignore_errors=True)  # the driver serves the archive until it ends
+        copy = Path(made, "package", package.name)
+        shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{made}/{package.name}", "zip", copy.parent))
+        _shipped.add(context.applicationId)
     return spark
 
 
@@ -33,9 +50,6 @@ def over_batches(
     df: DataFrame, work: Callable[[pa.RecordBatch], list[list]], schema: str
 ) -> DataFrame:
     """Map Arrow batches to columns: ``work`` returns one list per column of ``schema``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

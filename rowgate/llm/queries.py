@@ -11,6 +11,7 @@ _MODULES = {
     "op1_decontaminate": "decontaminate",
     "op5_simhash": "simhash",
     "op6_toxicity": "toxicity",
+    "op2_pii": "pii",
 }
 
 
