@@ -12,6 +12,7 @@ _MODULES = {
     "op5_simhash": "simhash",
     "op6_toxicity": "toxicity",
     "op2_pii": "pii",
+    "op7_packing": "packing",
 }
 
 
