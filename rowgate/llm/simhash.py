@@ -199,7 +199,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> Dat
     if not 0 <= max_bits <= 4:
         raise ValueError("two halves with one changed bit each reach 4 differing bits, not more")
     schema = "u bigint, v bigint, key bigint, block bigint"
-    dealt = keyed(fps).repartition("key").sortWithinPartitions("key")
+    # a fingerprint becomes a kilobyte of keys, so many tasks make them
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    dealt = keyed(spread).repartition("key").sortWithinPartitions("key")
     first = stage(dealt.mapInArrow(_links(["key"], max_bits, bucket), schema), "links")
     large = first.filter("key IS NOT NULL").select("key", "block", F.col("u").alias("fp"))
     edges = first.filter("key IS NULL").select("u", "v")

@@ -155,12 +155,13 @@ def beginnings(text: str | None) -> set[str]:
 def _sampled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     """At most about ``fit_rows`` labelled rows (text, toxic) that aren't held out."""
     usable = labels.filter("toxic IS NOT NULL").filter(~held_out("doc_id"))
-    rows = usable.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    rows = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = rows.count()
     if total > fit_rows:
         share = int(fit_rows / total * (1 << 31))
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < share)
-    return _examples(docs.select("doc_id", "text").join(rows, "doc_id"))
+    # one row per id and about fit_rows of them: small enough to send to every task, so no text is shuffled
+    return _examples(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id"))
 
 
 def _examples(rows: DataFrame) -> DataFrame:
