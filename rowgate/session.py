@@ -59,6 +59,23 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and folder that Spark itself would take it for."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(made).toString()
+
+
+def arrow_file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a qualified path, and the path in it; for use inside tasks too."""
+    scheme, _, rest = uri.partition(":")
+    if not rest or scheme == "file":
+        path = rest or uri
+        return fs.LocalFileSystem(), "/" + path.lstrip("/") if rest else path
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    return fs.FileSystem.from_uri(uri)
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Delete what this application has staged. Results that read from it cannot be used after."""
     folder = staging_folder(spark)
