@@ -13,6 +13,8 @@ _MODULES = {
     "op6_toxicity": "toxicity",
     "op2_pii": "pii",
     "op7_packing": "packing",
+    "op3_records": "records",
+    "op8_token_counts": "token_counts",
 }
 
 
