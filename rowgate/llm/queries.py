@@ -15,6 +15,7 @@ _MODULES = {
     "op7_packing": "packing",
     "op3_records": "records",
     "op8_token_counts": "token_counts",
+    "op9_host_rules": "host_rules",
 }
 
 
