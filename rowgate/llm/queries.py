@@ -16,6 +16,7 @@ _MODULES = {
     "op3_records": "records",
     "op8_token_counts": "token_counts",
     "op9_host_rules": "host_rules",
+    "op10_html": "html_extract",
 }
 
 
