@@ -46,11 +46,16 @@ def encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow schema of a Spark schema; on the driver, as Spark parses it."""
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
 def over_batches(
     df: DataFrame, work: Callable[[pa.RecordBatch], list[list]], schema: str
 ) -> DataFrame:
     """Map Arrow batches to columns: ``work`` returns one list per column of ``schema``."""
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,6 +17,7 @@ _MODULES = {
     "op8_token_counts": "token_counts",
     "op9_host_rules": "host_rules",
     "op10_html": "html_extract",
+    "op4_warc": "warc",
 }
 
 
