@@ -6,7 +6,7 @@ from .common import Entry
 
 
 def catalog() -> dict[str, Entry]:
-    from . import checks, files, merging, responses, scoring
+    from . import checks, files, merging, reports, responses, scoring
 
     return {
         **merging.QUERIES,
@@ -14,4 +14,5 @@ def catalog() -> dict[str, Entry]:
         **responses.QUERIES,
         **scoring.QUERIES,
         **files.QUERIES,
+        **reports.QUERIES,
     }

@@ -274,19 +274,32 @@ FROM batches
 
 
 def audit(spark, sf_dir):
-    """Batches of all documents; texts that are too short did not come back."""
-    documents = table(spark, sf_dir, "documents")
-    totals = documents.agg(F.count("*").alias("total")).withColumn("chunk_id", F.lit("all"))
-    samples = number_rows(documents.select("doc_id", "text"), "doc_id").where(F.length("text") >= 30)
-    samples = samples.select(F.lit("all").alias("chunk_id"), F.expr("idx div 7").alias("batch_index"))
+    """Batches of the documents of each chunk; short texts did not come back, and one chunk has no name.
+
+    Rows of chunk 2 come back in batches of nine instead of seven, so some are surplus.
+    """
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 3).alias("third"))
+    chunk = F.when(F.col("third") > 0, F.col("third").cast("string"))
+    totals = documents.groupBy(chunk.alias("chunk_id")).agg(F.count("*").alias("total"))
+    back = documents.where(F.length("text") >= 30)
+    place = F.expr("doc_id div 3 div 7")
+    surplus = back.where("third = 2 AND doc_id % 5 = 0").select(chunk.alias("chunk_id"), (place + 100_000).alias("batch_index"))
+    samples = back.select(chunk.alias("chunk_id"), place.alias("batch_index")).unionByName(surplus)
     return batch_audit(batch_table(totals, 7), samples)
 
 
 _AUDIT_SQL = """
-WITH n AS (SELECT text, (row_number() OVER (ORDER BY doc_id) - 1) // 7 AS batch_index FROM documents)
-SELECT 'all' AS chunk_id, batch_index, count(*) AS expected, count(*) FILTER (length(text) >= 30) AS got,
-       count(*) = count(*) FILTER (length(text) >= 30) AS ok
-FROM n GROUP BY batch_index
+WITH d AS (SELECT doc_id, text, doc_id % 3 AS third, CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id % 3 AS VARCHAR) END AS chunk_id FROM documents),
+t AS (SELECT chunk_id, count(*) AS total FROM d GROUP BY chunk_id),
+u AS (SELECT chunk_id, total, unnest(range((total + 6) // 7)) AS batch_index FROM t),
+asked AS (SELECT chunk_id, batch_index, least(7, total - batch_index * 7) AS n FROM u),
+back AS (
+  SELECT chunk_id, doc_id // 3 // 7 AS batch_index FROM d WHERE length(text) >= 30
+  UNION ALL SELECT chunk_id, doc_id // 3 // 7 + 100000 FROM d WHERE length(text) >= 30 AND third = 2 AND doc_id % 5 = 0
+), got AS (SELECT chunk_id, batch_index, count(*) AS n FROM back GROUP BY ALL)
+SELECT coalesce(a.chunk_id, g.chunk_id) AS chunk_id, coalesce(a.batch_index, g.batch_index) AS batch_index,
+  CAST(coalesce(a.n, 0) AS BIGINT) AS expected, CAST(coalesce(g.n, 0) AS BIGINT) AS got, coalesce(a.n, 0) > 0 AND coalesce(a.n, 0) = coalesce(g.n, 0) AS ok
+FROM asked a FULL JOIN got g ON a.chunk_id IS NOT DISTINCT FROM g.chunk_id AND a.batch_index = g.batch_index
 """
 
 QUERIES: dict[str, Entry] = {

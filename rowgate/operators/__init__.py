@@ -12,6 +12,7 @@ from .merge import (
     merge_rows,
     rejected,
 )
+from .reports import axis_coverage, batch_targets, chunk_overlap, issue_profile, policy_filter, source_repeats
 from .responses import (
     explode_samples,
     explode_verdicts,
@@ -26,6 +27,12 @@ from .validate import is_valid, split_rejects, typed_projection, validate_rows
 from .verdicts import align_verdicts, apply_verdicts, gate_metrics, quality_gate
 
 __all__ = [
+    "source_repeats",
+    "policy_filter",
+    "issue_profile",
+    "chunk_overlap",
+    "batch_targets",
+    "axis_coverage",
     "accepted",
     "align_verdicts",
     "apply_verdicts",

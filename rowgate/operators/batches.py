@@ -56,14 +56,19 @@ def row_batches(rows: DataFrame, batch_size: int, seq: str = "seq") -> DataFrame
     ).drop("__idx", "__rows")
 
 
+def _field_line(name: str, rules: object, required: bool) -> str:
+    """One line on a field: its name, kind, limits, and whether it may be left out."""
+    rules = rules if isinstance(rules, dict) else {}
+    limits = [f"{key} {json.dumps(rules[key], ensure_ascii=False)}" for key in sorted(rules) if key not in ("type", "description", "properties", "items")]
+    facts = [str(rules.get("type", "any")), *limits, *([] if required else ["optional"])]
+    return f"- {name} ({'; '.join(facts)})" + (f": {rules['description']}" if rules.get("description") else "")
+
+
 def plan_summary(plan: Plan) -> str:
-    """The plan in a few lines of text, for the head of a request."""
-    required = plan.row_schema.get("required") or ["none"]
-    return (
-        f"{plan.dataset_name}: {plan.description}\n"
-        f"Columns: {', '.join(plan.field_names)} (always present: {', '.join(required)})\n"
-        f"Size: {plan.num_rows} rows in batches of {plan.rows_per_batch}"
-    )
+    """What a request has to say about a plan: its purpose, then a line per field."""
+    properties, required = plan.row_schema["properties"], set(plan.row_schema.get("required") or [])
+    lines = [_field_line(name, properties[name], name in required) for name in plan.field_names]
+    return "\n".join([f"Rows of {plan.dataset_name!r}. {plan.description}", *lines])
 
 
 def plan_section(plan: Plan) -> str:

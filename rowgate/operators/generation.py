@@ -80,15 +80,16 @@ def generation_requests(batches: DataFrame, plan: Plan, key: str = "chunk_id") -
 
 
 def batch_audit(batches: DataFrame, samples: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Compare the rows that came back with those asked for: ``expected``, ``got``, ``ok``."""
-    got = samples.groupBy(key, "batch_index").agg(F.count("*").alias("got"))
-    return batches.join(got, [key, "batch_index"], "left").select(
-        key,
-        "batch_index",
-        F.col("n_rows").alias("expected"),
-        F.coalesce("got", F.lit(0)).alias("got"),
-        (F.col("n_rows") == F.coalesce("got", F.lit(0))).alias("ok"),
-    )
+    """Compare the rows that came back with those asked for: ``expected``, ``got``, ``ok``.
+
+    A batch that nobody asked for is listed with ``expected`` 0 and is not ok. A NULL chunk or
+    index is a value like others, so rows without a chunk meet the batches without one.
+    """
+    asked = batches.select(key, "batch_index", F.col("n_rows").cast("bigint").alias("expected"), F.lit(0).cast("bigint").alias("got"))
+    got = samples.groupBy(key, "batch_index").agg(F.lit(0).cast("bigint").alias("expected"), F.count("*").alias("got"))
+    # grouping takes NULLs as equal and keeps both sides, as a null-safe full outer join would
+    both = asked.unionByName(got).groupBy(key, "batch_index").agg(F.sum("expected").alias("expected"), F.sum("got").alias("got"))
+    return both.withColumn("ok", (F.col("expected") > 0) & (F.col("expected") == F.col("got")))
 
 
 def require_complete(audit: DataFrame) -> None:
