@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowgate import Plan
-from rowgate.operators import merge_inputs, merge_rows, row_batches, typed_projection
+from rowgate.operators import merge_inputs, merge_rows, number_rows, row_batches, typed_projection
 from rowgate.session import staging_path
 from rowgate.sinks import (
     code_file_table,
     json_lines_to_columnar,
+    write_code_files,
     write_columnar,
     write_json_lines,
     write_rows,
@@ -21,6 +22,7 @@ from rowgate.streaming import merge_arrivals
 from .checks import DOCUMENT_PLAN
 from .common import Entry, joined, table
 from .merging import TEXT_PLAN, _MERGED
+from .scoring import GATE, gated_documents
 
 
 def documents_as_rows(spark, sf_dir):
@@ -30,28 +32,30 @@ def documents_as_rows(spark, sf_dir):
 def scan_jsonl(spark, sf_dir):
     """Two inputs in order, with blank and broken lines between the rows."""
     documents = staging_path(spark, "documents") + ".jsonl"
-    write_json_lines(documents_as_rows(spark, sf_dir), documents)
+    write_json_lines(documents_as_rows(spark, sf_dir), documents, ordered=True)
     events = staging_path(spark, "events") + ".jsonl"
     lines = F.when(F.col("event_id") % 9 == 0, F.concat("props", F.lit("\n  \n"), F.col("props"), F.lit(" x"))).otherwise(
         F.concat(F.lit("  "), F.col("props"))
     )
-    table(spark, sf_dir, "events").select(lines.alias("value")).write.text(events)
+    table(spark, sf_dir, "events").orderBy("event_id").select(lines.alias("value")).write.text(events)
     rows = read_json_lines(spark, [documents, events])
-    return rows.groupBy("input_ord", F.col("v").isNull().alias("broken")).agg(
-        F.count("*").alias("n"),
-        F.count_distinct("seq").alias("n_seq"),
-        F.sum(F.try_variant_get("v", "$.k", "bigint")).alias("sum_k"),
-        F.sum(F.length(F.try_variant_get("v", "$.text", "string"))).cast("bigint").alias("text_length"),
+    # the rank of every line in the order of the inputs, and what it holds
+    ranked = number_rows(rows.select("seq", "input_ord", "raw", "v"), into="line")
+    of_input = ranked.groupBy("input_ord").agg(F.min("line").alias("first"))
+    placed = ranked.join(F.broadcast(of_input), "input_ord")  # one row per input
+    shown = F.when(F.col("input_ord") == 0, F.try_variant_get("v", "$.text", "string")).otherwise(F.col("raw"))
+    return placed.select(
+        "input_ord", (F.col("line") - F.col("first")).alias("line"), F.col("v").isNull().alias("broken"), shown.alias("content")
     )
 
 
 _SCAN_SQL = """
-SELECT 0 AS input_ord, false AS broken, count(*) AS n, count(*) AS n_seq, NULL::BIGINT AS sum_k, sum(length(text))::BIGINT AS text_length
-FROM documents
+WITH e AS (
+  SELECT event_id, 0 AS part, props AS content, false AS broken FROM events
+  UNION ALL SELECT event_id, 1, props || ' x', true FROM events WHERE event_id % 9 = 0)
+SELECT 0 AS input_ord, row_number() OVER (ORDER BY doc_id) - 1 AS line, false AS broken, text AS content FROM documents
 UNION ALL
-SELECT 1, false, count(*), count(*), sum(cast(props->>'$.k' AS BIGINT))::BIGINT, NULL FROM events
-UNION ALL
-SELECT 1, true, count(*), count(*), NULL, NULL FROM events WHERE event_id % 9 = 0
+SELECT 1, row_number() OVER (ORDER BY event_id, part) - 1, broken, content FROM e
 """
 
 
@@ -177,12 +181,52 @@ _ARRIVALS_SQL = _MERGED + """
 SELECT text, status, case status when 'duplicate' then 'duplicate_exact' else issues end AS issues FROM marked
 """
 
+def code_files_roundtrip(spark, sf_dir):
+    """Write one file per page, and read the files back."""
+    pages = table(spark, sf_dir, "pages")
+    folder = write_code_files(rows_from_table(pages, "page_id", ["html"]), staging_path(spark, "code"), HTML_PLAN)
+    files = spark.read.text(f"{folder}/*.html", wholetext=True)
+    name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1)
+    return files.select(name.alias("file_name"), F.col("value").alias("content"))
+
+
+_CODE_BACK_SQL = """
+SELECT 'sample_' || lpad((row_number() OVER (ORDER BY page_id) - 1)::VARCHAR, 5, '0') || '.html' AS file_name, html AS content FROM pages
+"""
+
+
+def gate_artifacts(spark, sf_dir):
+    """Gate the documents, write the run's artifacts, and read metrics and rows back."""
+    paths = write_run_artifacts(gated_documents(spark, sf_dir), staging_path(spark, "gated"), TEXT_PLAN)
+    metrics = spark.read.text(paths["metrics_json"], wholetext=True).select(
+        F.lit("metrics").alias("file"), F.explode(F.from_json("value", "map<string,bigint>")).alias("name", "n")
+    )
+    rows = [
+        read_json_lines(spark, paths[f"{file}_jsonl"]).agg(F.count("*").alias("n")).select(F.lit(file).alias("file"), F.lit("rows").alias("name"), "n")
+        for file in ("accepted", "rejected")
+    ]
+    return metrics.unionByName(rows[0]).unionByName(rows[1])
+
+
+_GATED_SQL = GATE + """
+, counted AS (
+  SELECT count(*) AS raw_sample_count, count(*) FILTER (status = 'accepted') AS valid_count,
+    count(*) FILTER (status <> 'accepted') AS rejected_count, count(*) FILTER (status = 'duplicate') AS duplicate_count,
+    count(DISTINCT batch_id) FILTER (batch_error IS NOT NULL) AS validation_error_batches
+  FROM gated)
+SELECT 'metrics' AS file, name, n FROM (UNPIVOT counted ON COLUMNS(*) INTO NAME name VALUE n)
+UNION ALL SELECT 'accepted', 'rows', valid_count FROM counted
+UNION ALL SELECT 'rejected', 'rows', rejected_count FROM counted
+"""
+
 QUERIES: dict[str, Entry] = {
     "scan_jsonl": (scan_jsonl, _SCAN_SQL),
     "scan_json_array": (scan_json_array, "SELECT doc_id, text, 0 AS input_ord FROM documents"),
     "jsonl_roundtrip": (jsonl_roundtrip, _DOCUMENTS_SQL),
     "columnar_roundtrip": (columnar_roundtrip, _COLUMNAR_SQL),
     "code_file_table": (code_files, _CODE_FILES_SQL),
+    "code_files_roundtrip": (code_files_roundtrip, _CODE_BACK_SQL),
+    "gate_artifacts": (gate_artifacts, _GATED_SQL),
     "merge_roundtrip": (merge_roundtrip, _ROUNDTRIP_SQL),
     "merge_files": (merge_files, _FILES_SQL),
     "incremental_merge": (incremental_merge, _ARRIVALS_SQL),

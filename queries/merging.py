@@ -214,6 +214,44 @@ def scan_columnar(spark, sf_dir):
     )
 
 
+def dedupe_timestamps(spark, sf_dir):
+    """Events at a time cut to tenths of a millisecond, of which some are equal and many are near."""
+    events = table(spark, sf_dir, "events")
+    micros = F.expr("unix_micros(CAST(ts AS TIMESTAMP)) div 100 * 100")
+    at = F.timestamp_micros(F.when(F.col("event_id") % 3 == 0, F.expr("1704067200000000 + (event_id % 1000) * 100")).otherwise(micros))
+    rows = events.select("event_id", at.alias("at"), F.create_map(F.lit("k"), "event_type", F.lit("a"), F.lit("x")).alias("tags"))
+    swapped = F.create_map(F.lit("a"), F.lit("x"), F.lit("k"), F.col("tags")["k"])
+    rows = rows.withColumn("tags", F.when(F.col("event_id") % 2 == 0, swapped).otherwise(F.col("tags")))
+    return dedupe_rows(rows, columns=["at", "tags"], seq="event_id").select("event_id", "is_first")
+
+
+_TIMESTAMPS_SQL = """
+WITH e AS (
+  SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN 1704067200000000 + (event_id % 1000) * 100
+    ELSE epoch_us(ts) // 100 * 100 END AS cut
+  FROM events)
+SELECT event_id, row_number() OVER (PARTITION BY cut, event_type ORDER BY event_id) = 1 AS is_first FROM e
+"""
+
+
+def merge_keeps_columns(spark, sf_dir):
+    """Events with columns that are named like the results of a merge."""
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("status"), F.col("value").alias("score"), F.col("user_id").alias("key"), F.col("props").alias("issues")
+    )
+    rules = {"type": "object", "properties": {"score": {"type": "number", "maximum": 50}}}
+    merged = merge_rows(events, rules, columns=["status", "score"], seq="event_id", prefix="merge_")
+    return merged.select("event_id", "status", "score", "key", "issues", "merge_status", F.size("merge_issues").alias("n_issues"))
+
+
+_KEEPS_SQL = """
+SELECT event_id, event_type AS status, value AS score, user_id AS key, props AS issues,
+  CASE WHEN value > 50 THEN 'invalid'
+    WHEN row_number() OVER (PARTITION BY event_type, value > 50, value ORDER BY event_id) > 1 THEN 'duplicate' ELSE 'accepted' END AS merge_status,
+  CASE WHEN value > 50 OR row_number() OVER (PARTITION BY event_type, value > 50, value ORDER BY event_id) > 1 THEN 1 ELSE 0 END AS n_issues
+FROM events
+"""
+
 QUERIES: dict[str, Entry] = {
     "merge_status": (merge_status, _STATUS_SQL),
     "merge_status_json": (merge_status_json, _STATUS_JSON_SQL),
@@ -223,6 +261,8 @@ QUERIES: dict[str, Entry] = {
     "duplicate_rejects": (duplicate_rejects, _REJECTS_SQL),
     "canonical_key": (canonical_key, _CANONICAL_SQL),
     "canonical_numbers": (canonical_numbers, _NUMBERS_SQL),
+    "dedupe_timestamps": (dedupe_timestamps, _TIMESTAMPS_SQL),
+    "merge_keeps_columns": (merge_keeps_columns, _KEEPS_SQL),
     "union_chunks": (union_chunks, _UNION_SQL),
     "rows_from_table": (table_rows, _TABLE_SQL),
     "scan_columnar": (scan_columnar, "SELECT doc_id, text, 0 AS input_ord FROM documents"),

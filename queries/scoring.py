@@ -27,11 +27,8 @@ LABEL_PLAN = Plan(
 )
 
 
-def _small_json(df):
-    raw = F.concat(
-        F.lit('{"doc_id":'), F.col("doc_id").cast("string"), F.lit(',"n_chars":'), F.col("n_chars").cast("string"), F.lit("}")
-    )
-    return df.select(F.col("doc_id").alias("seq"), raw.alias("raw"))
+def _as_json(df):
+    return df.select(F.col("doc_id").alias("seq"), F.to_json(F.struct("doc_id", "n_chars", "text")).alias("raw"))
 
 
 def batched_documents(spark, sf_dir):
@@ -47,7 +44,7 @@ FROM n
 
 
 def requests(spark, sf_dir):
-    batched = row_batches(_small_json(table(spark, sf_dir, "documents")), 10)
+    batched = row_batches(_as_json(table(spark, sf_dir, "documents")), 10)
     return score_requests(batched, LABEL_PLAN)
 
 
@@ -62,7 +59,7 @@ requests AS (
     'Validate the following ' || count(*) || ' samples against the schema.' || chr(10) ||
     'For each sample, return: {"index": int, "is_valid": bool, "score": float (0-1), "issues": [str]}.' || chr(10) ||
     'Return a JSON array.' || chr(10) || chr(10) || 'Samples:' || chr(10) ||
-    '[' || string_agg('{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}', ',' ORDER BY doc_id) || ']' AS message
+    '[' || string_agg('{"doc_id":' || doc_id || ',"n_chars":' || n_chars || ',"text":' || CAST(to_json(text) AS VARCHAR) || '}', ',' ORDER BY doc_id) || ']' AS message
   FROM n GROUP BY i // 10)
 """
 
@@ -89,7 +86,7 @@ def make_stub():
 
 
 def scorer_answers(spark, sf_dir):
-    answers = run_scorer(requests(spark, sf_dir), make_stub())
+    answers = run_scorer(requests(spark, sf_dir), make_stub(), partitions=16)
     return answers.select("batch_id", F.col("attempts").cast("bigint").alias("attempts"), "text", "error")
 
 
@@ -229,6 +226,7 @@ gated AS (
   FROM m
   UNION ALL SELECT doc_id, NULL, NULL, 'rejected', 0.0, found FROM c WHERE found <> '')
 """
+GATE = _GATE
 _GATE_SQL = _GATE + "SELECT doc_id, status, score, issues FROM gated"
 
 

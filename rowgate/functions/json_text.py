@@ -22,6 +22,18 @@ _STRING_OR_NUMBER = (
 )
 
 
+# The plain parser takes no string of 20,000,000 characters; the reader's parser takes any, up to
+# the size of a VARIANT (128 MiB). What is longer is an error, never a broken row.
+PLAIN_PARSED = 19_000_000
+MOST_PARSED = 60_000_000
+
+
+def parse_json(text: Column) -> Column:
+    """The text as VARIANT, NULL if it does not begin with a JSON value; long strings included."""
+    long = F.from_json(text, "variant", {"maxStringLen": str(2**31 - 1)})
+    return F.when(F.length(text) > PLAIN_PARSED, long).otherwise(F.try_parse_json(text))
+
+
 def with_parsed(df: DataFrame, text: str, into: str) -> DataFrame:
     """Add ``into``: the text column as VARIANT, NULL unless the whole text is one JSON value.
 
@@ -30,12 +42,16 @@ def with_parsed(df: DataFrame, text: str, into: str) -> DataFrame:
     The pair is a column of its own so that each text is parsed once.
     """
     pair, mark = f"__{into}_pair", F.xxhash64(F.col(text))
+    size = F.length(text)
     wrapped = F.concat(F.lit("["), F.col(text), F.lit(","), mark.cast("string"), F.lit("]"))
     whole = (F.try_variant_get(pair, "$[1]", "bigint") == mark) & F.try_variant_get(
         pair, "$[2]", "variant"
     ).isNull()
     value = F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
-    return df.withColumn(pair, F.try_parse_json(wrapped)).withColumn(into, value).drop(pair)
+    too_long = F.concat(F.lit("a JSON text of "), size.cast("string"), F.lit(" characters is beyond what can be parsed"))
+    refused = value.isNull() & (size > MOST_PARSED)
+    value = F.when(refused, F.raise_error(too_long).cast("variant")).otherwise(value)
+    return df.withColumn(pair, parse_json(wrapped)).withColumn(into, value).drop(pair)
 
 
 def _without_reasoning(text: Column) -> Column:
@@ -81,7 +97,9 @@ def json_span(cleaned: Column) -> Column:
     The text must parse from the first bracket on; what follows the value is ignored.
     """
     tail = from_first_bracket(cleaned)
-    return F.when(F.try_parse_json(tail).isNotNull(), F.get_json_object(tail, "$"))
+    long = F.raise_error(F.lit("a response of over 19,000,000 characters cannot be searched for JSON")).cast("string")
+    span = F.when(F.try_parse_json(tail).isNotNull(), F.get_json_object(tail, "$"))
+    return F.when(F.length(tail) > PLAIN_PARSED, long).otherwise(span)
 
 
 def canonical_json(raw: Column, parsed: Column) -> Column:
@@ -93,12 +111,19 @@ def canonical_json(raw: Column, parsed: Column) -> Column:
     in escaped form.
     """
     mark = "\x01"
-    marked = F.regexp_replace(F.get_json_object(raw, "$"), _STRING_OR_NUMBER, f"$1{mark}$2{mark}")
+    # strings that begin with the mark get one more, so no string can pass for a marked float
+    told_apart = lambda text: F.replace(text, F.lit('"\\u0001'), F.lit('"\\u0001\\u0001'))
+    marked = F.regexp_replace(told_apart(F.get_json_object(raw, "$")), _STRING_OR_NUMBER, f"$1{mark}$2{mark}")
     marked = F.replace(marked, F.lit(mark * 2), F.lit(""))
     marked = F.regexp_replace(marked, f"{mark}([^{mark}]+){mark}", r'"\\u0001$1"')
     exact = F.to_json(F.try_parse_json(marked))
     is_number = F.ascii(raw).between(ord("0"), ord("9")) | raw.startswith("-")
-    return F.when(is_number | raw.rlike(_UNSAFE_NUMBER), exact).otherwise(F.to_json(parsed))
+    may_hold_floats = is_number | raw.rlike(_UNSAFE_NUMBER)
+    # a bare string loses its quotes on the way through a path, and holds no number
+    plain = told_apart(F.to_json(parsed))
+    # rows longer than the plain parser takes are compared by their own text if they may hold floats
+    exact = F.when(F.length(raw) > PLAIN_PARSED, raw).otherwise(exact)
+    return F.when(may_hold_floats & ~raw.startswith('"'), exact).otherwise(plain)
 
 
 def row_key(canonical: Column) -> Column:

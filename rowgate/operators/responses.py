@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json_text import clean_response, from_first_bracket
+from ..functions.json_text import clean_response, from_first_bracket, parse_json
 from ..functions.values import VariantValue, case, negate
 from ..sources.rows import json_elements
 
@@ -20,7 +20,7 @@ def _parsed(responses: DataFrame, text: str) -> DataFrame:
     """Add ``__tail``, the cleaned text from its first bracket on, ``v`` and ``reason``."""
     return (
         responses.withColumn("__tail", from_first_bracket(clean_response(F.col(text))))
-        .withColumn("v", F.try_parse_json("__tail"))
+        .withColumn("v", parse_json(F.col("__tail")))
         .withColumn(
             "reason",
             F.when(F.coalesce("__tail", F.lit("")) == "", "no_payload").when(F.col("v").isNull(), "bad_json"),

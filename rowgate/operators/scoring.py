@@ -41,6 +41,7 @@ def run_scorer(
     expect: str = "verdicts",
     max_calls: int = 3,
     keys: tuple[str, ...] = ("batch_id",),
+    partitions: int | None = None,
 ) -> DataFrame:
     """Answers to ``requests`` (``instructions``, ``message``) from a user-supplied scorer.
 
@@ -48,6 +49,9 @@ def run_scorer(
     one ``mapInPandas`` over all open requests, staged at once, so that neither a replan nor
     a lost executor calls the scorer again for finished rounds. Answers that do not parse go
     into the next round with a repair message; an exception of the scorer is final.
+
+    ``partitions`` is the number of tasks that call the scorer at a time; without it, it follows
+    the size of the requests, which may be too few for a slow scorer.
     """
     parse = {"verdicts": with_verdicts, "samples": with_samples}[expect]
     found = "verdicts" if expect == "verdicts" else "elements"
@@ -61,6 +65,8 @@ def run_scorer(
     ) + ", text string, scorer_error string"
     finished = []
     for attempt in range(1, max_calls + 1):
+        if partitions is not None:
+            pending = pending.repartition(partitions, *keys)
         answered = stage(pending.mapInPandas(_caller(make_scorer), answer_schema), f"answers-{attempt}")
         checked = parse(answered).drop(found).withColumn("attempts", F.lit(attempt))
         checked = checked.withColumn(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.row_checks import no_issues, with_schema_issues
 from ..functions.text import quote_column
@@ -88,6 +89,53 @@ def typed_projection(rows: DataFrame, plan: Plan, keep: Sequence[str] = ("seq",)
     return bindings.add_to(rows).selectExpr(*keep, *fields)
 
 
-def columns_as_json(columns: Sequence[str]) -> Column:
-    """Typed columns as one JSON text; equal texts mean equal rows of one table."""
-    return F.to_json(F.struct(*[F.col(quote_column(name)).alias(name) for name in columns]))
+def _exact(column: Column, kind: T.DataType) -> Column:
+    """The column in a form whose JSON text tells all its values apart, and equal ones not."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.TimestampNTZType):
+        return column.cast("string")  # to the microsecond, which JSON text is not
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(_exact(e["key"], kind.keyType).alias("k"), _exact(e["value"], kind.valueType).alias("v"))
+        entries = F.transform(F.map_entries(column), entry)
+        # by the key's text, as values may have no order
+        return F.array_sort(entries, lambda a, b: F.when(_text(a["k"]) < _text(b["k"]), -1).when(_text(a["k"]) > _text(b["k"]), 1).otherwise(0))
+    if isinstance(kind, T.ArrayType) and _needs_care(kind.elementType):
+        return F.transform(column, lambda e: _exact(e, kind.elementType))
+    if isinstance(kind, T.StructType) and _needs_care(kind):
+        fields = [_exact(column.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    return column
+
+
+def _text(column: Column) -> Column:
+    return F.to_json(F.struct(column.alias("x")))
+
+
+def _needs_care(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _needs_care(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_needs_care(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.MapType))
+
+
+def columns_as_json(columns: Sequence[str], rows: DataFrame | None = None) -> Column:
+    """Typed columns as one JSON text; equal texts mean equal rows of one table.
+
+    With ``rows``, which tell the types, timestamps count to the microsecond and the order of
+    a map's entries does not count.
+    """
+    exact = {name: F.col(quote_column(name)) for name in columns}
+    if rows is not None:
+        exact = {name: _exact(column, rows.schema[name].dataType) for name, column in exact.items()}
+    return F.to_json(F.struct(*[column.alias(name) for name, column in exact.items()]))
+
+
+def outputs(rows: DataFrame, names: Sequence[str], prefix: str = "") -> dict[str, str]:
+    """The names of result columns; an error if ``rows`` have one of them, as it would be lost."""
+    named = {name: f"{prefix}{name}" for name in names}
+    taken = sorted(set(named.values()) & set(rows.columns))
+    if taken:
+        raise ValueError(f"rows already have the columns {taken}; give another prefix for the results")
+    return named

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..plans import Plan, Profile
 from ..session import stage
 from .batches import row_batches
-from .merge import key_of, mark_first, with_status
-from .validate import is_valid, validate_rows
+from .merge import DUPLICATE, KEY, key_of
+from .validate import is_valid, outputs, validate_rows
 
 NO_RESPONSE = "no_response"
 
@@ -115,24 +115,33 @@ def quality_gate(
     ``score_requests(batched, plan)``. Rows that pass are then compared, and exact copies of
     an earlier one rejected too. ``batch_error`` tells which batches failed.
     """
+    outputs(rows, ("status", "issues", "score", "batch_id", "pos", "batch_n", "batch_error"))
     checked = validate_rows(rows, plan, columns=columns, profiles=profiles)
-    checked = checked.withColumn("key", F.when(is_valid(), key_of(columns)))
+    checked = checked.withColumn(KEY, F.when(is_valid(), key_of(columns, rows)))
     if columns is None:
         checked = checked.drop("v")
     checked = stage(checked, "gate")
-    batched = row_batches(checked.where(is_valid()), plan.rows_per_batch, seq)
-    scored = apply_verdicts(align_verdicts(batched, verdicts_for(batched), plan.rows_per_batch), min_score)
-    broken = checked.where(~is_valid()).withColumns({"status": F.lit("rejected"), "score": F.lit(0.0)})
-    together = scored.unionByName(broken, allowMissingColumns=True)
-    together = together.withColumn("key", F.when(F.col("status") == "accepted", F.col("key")))
-    judged = together.withColumnRenamed("score", "__score")
-    marked = with_status(mark_first(judged.drop("status"), seq=seq))
-    return marked.withColumns(
+    # a scorer is shown the text (or the columns); numbering and alignment carry order alone besides
+    batched = row_batches(checked.where(is_valid()).drop(KEY, "issues"), plan.rows_per_batch, seq)
+    aligned = align_verdicts(batched, verdicts_for(batched), plan.rows_per_batch)
+    judged = ["status", "issues", "score", "batch_id", "pos", "batch_n", "batch_error"]
+    scored = apply_verdicts(aligned, min_score).select(F.col(seq).alias("__seq"), *[F.col(c).alias(f"__{c}") for c in judged])
+    scored = stage(scored, "verdicts")  # slim, and read once for the first of each key and once for the rows
+    slim = checked.where(is_valid()).select(F.col(seq).alias("__seq"), KEY)
+    passed = scored.where("__status = 'accepted'").join(slim, "__seq")
+    firsts = passed.groupBy(KEY).agg(F.min("__seq").alias("__seq")).select("__seq", F.lit(True).alias("__first"))
+    decided = scored.join(firsts, "__seq", "left")
+    joined = checked.join(decided, checked[seq] == decided["__seq"], "left")
+    copied = (F.col("__status") == "accepted") & F.col("__first").isNull()
+    no_verdict = F.col("__status").isNull()
+    return joined.withColumns(
         {
-            "score": F.when(F.col("status") == "duplicate", 0.0).otherwise(F.col("__score")),
-            "status": F.when(F.col("status") == "invalid", "rejected").otherwise(F.col("status")),
+            "status": F.when(no_verdict, "rejected").when(copied, "duplicate").otherwise(F.col("__status")),
+            "issues": F.when(no_verdict, F.col("issues")).when(copied, F.array(F.lit(DUPLICATE))).otherwise(F.col("__issues")),
+            "score": F.when(no_verdict | copied, 0.0).otherwise(F.col("__score")),
+            **{c: F.col(f"__{c}") for c in judged[3:]},
         }
-    ).drop("key", "is_first", "__score")
+    ).drop(KEY, "__seq", "__first", *[f"__{c}" for c in judged])
 
 
 def gate_metrics(gated: DataFrame) -> DataFrame:

@@ -78,10 +78,8 @@ def arrow_file_system(uri: str) -> tuple[fs.FileSystem, str]:
 
 def clear_staging(spark: SparkSession) -> None:
     """Delete what this application has staged. Results that read from it cannot be used after."""
-    folder = staging_folder(spark)
-    system, path = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
-    if system.get_file_info(path).type == fs.FileType.Directory:
-        system.delete_dir(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -6,21 +6,43 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.json_text import parse_json
+from ..functions.text import quote_column
 from ..functions.values import VariantValue
 from ..operators.batches import number_rows
 from ..operators.merge import merge_metrics
 from ..operators.validate import typed_projection
+from ..operators.verdicts import gate_metrics
 from ..plans import Plan
-from ..session import stage
+from ..session import arrow_file_system, qualified, stage
 from ..sources.rows import read_json_lines
 
 
+# Columns of a merge or gate that are no part of a row.
+_NOT_ROW = ("seq", "input_ord", "raw", "v", "status", "issues", "score", "batch_id", "pos", "batch_n", "batch_error")
+
+
+def with_raw(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``rows`` with their JSON text: of the named columns, or of all that a merge did not add, if they are typed."""
+    if "raw" in rows.columns and columns is None:
+        return rows
+    names = columns if columns is not None else [c for c in rows.columns if c not in _NOT_ROW]
+    fields = []
+    for name in names:
+        column = F.col(quote_column(name))
+        if isinstance(rows.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            column = column.cast("string")
+        fields.append(column.alias(name))
+    return rows.withColumn("raw", F.to_json(F.struct(*fields)))
+
+
 def write_json_lines(rows: DataFrame, path: str, ordered: bool = False) -> str:
     """One JSON object per line, as a folder of part files; ``ordered`` sorts by ``seq``."""
+    rows = with_raw(rows)
     lines = rows.orderBy("seq") if ordered else rows
     lines.select(F.col("raw").alias("value")).write.text(path)
     return path
@@ -29,7 +51,7 @@ def write_json_lines(rows: DataFrame, path: str, ordered: bool = False) -> str:
 def write_columnar(rows: DataFrame, path: str, plan: Plan) -> str:
     """Typed columns of the plan as parquet."""
     if "v" not in rows.columns:
-        rows = rows.withColumn("v", F.try_parse_json("raw"))
+        rows = rows.withColumn("v", parse_json(F.col("raw")))
     typed_projection(rows, plan, keep=()).write.parquet(path)
     return path
 
@@ -43,7 +65,7 @@ def code_file_table(rows: DataFrame, plan: Plan | None) -> DataFrame:
     """``file_name`` and ``content`` per row: the code field, or the row as JSON without one."""
     field, extension = plan.code_field if plan is not None else (None, ".txt")
     if "v" not in rows.columns:
-        rows = rows.withColumn("v", F.try_parse_json("raw"))
+        rows = rows.withColumn("v", parse_json(F.col("raw")))
     numbered = number_rows(rows, into="__idx")
     number = F.col("__idx").cast("string")
     stem = F.concat(F.lit("sample_"), F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number))
@@ -59,12 +81,14 @@ def code_file_table(rows: DataFrame, plan: Plan | None) -> DataFrame:
     return numbered.select("seq", name.alias("file_name"), content.alias("content"))
 
 
-def _put(path: str, text: str) -> None:
-    """Write one small file to any file system that Arrow can reach."""
-    system, target = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(target) as out:
-        out.write(text.encode("utf-8"))
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small file from the driver, on whatever file system Spark takes the path for."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = made.getFileSystem(spark._jsc.hadoopConfiguration()).create(made, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def write_code_files(rows: DataFrame, path: str, plan: Plan | None) -> str:
@@ -72,12 +96,15 @@ def write_code_files(rows: DataFrame, path: str, plan: Plan | None) -> str:
 
     ``path`` must be reachable from every executor. A repeated task writes the same files.
     """
-    target = path.rstrip("/")
+    target = qualified(rows.sparkSession, path).rstrip("/")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["file_name"], frame["content"]):
-                _put(f"{target}/{name}", content)
+                system, place = arrow_file_system(f"{target}/{name}")
+                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(place, compression=None) as out:
+                    out.write(content.encode("utf-8"))
             yield pd.DataFrame({"files": [len(frame)]})
 
     files = code_file_table(rows, plan).select("file_name", "content")
@@ -130,25 +157,37 @@ def write_run_artifacts(
     plan: Plan | None = None,
     metrics: DataFrame | None = None,
     config: dict | None = None,
+    *,
+    columns: list[str] | None = None,
+    columnar: bool = False,
 ) -> dict[str, str]:
     """Write ``accepted.jsonl``, ``rejected.jsonl``, ``metrics.json`` and ``plan.json``.
 
-    The classified rows are staged once; both outputs and the counts read from there.
+    The classified rows are staged once; both outputs and the counts read from there. Rows of a gate get
+    the counts of a gate. Typed rows are written as JSON: their ``columns``, or all that a merge did not add.
+    ``columnar`` also writes the accepted rows as typed parquet to ``hf_dataset``.
     """
-    staged = stage(classified, "classified")
+    spark = classified.sparkSession
+    staged = stage(with_raw(classified, columns), "classified")
     folder = artifacts_dir(output_path)
+    accepted = staged.where("status = 'accepted'")
     paths = {
         "artifacts_dir": folder,
-        "accepted_jsonl": write_json_lines(staged.where("status = 'accepted'"), f"{folder}/accepted.jsonl"),
+        "accepted_jsonl": write_json_lines(accepted, f"{folder}/accepted.jsonl"),
         "rejected_jsonl": write_json_lines(reject_records(staged), f"{folder}/rejected.jsonl"),
         "metrics_json": f"{folder}/metrics.json",
     }
-    counts = (metrics if metrics is not None else merge_metrics(staged)).first().asDict()
-    _put(paths["metrics_json"], json.dumps(counts, indent=2))
+    if columnar:
+        if plan is None:
+            raise ValueError("columnar output needs a plan, which names the columns and their types")
+        paths["hf_dataset"] = write_columnar(accepted, f"{folder}/hf_dataset", plan)
+    if metrics is None:
+        metrics = gate_metrics(staged) if "batch_error" in staged.columns else merge_metrics(staged)
+    _put(spark, paths["metrics_json"], json.dumps(metrics.first().asDict(), indent=2))
     if plan is not None:
         paths["plan_json"] = f"{folder}/plan.json"
-        _put(paths["plan_json"], plan.to_json())
+        _put(spark, paths["plan_json"], plan.to_json())
     if config is not None:
         paths["config_json"] = f"{folder}/config.json"
-        _put(paths["config_json"], json.dumps(config, indent=2))
+        _put(spark, paths["config_json"], json.dumps(config, indent=2))
     return paths

@@ -1,77 +1,51 @@
-"""A total order over the rows of many files, as one BIGINT per row."""
+"""A total order over the rows of many inputs and files."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
 from decimal import Decimal
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A split starts at a new granule; below this size two splits could share one.
-GRANULE = 64 * 1024
-# Bits for the row inside a task; the bits above hold the granule. 2**32 granules are 256 TiB.
-ROW_BITS = 31
-FILES_TO_BROADCAST = 100_000
-
-_UNITS = {"": 1, "b": 1, "k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}
-
-
-def _conf_bytes(spark: SparkSession, name: str) -> int:
-    number, unit = re.match(r"(\d+)\s*([a-z]?)", spark.conf.get(name).lower()).groups()
-    return int(number) * _UNITS[unit]
-
-
-def list_files(spark: SparkSession, inputs: Sequence[str]) -> list[tuple[str, int, int]]:
-    """``(file, bytes, input number)`` for each file below each input, in order.
-
-    The file contents are not read. The driver holds this listing anyway to plan a scan.
-    """
-    listings = [
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(F.col("_metadata.file_path").alias("file"), "length", F.lit(number).alias("input_ord"))
-        for number, path in enumerate(inputs)
+# One type for rows of all kinds of files: input, file, split of the file, row in it. Compared from
+# left to right, so it needs no table of files and no limit on their number or size.
+ORDER = T.StructType(
+    [
+        T.StructField("input", T.IntegerType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("row", T.LongType()),
     ]
-    rows = reduce(DataFrame.unionAll, listings).collect()
-    return sorted(((r.file, r.length, r.input_ord) for r in rows), key=lambda r: (r[2], r[0]))
-
-
-def positions(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
-    """One row per file: its input, its place among all files and its first granule."""
-    placed, granule = [], 0
-    for number, (file, size, input_ord) in enumerate(files):
-        placed.append((file, input_ord, number, granule))
-        granule += size // GRANULE + 1
-    if granule >= 2**32:
-        raise ValueError("the inputs exceed the row order range; merge them in parts")
-    schema = "file string, input_ord int, file_ord bigint, first_granule bigint"
-    table = spark.createDataFrame(placed, schema)
-    return F.broadcast(table) if len(placed) <= FILES_TO_BROADCAST else table
+)
 
 
-def check_split_size(spark: SparkSession) -> None:
-    smallest = min(
-        _conf_bytes(spark, "spark.sql.files.maxPartitionBytes"),
-        _conf_bytes(spark, "spark.sql.files.openCostInBytes"),
+def file_order(block: Column, row: Column, input_number: int = 0) -> Column:
+    """The order of a row of a file that is scanned right here."""
+    return F.struct(
+        F.lit(input_number).alias("input"),
+        F.col("_metadata.file_path").alias("file"),
+        block.cast("bigint").alias("block"),
+        row.cast("bigint").alias("row"),
     )
-    if smallest < GRANULE:
-        raise ValueError(f"file splits below {GRANULE} bytes do not keep the row order")
 
 
-def line_order() -> Column:
-    """Order of a text line: granule of its split, then its number inside the task.
+def is_file_order(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StructType) and kind.simpleString() == ORDER.simpleString()
 
-    Within one split the task's counter follows the lines; splits of a file start in
-    different granules. The counter depends on how splits are packed into tasks, so the
-    scan has to be staged before it is used twice.
-    """
-    granule = F.col("first_granule") + F.floor(F.col("block_start") / GRANULE).cast("bigint")
-    counter = F.col("counter").bitwiseAND(F.lit(2**33 - 1))
-    return F.shiftleft(granule, ROW_BITS) + counter
+
+def in_input(rows: DataFrame, number: int) -> Column:
+    """``seq`` as the order of the ``number``-th input among several."""
+    kind = rows.schema["seq"].dataType
+    if is_file_order(kind):
+        file, block, row = (F.col(f"seq.{name}") for name in ("file", "block", "row"))
+    elif isinstance(kind, T.IntegralType):
+        file, block, row = F.lit(""), F.lit(0), F.col("seq")
+    else:
+        raise ValueError(f"rows ordered by {kind.simpleString()} cannot be put in order with rows of files")
+    return F.struct(
+        F.lit(number).alias("input"), file.alias("file"), block.cast("bigint").alias("block"), row.cast("bigint").alias("row")
+    )
 
 
 def order_key(df: DataFrame, *columns: str) -> Column:

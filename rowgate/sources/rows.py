@@ -6,18 +6,19 @@ NULL where the text is not valid JSON).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.json_text import with_parsed
+from ..functions.json_text import parse_json, with_parsed
 from ..functions.text import quote_column, strip
-from .order import check_split_size, line_order, list_files, order_key, positions
+from .order import ORDER, file_order, in_input, is_file_order, order_key
 
 BAD_JSON = "bad_json"
 
@@ -34,48 +35,70 @@ def _finish(rows: DataFrame, mode: str) -> DataFrame:
 def read_json_lines(spark: SparkSession, inputs: str | Sequence[str], mode: str = "quarantine") -> DataFrame:
     """One JSON value per line, blank lines skipped, inputs in the order given.
 
-    ``mode="quarantine"`` keeps a bad line with ``v`` NULL, ``"failfast"`` raises on it. One
-    scan reads all inputs; a small table says which input each file belongs to.
+    ``mode="quarantine"`` keeps a bad line with ``v`` NULL, ``"failfast"`` raises on it. Each input is
+    a scan of its own that carries the file, split and place of its lines, so nothing is joined
+    and no text moves. The place of a line depends on how files are split into tasks; its rank does not.
     """
     inputs = [inputs] if isinstance(inputs, str) else list(inputs)
-    check_split_size(spark)
-    files = list_files(spark, inputs)
-    names = [file for file, _, _ in files]
-    # an input named twice, or inside another, is scanned once and its rows doubled by the join
-    nested = len(set(names)) < len(names)
-    lines = (
-        spark.read.text(sorted(map(unquote, set(names))) if nested else inputs)
-        .select(
-            strip(F.col("value")).alias("raw"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.monotonically_increasing_id().alias("counter"),
+    scans = []
+    for number, path in enumerate(inputs):
+        seq = file_order(F.col("_metadata.file_block_start"), F.monotonically_increasing_id(), number)
+        lines = spark.read.text(path).select(seq.alias("seq"), F.lit(number).alias("input_ord"), strip(F.col("value")).alias("raw"))
+        scans.append(lines.where("raw <> ''"))
+    return _finish(with_parsed(reduce(DataFrame.unionAll, scans), "raw", "v"), mode)
+
+
+def _elements(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements of JSON arrays as they are written, with their places; a piece of them at a time."""
+    decoder, space = json.JSONDecoder(), re.compile(r"[ \t\n\r]*")
+
+    def batch_of(seq, texts, at):
+        rows = {**seq, "row": 0}
+        return pa.RecordBatch.from_pylist(
+            [{"seq": {**rows, "row": at + k}, "raw": t} for k, t in enumerate(texts)],
+            schema=pa.schema([("seq", pa.struct([("input", pa.int32()), ("file", pa.string()), ("block", pa.int64()), ("row", pa.int64())])), ("raw", pa.string())]),
         )
-        .where("raw <> ''")
-    )
-    rows = lines.join(positions(spark, files), "file")
-    return _finish(with_parsed(rows.withColumn("seq", line_order()), "raw", "v"), mode)
+
+    for frame in frames:
+        for row in frame.to_pylist():
+            text, found, sent, size = row["raw"], [], 0, 0
+            problem = ValueError(f"expected a JSON array in {row['seq']['file']}")
+            if not text.startswith("["):
+                raise problem
+            at = space.match(text, 1).end()
+            while text[at : at + 1] != "]":
+                try:
+                    end = decoder.raw_decode(text, at)[1]
+                except ValueError:
+                    raise problem from None
+                found.append(text[at:end])
+                size += end - at
+                if size > 8 << 20:
+                    yield batch_of(row["seq"], found, sent)
+                    sent, found, size = sent + len(found), [], 0
+                at = space.match(text, end).end()
+                if text[at : at + 1] == ",":
+                    at = space.match(text, at + 1).end()
+                    if text[at : at + 1] == "]":
+                        raise problem
+                elif text[at : at + 1] != "]":
+                    raise problem
+            if space.match(text, at + 1).end() != len(text):
+                raise problem
+            yield batch_of(row["seq"], found, sent)
 
 
 def read_json_array(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame:
     """Files that each hold one JSON array; every element is a row.
 
-    A file is read by one task, so this is for small files; write JSON lines for big data.
+    A file is one text, so it is split into its elements by one task, each as it is written; the
+    elements are then dealt out and parsed one by one, so only they have a limit of size. Use JSON lines for
+    big data.
     """
-    files = list_files(spark, [path])
-    texts = spark.read.text(path, wholetext=True).select(
-        strip(F.col("value")).alias("raw"), F.col("_metadata.file_path").alias("file")
-    )
-    parsed = with_parsed(texts, "raw", "v")
-    is_array = F.schema_of_variant("v").startswith("ARRAY<")
-    problem = F.raise_error(F.concat(F.lit("expected a JSON array in "), F.col("file")))
-    element = json_elements("raw", F.when(is_array, F.col("v")).otherwise(problem.cast("variant")))
-    rows = parsed.join(positions(spark, files), "file").select(
-        "input_ord", "file_ord", F.posexplode_outer(element).alias("pos", "e")
-    )
-    rows = rows.where("pos IS NOT NULL")  # stays above the explode, so files are parsed once
-    seq = F.shiftleft(F.col("file_ord"), 40) + F.col("pos")
-    return _finish(rows.select(seq.alias("seq"), "input_ord", "e.raw", "e.v"), mode)
+    seq = file_order(F.lit(0), F.lit(0))
+    texts = spark.read.text(path, wholetext=True).select(seq.alias("seq"), strip(F.col("value")).alias("raw"))
+    elements = texts.mapInArrow(_elements, T.StructType([T.StructField("seq", ORDER), T.StructField("raw", T.StringType())]))
+    return _finish(with_parsed(elements.withColumn("input_ord", F.lit(0)), "raw", "v"), mode)
 
 
 def json_elements(raw: str, value: Column) -> Column:
@@ -84,7 +107,7 @@ def json_elements(raw: str, value: Column) -> Column:
     Text elements lose their quotes in ``from_json``, so scalars are printed from ``v``;
     objects and arrays keep their own text, in which ``1.0`` stays ``1.0``.
     """
-    texts = F.from_json(F.col(raw), T.ArrayType(T.StringType()))
+    texts = F.from_json(F.col(raw), T.ArrayType(T.StringType()), {"maxStringLen": str(2**31 - 1)})
     values = value.cast("array<variant>")
     return F.transform(
         F.arrays_zip(texts.alias("t"), values.alias("v")),
@@ -121,63 +144,69 @@ def rows_from_table(
         order_key(df, *order).alias("seq"),
         F.lit(input_ord).alias("input_ord"),
         F.to_json(F.struct(*fields), keep_nulls).alias("raw"),
-    ).withColumn("v", F.try_parse_json("raw"))
+    ).withColumn("v", parse_json(F.col("raw")))
 
 
 def read_columnar(spark: SparkSession, path: str, null_as: str = "absent") -> DataFrame:
     """Rows of a parquet dataset, ordered by file name and row number in the file."""
-    files = list_files(spark, [path])
     table = spark.read.parquet(path)
-    names = table.columns
-    placed = table.select(
-        "*",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("__row"),
-    ).join(positions(spark, files).select("file", "file_ord"), "file")
-    placed = placed.withColumn("__seq", F.shiftleft(F.col("file_ord"), 40) + F.col("__row"))
-    return rows_from_table(placed, "__seq", names, null_as)
+    placed = table.select("*", file_order(F.lit(0), F.col("_metadata.row_index")).alias("__seq"))
+    return rows_from_table(placed, "__seq", table.columns, null_as)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.text(path)
-        return True
-    except AnalysisException:
-        return False
+FORMATS = ("jsonl", "json", "parquet", "run")
 
 
 def input_format(spark: SparkSession, path: str) -> tuple[str, str]:
-    """The format of an input and the path to read: by suffix, else by what a folder holds."""
-    if path.endswith(".json"):
-        return "json", path
-    last = path.rstrip("/").rsplit("/", 1)[-1]
-    if "." in last and not last.endswith(".parquet"):
-        return "jsonl", path
-    accepted = f"{path.rstrip('/')}/accepted.jsonl"
-    if not last.endswith(".parquet") and _exists(spark, accepted):
-        return "jsonl", accepted
-    return "parquet", path
+    """The format of an input and the path to read.
+
+    A folder is an earlier run if it holds ``accepted.jsonl``, parquet if it holds parquet files, else JSON
+    lines; a file is judged by its suffix. Patterns are judged by their suffix too.
+    """
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    if any(c in path for c in "*?[{") or not system.exists(made) or not system.getFileStatus(made).isDirectory():
+        return ("json" if path.endswith(".json") else "parquet" if path.endswith(".parquet") else "jsonl"), path
+    names = [status.getPath().getName() for status in system.listStatus(made)]
+    if "accepted.jsonl" in names:
+        return "jsonl", f"{path.rstrip('/')}/accepted.jsonl"
+    # a dataset in partitions has folders like day=1 and no file of its own
+    data = [n for n in names if not n.startswith(("_", "."))]
+    if path.rstrip("/").endswith(".parquet") or any(n.endswith(".parquet") or "=" in n for n in data):
+        return "parquet", path
+    return "jsonl", path
 
 
 def union_rows(*inputs: DataFrame) -> DataFrame:
     """All rows of the inputs, in argument order; ``input_ord`` counts the inputs."""
     numbered = [df.withColumn("input_ord", F.lit(number)) for number, df in enumerate(inputs)]
-    ordered = [df.withColumn("seq", order_key(df, "input_ord", "seq")) for df in numbered]
+    if any(is_file_order(df.schema["seq"].dataType) for df in inputs):
+        ordered = [df.withColumn("seq", in_input(df, number)) for number, df in enumerate(numbered)]
+    else:
+        ordered = [df.withColumn("seq", order_key(df, "input_ord", "seq")) for df in numbered]
     return reduce(DataFrame.unionByName, ordered)
 
 
-def read_rows(spark: SparkSession, inputs: str | Sequence[str], mode: str = "quarantine") -> DataFrame:
+def read_rows(
+    spark: SparkSession, inputs: str | Sequence[str], mode: str = "quarantine", fmt: str | None = None
+) -> DataFrame:
     """Read inputs of any known format, in the order given.
 
-    A folder that holds ``accepted.jsonl`` is an earlier run, other folders are parquet.
+    ``fmt`` (``jsonl``, ``json``, ``parquet`` or ``run``) says what all of them are; without it each is
+    looked at (see ``input_format``).
     """
     inputs = [inputs] if isinstance(inputs, str) else list(inputs)
-    found = [input_format(spark, path) for path in inputs]
-    if all(fmt == "jsonl" for fmt, _ in found):
+    if fmt is not None and fmt not in FORMATS:
+        raise ValueError(f"unknown input format {fmt!r}; known: {list(FORMATS)}")
+    if fmt == "run":
+        found = [("jsonl", f"{path.rstrip('/')}/accepted.jsonl") for path in inputs]
+    else:
+        found = [(fmt, path) if fmt else input_format(spark, path) for path in inputs]
+    if all(kind == "jsonl" for kind, _ in found):
         return read_json_lines(spark, [path for _, path in found], mode)
     readers = {
         "jsonl": lambda path: read_json_lines(spark, path, mode),
         "json": lambda path: read_json_array(spark, path, mode),
         "parquet": lambda path: read_columnar(spark, path),
     }
-    return union_rows(*[readers[fmt](path) for fmt, path in found])
+    return union_rows(*[readers[kind](path) for kind, path in found])

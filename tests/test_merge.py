@@ -83,14 +83,14 @@ def chunk_files(tmp_path):
     return [str(tmp_path / f"chunk {c}.jsonl") for c in range(3)], texts
 
 
-@pytest.mark.parametrize("split", ["70KB", "128MB"])
+@pytest.mark.parametrize("split", ["7KB", "70KB", "128MB"])
 def test_merge_of_files_does_not_depend_on_splits(spark, chunk_files, split):
     inputs, texts = chunk_files
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     before = [spark.conf.get(n) for n in names]
     try:
         spark.conf.set(names[0], split)
-        spark.conf.set(names[1], "64KB" if split == "70KB" else "4MB")
+        spark.conf.set(names[1], "4MB" if split == "128MB" else "5KB")
         rows = read_json_lines(spark, inputs)
         assert [r.raw for r in rows.orderBy("seq").collect()] == texts
         merged = merge_inputs(spark, inputs, PLAN)
@@ -100,16 +100,6 @@ def test_merge_of_files_does_not_depend_on_splits(spark, chunk_files, split):
             spark.conf.set(name, value)
 
 
-def test_small_splits_are_refused(spark, chunk_files):
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
-    try:
-        spark.conf.set(name, "1KB")
-        with pytest.raises(ValueError, match="row order"):
-            read_json_lines(spark, chunk_files[0])
-    finally:
-        spark.conf.set(name, before)
-
 
 def test_repeated_and_nested_inputs(spark, chunk_files):
     inputs, texts = chunk_files
@@ -204,3 +194,99 @@ def test_reading_a_run_folder_and_a_parquet_folder(spark, tmp_path):
     spark.createDataFrame([(2,), (3,)], "k bigint").coalesce(1).write.parquet(str(tmp_path / "saved"))
     rows = read_rows(spark, [str(run), str(tmp_path / "saved")])
     assert statuses(merge_rows(rows)) == ["accepted", "accepted", "duplicate", "accepted"]
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reading_lines_moves_no_text(spark, chunk_files):
+    """No exchange and no join before the parse, however many files there are."""
+    plan = plan_text(read_json_lines(spark, chunk_files[0]))
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_mixed_inputs_merge(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"k":1}\n{"k":2}\n')
+    (tmp_path / "b.json").write_text('[{"k":2}, {"k":3,"s":"a, [b"},\n"x"]')
+    spark.createDataFrame([(1, "f"), (4, "g")], "k bigint, file string").write.parquet(str(tmp_path / "data.v2"))
+    run = tmp_path / "run.1_artifacts"
+    run.mkdir()
+    (run / "accepted.jsonl").write_text('{"k":9}\n')
+    inputs = [str(tmp_path / n) for n in ("a.jsonl", "b.json", "data.v2", "run.1_artifacts")]
+    merged = merge_inputs(spark, inputs).orderBy("seq").collect()
+    assert [(r.input_ord, r.raw, r.status) for r in merged] == [
+        (0, '{"k":1}', "accepted"),
+        (0, '{"k":2}', "accepted"),
+        (1, '{"k":2}', "duplicate"),
+        (1, '{"k":3,"s":"a, [b"}', "accepted"),
+        (1, '"x"', "accepted"),
+        (2, '{"k":1,"file":"f"}', "accepted"),
+        (2, '{"k":4,"file":"g"}', "accepted"),
+        (3, '{"k":9}', "accepted"),
+    ]
+    with_table = union_rows(read_rows(spark, inputs[:2]), rows_from_table(spark.range(3), "id"))
+    assert [r.raw for r in with_table.orderBy("seq").collect()][-3:] == ['{"id":0}', '{"id":1}', '{"id":2}']
+    assert [r.raw for r in read_rows(spark, inputs[1], fmt="jsonl").orderBy("seq").collect()][1] == '"x"]'
+    with pytest.raises(ValueError, match="unknown input format"):
+        read_rows(spark, inputs, fmt="csv")
+
+
+@pytest.mark.parametrize("text", [" ", "{}", "[1", "[1,]", "[1] 2", "[1 2]", "[nope]"])
+def test_broken_arrays_are_an_error(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(Exception, match="expected a JSON array|not valid"):
+        read_json_array(spark, str(tmp_path / "x.json")).collect()
+
+
+def test_long_texts_are_not_broken_rows(spark, tmp_path):
+    """A string of 20 MiB passes as JSON as it does as a column; an array of 150 MB passes by its elements."""
+    long = spark.range(1).selectExpr("id", "repeat('x', 20 * 1024 * 1024) AS t")
+    for merged in (merge_rows(rows_from_table(long, "id")), merge_rows(long, PLAIN, columns=["t"], seq="id")):
+        assert [r.status for r in merged.select("status").collect()] == ["accepted"]
+    with open(tmp_path / "big.json", "w") as f:
+        f.write("[" + ",".join(json.dumps({"n": i, "t": "y" * 15_000_000}) for i in range(10)) + "]")
+    rows = read_json_array(spark, str(tmp_path / "big.json"))
+    found = rows.selectExpr("try_variant_get(v, '$.n', 'int') AS n", "length(raw) AS size").orderBy("n").collect()
+    assert [r.n for r in found] == list(range(10)) and all(r.size > 15_000_000 for r in found)
+
+
+PLAIN = {"type": "object", "properties": {"t": {"type": "string"}}}
+
+
+def test_typed_keys_are_exact(spark):
+    rows = spark.sql(
+        """SELECT * FROM VALUES
+        (1, TIMESTAMP'2024-01-01 00:00:00.123456', map('a', 1, 'b', 2), array(struct(map(1, 'x', 2, 'y') AS m))),
+        (2, TIMESTAMP'2024-01-01 00:00:00.123999', map('a', 1, 'b', 2), array(struct(map(1, 'x', 2, 'y') AS m))),
+        (3, TIMESTAMP'2024-01-01 00:00:00.123456', map('b', 2, 'a', 1), array(struct(map(2, 'y', 1, 'x') AS m))),
+        (4, NULL, NULL, NULL), (5, NULL, NULL, NULL) AS t(seq, at, m, deep)"""
+    )
+    marked = dedupe_rows(rows, columns=["at", "m", "deep"]).orderBy("seq").collect()
+    assert [r.is_first for r in marked] == [True, True, False, True, False]
+
+
+def test_bare_strings_and_marks_have_keys_of_their_own(json_rows):
+    texts = ['"a: 1.5"', '"a: 1.5"', '{"a":1.5}', '{"a":"\\u00011.5"}', '{"a":"\\u0001\\u00011.5"}', '{"b":["\\u0001",1.5]}', '{"b":["\\u0001", 1.50]}']
+    merged = merge_rows(json_rows(texts)).orderBy("seq").collect()
+    assert [r.status for r in merged] == ["accepted", "duplicate", "accepted", "accepted", "accepted", "accepted", "duplicate"]
+
+
+def test_columns_of_the_rows_are_kept(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 0.5, "k", True, "i", "s"), (2, "a", 0.5, "k", True, "i", "s"), (3, "b", 2.0, "k", True, "i", "s")],
+        "seq bigint, text string, score double, key string, is_first boolean, issues string, status string",
+    )
+    rules = {"type": "object", "properties": {"score": {"type": "number", "maximum": 1}}}
+    with pytest.raises(ValueError, match="already have"):
+        merge_rows(rows, rules, columns=["text", "score"])
+    merged = merge_rows(rows, rules, columns=["text", "score"], prefix="merge_").orderBy("seq")
+    assert [tuple(r) for r in merged.select(rows.columns).collect()] == [tuple(r) for r in rows.orderBy("seq").collect()]
+    assert [(r.merge_status, r.merge_issues) for r in merged.collect()] == [
+        ("accepted", []),
+        ("duplicate", ["duplicate_exact"]),
+        ("invalid", ["$.score: value 2.0 above maximum 1"]),
+    ]
+    with pytest.raises(ValueError, match="already have"):
+        dedupe_rows(rows, columns=["text"])
+    assert dedupe_rows(rows, columns=["text"], into="only").where("only").count() == 2
