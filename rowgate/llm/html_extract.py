@@ -15,7 +15,10 @@ between paths: more pages, then the path's order. Repeated rows vote as often as
 give one result each. An empty table gives no rows. Other columns are not read.
 
 Scale: votes are summed on the map side, so a hot host shuffles a few rows per task. Winners are one
-row per host; to join them, pages of a host are dealt over ``SALTS`` keys, so no task gets all pages of a host.
+row per host. To join them, pages of a host with more than ``TASK_PAGES`` of them are dealt over as many keys
+as it takes to keep to that number, so a task's share of a host doesn't grow with the table. The list of such hosts has
+``HOT_HOSTS`` entries at most, the largest, so it may be broadcast; any other host has less than a
+thousandth of all pages, and adaptive execution may still split it.
 """
 
 from __future__ import annotations
@@ -27,9 +30,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowgate.session import stage
+
 from .common import over_batches, table
 
-SALTS = 64
+TASK_PAGES = 2_000
+HOT_HOSTS = 1_000
 DEPTH = 12  # of a path's steps, from the container upwards
 
 # Elements without content, with raw content, and those that begin a new block.
@@ -298,11 +304,22 @@ def winners(counted: DataFrame) -> DataFrame:
     return best.select("host", F.col("best.path").alias("path"))
 
 
-def main_texts(pages: DataFrame, salts: int = SALTS) -> DataFrame:
+def hot_hosts(counted: DataFrame, task_pages: int, most: int) -> DataFrame:
+    """(host, salts) of the hosts with more than ``task_pages`` pages, the ``most`` largest at most."""
+    large = counted.groupBy("host").agg(F.sum("pages").alias("n")).filter(F.col("n") > task_pages)
+    large = large.orderBy(F.col("n").desc(), "host").limit(most)
+    return large.select("host", F.ceil(F.col("n") / task_pages).cast("int").alias("salts"))
+
+
+def main_texts(pages: DataFrame, task_pages: int = TASK_PAGES, most_hot: int = HOT_HOSTS) -> DataFrame:
     """(page_id, url, text) per row of ``pages``."""
-    won = winners(votes(pages)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counted = stage(votes(pages), "votes")
+    hot = F.broadcast(stage(hot_hosts(counted, task_pages, most_hot), "hot"))
+    spread = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    won = winners(counted).join(hot, "host", "left").select("host", "path", spread.alias("salt"))
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of("url").alias("host"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int"))
+    rows = rows.join(hot, "host", "left")
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id", "html"), "salts").cast("int"), F.lit(0)))
     joined = rows.join(won, ["host", "salt"], "left").select("page_id", "url", "html", "path")
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
 

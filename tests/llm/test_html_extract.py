@@ -77,6 +77,7 @@ def test_consensus_wins(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("path", F.lit(1))
     assert {(r.host, r.path) for r in winners(votes(df)).collect()} == {("h.org", "body>div.content"), ("else.org", "body>div.x")}
     texts = {r.page_id: r.text for r in main_texts(df).collect()}
+    assert texts == {r.page_id: r.text for r in main_texts(df, task_pages=2, most_hot=1).collect()}
     assert texts[6] == "true text" and texts[7] == ("other " * 9).strip()
 
 
