@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -76,10 +78,27 @@ def arrow_file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system Spark takes the path for, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Delete what this application has staged. Results that read from it cannot be used after."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_folder(spark, staging_folder(spark))
+
+
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` staged for the length of a block; the folder is deleted at its end."""
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        delete_folder(spark, path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

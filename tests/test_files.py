@@ -10,7 +10,7 @@ from rowgate.plans import Plan
 from rowgate.sinks import json_lines_to_columnar, write_json_lines, write_rows, write_run_artifacts
 from rowgate.session import clear_staging, stage
 from rowgate.sources import read_json_lines
-from rowgate.streaming import merge_arrivals
+from rowgate.streaming import arrivals, merge_arrivals
 
 CODE_PLAN = Plan(
     "code",
@@ -122,3 +122,30 @@ def test_staged_tables_are_in_the_shared_folder_and_can_be_cleared(spark):
     clear_staging(spark)
     assert not list(root.glob("rowgate-*"))
     clear_staging(spark)
+
+
+def test_state_of_arrivals_is_pruned_merged_and_freed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrivals, "MERGED", 2)
+    state, output = str(tmp_path / "state"), str(tmp_path / "out")
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.rglob("arrived-*"))
+
+    def arrive(batch, numbers):
+        rows = [(json.dumps({"n": n}), "f", i) for i, n in enumerate(numbers)]
+        df = spark.createDataFrame(rows, "raw string, file string, block_start bigint").coalesce(1)
+        arrivals.merge_batch(df, batch, state, output)
+        found = spark.read.parquet(f"{output}/batch={batch}").collect()
+        return sorted((json.loads(r.raw)["n"], r.status) for r in found)
+
+    for batch in range(5):
+        fresh = range(batch * 200, batch * 200 + 200)
+        expected = [(n, "accepted") for n in fresh] + ([(batch * 7, "duplicate")] if batch else [])
+        assert arrive(batch, [*fresh, *([batch * 7] if batch else [])]) == sorted(expected)
+        if batch == 4:  # a replay
+            assert arrive(batch, [*fresh, batch * 7]) == sorted(expected)
+    runs = [(a, b) for a, b, _ in arrivals.key_runs(spark, state, 5)]
+    assert runs == [(0, 3), (4, 4)]
+    assert arrivals.old_keys(spark, state, 5, list(range(256))).count() == 1000
+    one = arrivals.old_keys(spark, state, 5, [17])
+    assert 0 < one.count() < 40 and "PartitionFilters: [isnotnull(prefix" in one._jdf.queryExecution().executedPlan().toString()
+    assert set(root.rglob("arrived-*")) == before
