@@ -56,6 +56,21 @@ def word_pieces(text: str | None) -> list[str]:
     return _STOP.sub(" ", text).replace("\n", " ").split(" ")
 
 
+# A word of these letters is one pre-token and no normaliser changes it, so the library's model may be asked at once.
+_WORD = re.compile(r"[a-zß-öø-ÿ]+")
+_PROBES = ["the", "été", "straßen", "ñandúes", "zzzqxj", "øyåþ"]
+
+
+def byte_characters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as they are, the others from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in plain else next(others) for b in range(256)}
+
+
+_BYTES = byte_characters()
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, by the tokenizers library, with a cache of pieces."""
 
@@ -63,12 +78,25 @@ class Encoder:
         self.tokenizer = load_tokenizer(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
-        self.cache = Cache()
+        self.cache, self.model = Cache(), self.tokenizer.model
+        # whether this vocabulary's model takes words as it is asked here
+        self.direct = [self._of_word(p) for p in _PROBES] == self._of_any(_PROBES)
 
-    def _make(self, pieces: list[str]) -> list[bytes]:
+    def _of_word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
+
+    def _of_any(self, pieces: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in made]
 
+    def _make(self, pieces: list[str]) -> list[bytes]:
+        word = _WORD.fullmatch if self.direct else lambda p: None
+        others = [p for p in pieces if not word(p)]
+        rest = iter(self._of_any(others) if others else ())
+        return [self._of_word(p) if word(p) else next(rest) for p in pieces]
+
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         split = [word_pieces(t) for t in texts]
         known = self.cache.fill((p for s in split for p in s), self._make)
