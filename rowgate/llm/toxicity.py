@@ -14,13 +14,18 @@ surrounds it: plain, at a target, negated or reported. A document is scored by i
 clauses: a logistic model over, per kind, the weight of matches (log scale, and as a rate per clause). No word
 counts on its own outside a match, and texts without any match get the model's base rate.
 
+Beginnings are kept with their log ratio shrunk towards none. How much evidence they must have (``ROOTS``) is
+chosen by the labels: rows are dealt into folds, each is matched by beginnings learned from the other
+folds, and the model is fitted to these matches; the bar of the least loss is taken. So chance words of few labels
+get little weight. Threats need no learned word: where no labelled row holds one, one threat makes a text toxic.
+
 The acceptor's weights and the model are fitted on at most ``FIT_ROWS`` labelled rows (chosen by
 a hash of the id), never on rows held out. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts have no clause and get the base rate. A null doc_id is
 held out (its remainder is unknown) and is scored. Rows are never grouped, so repeated rows are
 scored alike. Labels of unknown documents and null labels are not used; of contradicting
-labels of one text the toxic one counts. Without a usable label of either kind the model gives 0.
+labels of one text the toxic one counts. Without a usable label of either kind only threats count.
 
 Scale: fitting reads the labelled rows once and brings at most ``FIT_ROWS`` short rows of matches to
 the driver; scoring is one pass without a shuffle, with a model of at most ``STEMS`` stems sent along.
@@ -44,10 +49,15 @@ from .common import encoded, over_batches, table
 FIT_ROWS = 20_000
 STEMS = 2_000
 STEM_LETTERS = (3, 12)
-# A beginning accepts if toxic rows have it at least this many times as often, and if the signed
-# root of its likelihood ratio is so large that none of a million unrelated beginnings reaches it.
-LEAST_RATIO = 4.0
-LEAST_ROOT = 6.0
+# A beginning accepts if its odds of toxic rows, drawn to those of all rows by a prior that weighs like
+# PRIOR_ROWS rows, are at least this many times as large, and if it stands in two toxic rows: one cannot be tested on another.
+LEAST_RATIO = 2.0
+PRIOR_ROWS = 4.0
+# Bars for the root of its likelihood ratio, of which the labels choose; none of a million unrelated beginnings reaches the last.
+ROOTS = (0.0, 3.0, 4.5, 6.0)
+FOLDS = 4
+# Log odds of a text with one threat, where labels say nothing of threats.
+THREAT = 1.0
 REACH = 3
 REJECT_AT = 0.5
 
@@ -69,7 +79,7 @@ class Model:
     """Weights of accepting beginnings, and the logistic model over kinds of matches."""
 
     stems: dict[str, float] = field(default_factory=dict)
-    weights: list[float] = field(default_factory=lambda: [0.0] * (2 * len(KINDS)))
+    weights: list[float] = field(default_factory=lambda: [0.0] * 4 + [(THREAT + 20.0) / math.log(2)] + [0.0] * len(KINDS))
     base: float = -20.0
 
 
@@ -137,7 +147,30 @@ class Grammar:
             count += 1
             for kind, weight in self.match(clause):
                 sums[kind] += weight
-        return [math.log1p(s) for s in sums] + [s / max(count, 1) for s in sums]
+        return _features(sums, count)
+
+
+def _features(sums: list[float], count: int) -> list[float]:
+    return [math.log1p(s) for s in sums] + [s / max(count, 1) for s in sums]
+
+
+class Folded:
+    """The grammar of the beginnings learned without a fold: features for every bar of ``ROOTS``."""
+
+    def __init__(self, learned: list[tuple[str, float, float]]):
+        self.learned = learned
+        self.grammar = Grammar({start: at + 1 for at, (start, _, _) in enumerate(learned)})
+
+    def features(self, text: str | None) -> list[float]:
+        sums, count = [[0.0] * len(KINDS) for _ in ROOTS], 0
+        for clause in clauses(text):
+            count += 1
+            for kind, found in self.grammar.match(clause):
+                _, weight, ratio = ("", 1.0, math.inf) if KINDS[kind] == "threat" else self.learned[int(found) - 1]
+                for of_bar, root in zip(sums, ROOTS):
+                    if ratio > root**2:
+                        of_bar[kind] += weight
+        return [f for of_bar in sums for f in _features(of_bar, count)]
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -186,43 +219,67 @@ def _examples(rows: DataFrame) -> DataFrame:
     return out.select("text", "toxic")
 
 
-def learn_stems(rows: DataFrame, stems: int = STEMS) -> dict[str, float]:
-    """Accepting beginnings with their log ratios, counted in Spark over all rows given."""
-
-    def work(batch):
-        out = ([], [])
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            starts = beginnings(text)
-            out[0].extend(starts)
-            out[1].extend([1 if toxic else 0] * len(starts))
-        return list(out)
-
-    totals = rows.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
-    bad, good = totals["bad"] or 0, totals["n"] - (totals["bad"] or 0)
-    if not bad or not good:
-        return {}
-    counted = over_batches(rows, work, "start string, toxic int").groupBy("start")
-    counted = counted.agg(F.sum("toxic").alias("b"), F.count("*").alias("n"))
-    g, share = F.col("n") - F.col("b"), bad / (bad + good)
-    part = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(F.lit(0.0))
-    ratio = 2 * (part(F.col("b"), F.col("n") * share) + part(g, F.col("n") * (1 - share)))
-    scored = counted.select("start", "b", F.log((F.col("b") + 0.5) / (bad + 1.0) / ((g + 0.5) / (good + 1.0))).alias("w"), ratio.alias("ratio"))
-    able = scored.filter(F.col("w") > math.log(LEAST_RATIO)).filter(F.col("ratio") > LEAST_ROOT**2)
+def _chosen(scored: DataFrame, stems: int) -> list[tuple[str, float, float]]:
+    """(start, weight, ratio), best first; none is the beginning of another, so those above a bar are a head of the list."""
     # of equally good beginnings the longest: it accepts least besides
     order = (F.col("ratio").desc(), F.length("start").desc(), F.col("start"))
-    chosen: dict[str, float] = {}
+    chosen: dict[str, tuple] = {}
     above: set[str] = set()
-    for row in able.orderBy(*order).limit(8 * stems).collect():
+    for row in scored.orderBy(*order).limit(8 * stems).collect():
         start = row["start"]
         below_chosen = any(start[:k] in chosen for k in range(1, len(start)))
         if start not in above and not below_chosen and len(chosen) < stems:
-            chosen[start] = row["w"]
+            chosen[start] = start, row["w"], row["ratio"]
             above.update(start[:k] for k in range(1, len(start)))
-    return chosen
+    return list(chosen.values())
+
+
+def learn_stems(rows: DataFrame, stems: int = STEMS) -> list[list[tuple[str, float, float]]]:
+    """Accepting beginnings with weight and ratio: learned without each fold, and last from all rows.
 
+    rows: text, toxic, fold. All are counted in Spark at once.
+    """
+
+    def work(batch):
+        out = ([], [], [])
+        for text, *of in zip(*(batch.column(n).to_pylist() for n in ("text", "toxic", "fold"))):
+            starts = beginnings(text)
+            out[0].extend(starts)
+            for column, value in zip(out[1:], of):
+                column.extend([value] * len(starts))
+        return list(out)
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
-    """Weights and base of a ridge logistic model, by Newton steps that are halved until the loss falls."""
+    def counts(df):
+        of = [F.when(F.col("fold") == k, 1).otherwise(0) for k in range(FOLDS)]
+        return df.agg(*[F.sum(m * t).alias(f"{n}{k}") for k, m in enumerate(of) for n, t in (("b", F.col("toxic")), ("n", F.lit(1)))])
+
+    totals = counts(rows.groupBy()).first()
+    whole = over_batches(rows.select("text", "toxic", "fold"), work, "start string, toxic int, fold int")
+    twice = sum((F.col(f"b{k}") for k in range(FOLDS)), F.lit(0)) >= 2
+    counted = None
+    learned = []
+    for left in [*range(FOLDS), None]:
+        folds = [k for k in range(FOLDS) if k != left]
+        bad = sum(totals[f"b{k}"] or 0 for k in folds)
+        good = sum(totals[f"n{k}"] or 0 for k in folds) - bad
+        if not bad or not good:
+            learned.append([])
+            continue
+        if counted is None:
+            counted = stage(counts(whole.groupBy("start")).filter(twice), "beginnings")
+        b, n = (sum((F.col(f"{c}{k}") for k in folds), F.lit(0)) for c in "bn")
+        able = counted.select("start", b.alias("b"), n.alias("n")).filter("b >= 2")
+        g, share = F.col("n") - F.col("b"), bad / (bad + good)
+        part = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(F.lit(0.0))
+        ratio = 2 * (part(F.col("b"), F.col("n") * share) + part(g, F.col("n") * (1 - share)))
+        odds = (F.col("b") + PRIOR_ROWS * share) / (g + PRIOR_ROWS * (1 - share)) * ((1 - share) / share)
+        scored = able.select("start", F.log(odds).alias("w"), ratio.alias("ratio")).filter(F.col("w") > math.log(LEAST_RATIO))
+        learned.append(_chosen(scored, stems))
+    return learned
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> tuple[np.ndarray, float]:
+    """Weights and base, and the loss, of a ridge logistic model, by Newton steps that are halved until the loss falls."""
     scale = np.maximum(x.std(axis=0), 1e-9)
     scale[x.std(axis=0) == 0] = np.inf  # a kind that never occurs gets no weight
     z = np.column_stack([x / scale, np.ones(len(x))])
@@ -243,25 +300,33 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
         w = w - size * step
         if np.abs(size * step).max() < 1e-8:
             break
-    return np.concatenate([w[:-1] / scale, w[-1:]])
+    return np.concatenate([w[:-1] / scale, w[-1:]]), loss(w)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, stems: int = STEMS) -> Model:
     """Learn the insult acceptor and the model of match kinds from rows that aren't held out."""
-    rows = stage(_sampled(docs, labels, fit_rows), "labelled")
-    learned = learn_stems(rows, stems)
-    grammar = Grammar(learned)
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = stage(_sampled(docs, labels, fit_rows).select("text", "toxic", fold), "labelled")
+    *without, learned = learn_stems(rows, stems)
+    grammars = [Folded(of) for of in without]
 
     def work(batch):
-        texts, toxic = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
-        return [[grammar.features(t) for t in texts], [1 if t else 0 for t in toxic]]
+        texts, folds = batch.column("text").to_pylist(), batch.column("fold").to_pylist()
+        return [[grammars[k].features(t) for t, k in zip(texts, folds)], [1 if t else 0 for t in batch.column("toxic").to_pylist()]]
 
     seen = over_batches(rows, work, "f array<double>, y int").groupBy("f", "y").count().collect()
-    if not learned or len({r["y"] for r in seen}) < 2:
+    seen.sort(key=lambda r: (r["f"], r["y"]))
+    if len({r["y"] for r in seen}) < 2 or not any(any(r["f"]) for r in seen):
         return Model()
     times = [r["count"] for r in seen]
-    w = fit_logistic(np.repeat([r["f"] for r in seen], times, axis=0), np.repeat([r["y"] for r in seen], times))
-    return Model(learned, w[:-1].tolist(), float(w[-1]))
+    x, y = np.repeat([r["f"] for r in seen], times, axis=0), np.repeat([r["y"] for r in seen], times)
+    size = 2 * len(KINDS)
+    fitted = [(*fit_logistic(x[:, k * size : (k + 1) * size], y), k) for k in range(len(ROOTS))]
+    w, _, bar = min(reversed(fitted), key=lambda f: f[1])  # of equal losses the highest bar
+    weights, base, threat = w[:-1].tolist(), float(w[-1]), KINDS.index("threat")
+    if not x[:, threat].any():
+        weights[threat] = (THREAT - base) / math.log(2)
+    return Model({start: weight for start, weight, ratio in learned if ratio > ROOTS[bar] ** 2}, weights, base)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -68,3 +68,23 @@ def test_odd_rows(spark):
     assert fit(docs, labels.limit(0)) == Model() == fit(docs, labels.filter("toxic = 1"))
     with pytest.raises(ValueError):
         score(docs, model, "source")
+
+
+def test_threats_count_without_learned_stems(spark):
+    docs = spark.createDataFrame([(1, "i will kill you"), (2, "a fine day")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    for marks in (labels.limit(0), labels):
+        assert [r.score >= 0.5 for r in score(docs, fit(docs, marks)).orderBy("doc_id").collect()] == [True, False]
+    assert [r.doc_id for r in drop_toxic(docs, labels.limit(0)).collect()] == [2]
+
+
+@pytest.mark.parametrize(("size", "least"), [("sf0.001", {"en": 4}), ("sf0.01", {"en": 33})])
+def test_few_labels(spark, size, least):
+    """Toxic labelled documents found per language; nearly no clean one."""
+    folder = f"/root/testdata/{size}"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter("toxic IS NOT NULL")
+    langs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    rows = op6_toxicity(spark, folder).join(labels, "doc_id").join(langs, "doc_id").select("predicted", "toxic", "lang", "held_out").collect()
+    for lang, count in least.items():
+        assert sum(r.predicted for r in rows if r.toxic and r.lang == lang) >= count
+    assert sum(r.predicted for r in rows if not r.toxic) <= 0.01 * len(rows)
