@@ -40,8 +40,12 @@ def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their bins."""
-    pieces = packing.pack_documents(packing.measured(docs))
+    """The pieces of the documents, cut and packed by tokens, and their bins."""
+    import public_tokenizers
+
+    prepared(spark)
+    measured = stage(packing.measured(docs, public_tokenizers.path("word_bpe_49k.json")), "measured")
+    pieces = packing.pack_documents(measured)
     return pieces.select(packing.bin_name().alias("bin_id"), "doc_id", "start", "length")
 
 

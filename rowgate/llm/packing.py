@@ -14,6 +14,9 @@ never shared by shards. A shard that by ill luck (a hash of one repeated row) is
 blocks of ``BLOCK_ROWS`` rows, so a task's memory is bounded; within a block source and cluster
 numbers are the bits.
 
+A token is one of the vocabulary whose path is given to ``measured``, without the end id (the pipeline gives that of
+``op3_records``); without a path it is a word, as in ``op7_packing``.
+
 Defined results: null and empty texts have no tokens, and one piece of length 0 that goes into a
 bin like any other. A null source or cluster conflicts with nothing. Repeated rows are separate
 pieces that conflict by their cluster. Ties: longer first, then by id, cluster and source; of bins with
@@ -28,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import over_batches, table
+from .records import END_ID, encoder
 
 CAPACITY = 2048
 PER_SOURCE = 2
@@ -159,16 +163,26 @@ def pack_documents(
     return dealt.mapInArrow(run, schema)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, source, cluster) of ``docs``: words, and a hash of the lower-case words."""
+def measured(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, source, cluster) of ``docs``: tokens of the vocabulary, else words, and a hash of the lower-case words."""
     words = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _SPACE, " ")
-    return docs.select("doc_id", word_count("text").alias("n_tokens"), "source", F.xxhash64(F.trim(words)).alias("cluster"))
+    rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.xxhash64(F.trim(words)).alias("cluster"))
+    if tokenizer_path is None:
+        return rows.select("doc_id", word_count("text").alias("n_tokens"), "source", "cluster")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def work(batch):
+        encode = encoder(tokenizer_path)
+        ids = encode.encode(batch.column("text").to_pylist(), END_ID)
+        return [batch.column("doc_id"), [len(i) // encode.width - 1 for i in ids], batch.column("source"), batch.column("cluster")]
+
+    return over_batches(rows, work, f"doc_id {kind}, n_tokens bigint, source string, cluster bigint")
 
 
 def bin_name() -> Column:
     return F.concat_ws("-", *[F.col(c).cast("string") for c in ("shard", "block", "bin")])
 
 
-def op7_packing(spark, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(measured(table(spark, sf_dir, "documents")))
+def op7_packing(spark, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    pieces = pack_documents(measured(table(spark, sf_dir, "documents"), tokenizer_path))
     return pieces.select(bin_name().alias("bin_id"), "doc_id", "start", "length")

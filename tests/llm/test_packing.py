@@ -111,3 +111,23 @@ def test_odd_rows(spark):
     same = [(p.shard, p.block, p.bin) for p in pieces if p.doc_id in (2, 3)]
     assert len(set(same)) == 3
     assert pack_documents(measured(docs.limit(0))).count() == 0
+
+
+def test_pieces_are_tokens(spark):
+    """Pieces and bins in tokens of the vocabulary, by the library; also in the pipeline, and a long text without blanks."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = [(1, "An unquestionably hyphen-ated sentence, twice. " * 300, "a"), (2, "qzxj" * 4000, None), (3, None, "a"), (4, "", "b"), (None, "Straße 12 été", "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sizes = {i: len(tokenizer.encode(t or "", add_special_tokens=False)) for i, t, _ in rows}
+    assert {r.doc_id: r.n_tokens for r in measured(docs, path).collect()} == sizes and sizes[2] > 2048
+    found, bins = defaultdict(list), Counter()
+    for p in corpus_pipeline.packed(spark, docs, "").collect():
+        found[p.doc_id].append((p.start, p.length))
+        bins[p.bin_id] += p.length
+    assert {i: sum(n for _, n in of) for i, of in found.items()} == sizes and max(bins.values()) <= 2048
+    assert all(start == 2048 * k for of in found.values() for k, (start, _) in enumerate(sorted(of)))
