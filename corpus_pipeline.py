@@ -44,8 +44,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     prepared(spark)
-    measured = stage(packing.measured(docs, public_tokenizers.path("word_bpe_49k.json")), "measured")
-    pieces = packing.pack_documents(measured)
+    pieces = packing.pack_documents(packing.measured(docs, public_tokenizers.path("word_bpe_49k.json")))
     return pieces.select(packing.bin_name().alias("bin_id"), "doc_id", "start", "length")
 
 

@@ -8,6 +8,9 @@ bitmaps: the sources and the duplicate clusters of what it holds; a document con
 that has its cluster, or already ``PER_SOURCE`` pieces of its source. Full bins made by cutting
 hold one document each.
 
+Clusters are components of near duplicates, by fingerprints that differ in few bits (``simhash``), so near copies don't
+share a bin either.
+
 Shards: documents are dealt by a hash of id and cluster into shards of about ``SHARD_ROWS`` rows, each of
 which is packed by one task; their number grows with the table, so tasks don't. Bins are
 never shared by shards. A shard that by ill luck (a hash of one repeated row) is larger is packed in
@@ -31,8 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowgate.session import stage
+
 from .common import over_batches, table
+from .components import components
 from .records import END_ID, encoder
+from .simhash import fingerprint, links
 
 CAPACITY = 2048
 PER_SOURCE = 2
@@ -164,19 +171,29 @@ def pack_documents(
 
 
 def measured(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, source, cluster) of ``docs``: tokens of the vocabulary, else words, and a hash of the lower-case words."""
-    words = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _SPACE, " ")
-    rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.xxhash64(F.trim(words)).alias("cluster"))
-    if tokenizer_path is None:
-        return rows.select("doc_id", word_count("text").alias("n_tokens"), "source", "cluster")
+    """(doc_id, n_tokens, source, cluster) of ``docs``: tokens of the vocabulary, else words; the component of near duplicates.
+
+    Fingerprints are those of the lower-case words, so texts equal up to case and white space are of one cluster.
+    """
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _SPACE, " "))
+    count = F.lit(None).cast("bigint") if tokenizer_path else word_count("text")
+    rows = docs.select("doc_id", "text", words.alias("words"), F.col("source").cast("string").alias("source"), count.alias("n"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch):
-        encode = encoder(tokenizer_path)
-        ids = encode.encode(batch.column("text").to_pylist(), END_ID)
-        return [batch.column("doc_id"), [len(i) // encode.width - 1 for i in ids], batch.column("source"), batch.column("cluster")]
-
-    return over_batches(rows, work, f"doc_id {kind}, n_tokens bigint, source string, cluster bigint")
+        sizes = batch.column("n")
+        if tokenizer_path:
+            encode = encoder(tokenizer_path)
+            ids = encode.encode(batch.column("text").to_pylist(), END_ID)
+            sizes = [len(i) // encode.width - 1 for i in ids]
+        return [batch.column("doc_id"), sizes, batch.column("source"), [fingerprint(w) for w in batch.column("words").to_pylist()]]
+
+    if not tokenizer_path:
+        rows = rows.drop("text")
+    made = stage(over_batches(rows, work, f"doc_id {kind}, n_tokens bigint, source string, fp bigint"), "measured")
+    roots = components(links(stage(made.select("fp").distinct(), "distinct")))
+    joined = made.join(roots, made["fp"] == roots["node"], "left")
+    return joined.select("doc_id", "n_tokens", "source", F.coalesce("root", "fp").alias("cluster"))
 
 
 def bin_name() -> Column:

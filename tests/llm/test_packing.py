@@ -131,3 +131,13 @@ def test_pieces_are_tokens(spark):
         bins[p.bin_id] += p.length
     assert {i: sum(n for _, n in of) for i, of in found.items()} == sizes and max(bins.values()) <= 2048
     assert all(start == 2048 * k for of in found.values() for k, (start, _) in enumerate(sorted(of)))
+
+
+def test_near_copies_share_no_bin(spark):
+    words = [f"w{i * i % 997}x{i}" for i in range(900)]
+    texts = [" ".join([*words[:at], "changed", *words[at + 1 :]]) for at in (100, 500, 800)] + ["something else " * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "CAST(NULL AS STRING) AS source")
+    clusters = {r.doc_id: r.cluster for r in measured(docs).collect()}
+    assert clusters[0] == clusters[1] == clusters[2] != clusters[3]
+    bins = {p.doc_id: (p.shard, p.block, p.bin) for p in pack_documents(measured(docs)).collect()}
+    assert len({bins[0], bins[1], bins[2]}) == 3
