@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from rowgate.session import stage
 
-from .common import over_batches, table
+from .common import encoded, over_batches, table
 from .components import components
 from .records import END_ID, encoder
 from .simhash import fingerprint, links
@@ -45,13 +45,6 @@ CAPACITY = 2048
 PER_SOURCE = 2
 SHARD_ROWS = 4_000
 BLOCK_ROWS = 20_000
-_SPACE = r"[\x20\x09-\x0D]+"
-
-
-def word_count(text: Column | str) -> Column:
-    """Words between space and the controls from tab to carriage return."""
-    trimmed = F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), rf"^{_SPACE}|{_SPACE}$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, _SPACE))).cast("bigint")
 
 
 class Bins:
@@ -175,21 +168,18 @@ def measured(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
 
     Fingerprints are those of the lower-case words, so texts equal up to case and white space are of one cluster.
     """
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _SPACE, " "))
-    count = F.lit(None).cast("bigint") if tokenizer_path else word_count("text")
-    rows = docs.select("doc_id", "text", words.alias("words"), F.col("source").cast("string").alias("source"), count.alias("n"))
+    rows = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batch):
-        sizes = batch.column("n")
+        texts = batch.column("text").to_pylist()
         if tokenizer_path:
             encode = encoder(tokenizer_path)
-            ids = encode.encode(batch.column("text").to_pylist(), END_ID)
-            sizes = [len(i) // encode.width - 1 for i in ids]
-        return [batch.column("doc_id"), sizes, batch.column("source"), [fingerprint(w) for w in batch.column("words").to_pylist()]]
+            sizes = [len(i) // encode.width - 1 for i in encode.encode(texts, END_ID)]
+        else:
+            sizes = [len(encoded(t).split()) for t in texts]
+        return [batch.column("doc_id"), sizes, batch.column("source"), [fingerprint((t or "").lower()) for t in texts]]
 
-    if not tokenizer_path:
-        rows = rows.drop("text")
     made = stage(over_batches(rows, work, f"doc_id {kind}, n_tokens bigint, source string, fp bigint"), "measured")
     roots = components(links(stage(made.select("fp").distinct(), "distinct")))
     joined = made.join(roots, made["fp"] == roots["node"], "left")
