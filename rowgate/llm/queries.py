@@ -18,6 +18,9 @@ _MODULES = {
     "op9_host_rules": "host_rules",
     "op10_html": "html_extract",
     "op4_warc": "warc",
+    "op11_alignment": "alignment",
+    "op12_byte_bpe": "byte_bpe",
+    "op13_collocations": "collocations",
 }
 
 

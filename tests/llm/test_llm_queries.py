@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.01"
 
 def test_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*catalog(), "pipeline"} <= set(queries())
 
 
