@@ -74,6 +74,24 @@ def scan_json_array(spark, sf_dir):
     )
 
 
+def split_json_array(spark, sf_dir):
+    """Arrays of up to 10,000 documents on one line each, read by ranges of 256 KB."""
+    batched = row_batches(documents_as_rows(spark, sf_dir).drop("v"), 10_000)
+    items = F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda r: r["raw"])
+    arrays = batched.groupBy("batch_id").agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("value"))
+    folder = staging_path(spark, "arrays")
+    arrays.select("value", F.format_string("%09d", "batch_id").alias("part")).write.partitionBy("part").text(folder)
+    ranked = number_rows(read_json_array(spark, folder, range_bytes=1 << 18), into="place")
+    return ranked.select(
+        "place", F.try_variant_get("v", "$.doc_id", "bigint").alias("doc_id"), F.get_json_object("raw", "$.text").alias("text")
+    )
+
+
+_SPLIT_ARRAY_SQL = """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, doc_id, text FROM documents
+"""
+
+
 def jsonl_roundtrip(spark, sf_dir):
     path = write_rows(documents_as_rows(spark, sf_dir), staging_path(spark, "documents") + ".jsonl", "jsonl")
     return typed_projection(read_json_lines(spark, path, "failfast"), DOCUMENT_PLAN, keep=())
@@ -165,6 +183,42 @@ FROM marked
 """
 
 
+def merge_many_files(spark, sf_dir):
+    """Four hundred chunk files, named one by one and merged in that order; the last is named first too."""
+    documents = table(spark, sf_dir, "documents")
+    folder = staging_path(spark, "many")
+    line = F.to_json(F.struct("text"))
+    chunks = documents.select((F.col("doc_id") % 400).alias("chunk"), "doc_id", line.alias("value"))
+    chunks.repartition("chunk").sortWithinPartitions("chunk", "doc_id").select("chunk", "value").write.partitionBy("chunk").text(folder)
+    present = sorted(r["chunk"] for r in chunks.select("chunk").distinct().collect())  # 400 at most
+    inputs = [f"{folder}/chunk={chunk}" for chunk in present]
+    merged = merge_inputs(spark, [inputs[-1], *inputs], TEXT_PLAN, fmt="jsonl")
+    return merged.select(
+        F.get_json_object("raw", "$.text").alias("text"), "input_ord", "status", joined()
+    )
+
+
+_MANY_SQL = """
+WITH d AS (SELECT doc_id, text, doc_id % 400 AS chunk FROM documents),
+places AS (SELECT chunk, row_number() OVER (ORDER BY chunk) AS input_ord FROM (SELECT DISTINCT chunk FROM d)),
+named AS (
+  SELECT text, input_ord, doc_id FROM d JOIN places USING (chunk)
+  UNION ALL SELECT text, 0, doc_id FROM d WHERE chunk = (SELECT max(chunk) FROM d)),
+checked AS (
+  SELECT *, concat_ws('; ',
+    case when length(text) < 30 then '$.text: string too short (' || length(text) || ' < 30)' end,
+    case when length(text) > 8000 then '$.text: string too long (' || length(text) || ' > 8000)' end) AS issues
+  FROM named),
+marked AS (
+  SELECT *, case when issues <> '' then 'invalid'
+    when row_number() OVER (PARTITION BY issues <> '', text ORDER BY input_ord, doc_id) = 1 then 'accepted'
+    else 'duplicate' end AS status
+  FROM checked)
+SELECT text, CAST(input_ord AS INTEGER) AS input_ord, status, case status when 'duplicate' then 'duplicate_exact' else issues end AS issues
+FROM marked
+"""
+
+
 def incremental_merge(spark, sf_dir):
     """The same files one after another, each merged against the keys accepted before."""
     folder, base = _chunk_files(spark, sf_dir), staging_path(spark, "arrivals")
@@ -229,5 +283,7 @@ QUERIES: dict[str, Entry] = {
     "gate_artifacts": (gate_artifacts, _GATED_SQL),
     "merge_roundtrip": (merge_roundtrip, _ROUNDTRIP_SQL),
     "merge_files": (merge_files, _FILES_SQL),
+    "merge_many_files": (merge_many_files, _MANY_SQL),
+    "split_json_array": (split_json_array, _SPLIT_ARRAY_SQL),
     "incremental_merge": (incremental_merge, _ARRIVALS_SQL),
 }

@@ -6,19 +6,19 @@ NULL where the text is not valid JSON).
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.json_text import parse_json, with_parsed
 from ..functions.text import quote_column, strip
-from .order import ORDER, file_order, in_input, is_file_order, order_key
+from .arrays import RANGE_BYTES, read_array_elements, read_array_texts, reads_ranges
+from .inputs import input_groups
+from .order import file_order, in_input, is_file_order, order_key
 
 BAD_JSON = "bad_json"
 
@@ -32,73 +32,44 @@ def _finish(rows: DataFrame, mode: str) -> DataFrame:
     return rows.select("seq", "input_ord", "raw", "v")
 
 
-def read_json_lines(spark: SparkSession, inputs: str | Sequence[str], mode: str = "quarantine") -> DataFrame:
+def read_json_lines(
+    spark: SparkSession, inputs: str | Sequence[str], mode: str = "quarantine", numbers: Sequence[int] | None = None
+) -> DataFrame:
     """One JSON value per line, blank lines skipped, inputs in the order given.
 
-    ``mode="quarantine"`` keeps a bad line with ``v`` NULL, ``"failfast"`` raises on it. Each input is
-    a scan of its own that carries the file, split and place of its lines, so nothing is joined
-    and no text moves. The place of a line depends on how files are split into tasks; its rank does not.
+    ``mode="quarantine"`` keeps a bad line with ``v`` NULL, ``"failfast"`` raises on it. All inputs are one scan; which
+    of them a line belongs to comes from its file's path, so nothing is joined and no text moves. A file that several
+    inputs name counts for each of them. The place of a line depends on how files are split into tasks; its rank does not.
+    ``numbers`` are the inputs' places among others, if not 0, 1, 2 ...
     """
     inputs = [inputs] if isinstance(inputs, str) else list(inputs)
     scans = []
-    for number, path in enumerate(inputs):
-        seq = file_order(F.col("_metadata.file_block_start"), F.monotonically_increasing_id(), number)
-        lines = spark.read.text(path).select(seq.alias("seq"), F.lit(number).alias("input_ord"), strip(F.col("value")).alias("raw"))
+    for group in input_groups(spark, inputs, numbers):
+        lines = group.scan(spark.read.format("text"), strip(F.col("value")).alias("raw"), F.monotonically_increasing_id())
         scans.append(lines.where("raw <> ''"))
     return _finish(with_parsed(reduce(DataFrame.unionAll, scans), "raw", "v"), mode)
 
 
-def _elements(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The elements of JSON arrays as they are written, with their places; a piece of them at a time."""
-    decoder, space = json.JSONDecoder(), re.compile(r"[ \t\n\r]*")
-
-    def batch_of(seq, texts, at):
-        rows = {**seq, "row": 0}
-        return pa.RecordBatch.from_pylist(
-            [{"seq": {**rows, "row": at + k}, "raw": t} for k, t in enumerate(texts)],
-            schema=pa.schema([("seq", pa.struct([("input", pa.int32()), ("file", pa.string()), ("block", pa.int64()), ("row", pa.int64())])), ("raw", pa.string())]),
-        )
-
-    for frame in frames:
-        for row in frame.to_pylist():
-            text, found, sent, size = row["raw"], [], 0, 0
-            problem = ValueError(f"expected a JSON array in {row['seq']['file']}")
-            if not text.startswith("["):
-                raise problem
-            at = space.match(text, 1).end()
-            while text[at : at + 1] != "]":
-                try:
-                    end = decoder.raw_decode(text, at)[1]
-                except ValueError:
-                    raise problem from None
-                found.append(text[at:end])
-                size += end - at
-                if size > 8 << 20:
-                    yield batch_of(row["seq"], found, sent)
-                    sent, found, size = sent + len(found), [], 0
-                at = space.match(text, end).end()
-                if text[at : at + 1] == ",":
-                    at = space.match(text, at + 1).end()
-                    if text[at : at + 1] == "]":
-                        raise problem
-                elif text[at : at + 1] != "]":
-                    raise problem
-            if space.match(text, at + 1).end() != len(text):
-                raise problem
-            yield batch_of(row["seq"], found, sent)
-
-
-def read_json_array(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame:
-    """Files that each hold one JSON array; every element is a row.
-
-    A file is one text, so it is split into its elements by one task, each as it is written; the
-    elements are then dealt out and parsed one by one, so only they have a limit of size. Use JSON lines for
-    big data.
+def read_json_array(
+    spark: SparkSession,
+    inputs: str | Sequence[str],
+    mode: str = "failfast",
+    numbers: Sequence[int] | None = None,
+    range_bytes: int = RANGE_BYTES,
+) -> DataFrame:
+    """Files that each hold one JSON array; every element is a row, as it is written.
+
+    Files are read by ranges of ``range_bytes``, so a file of any size is read by many tasks (packed files, and file systems that
+    only Spark can read, by one task a file). Text that is not one array is an error. Inputs and ``numbers`` as
+    in ``read_json_lines``.
     """
-    seq = file_order(F.lit(0), F.lit(0))
-    texts = spark.read.text(path, wholetext=True).select(seq.alias("seq"), strip(F.col("value")).alias("raw"))
-    elements = texts.mapInArrow(_elements, T.StructType([T.StructField("seq", ORDER), T.StructField("raw", T.StringType())]))
-    return _finish(with_parsed(elements.withColumn("input_ord", F.lit(0)), "raw", "v"), mode)
+    inputs = [inputs] if isinstance(inputs, str) else list(inputs)
+    found = []
+    for group in input_groups(spark, inputs, numbers):
+        ranges = all(reads_ranges(spark, path) for path in {p.partition(":")[0]: p for p in group.paths}.values())
+        found.append(read_array_elements(spark, group, range_bytes) if ranges else read_array_texts(spark, group))
+    elements = reduce(DataFrame.unionAll, found)
+    return _finish(with_parsed(elements.withColumn("input_ord", F.col("seq.input")), "raw", "v"), mode)
 
 
 def json_elements(raw: str, value: Column) -> Column:
@@ -177,6 +148,12 @@ def input_format(spark: SparkSession, path: str) -> tuple[str, str]:
     return "jsonl", path
 
 
+def _formats(spark: SparkSession, inputs: Sequence[str]) -> list[tuple[str, str]]:
+    """Formats of many inputs; what a path is takes a call or two, so many are asked at a time."""
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(lambda path: input_format(spark, path), inputs))
+
+
 def union_rows(*inputs: DataFrame) -> DataFrame:
     """All rows of the inputs, in argument order; ``input_ord`` counts the inputs."""
     numbered = [df.withColumn("input_ord", F.lit(number)) for number, df in enumerate(inputs)]
@@ -201,12 +178,14 @@ def read_rows(
     if fmt == "run":
         found = [("jsonl", f"{path.rstrip('/')}/accepted.jsonl") for path in inputs]
     else:
-        found = [(fmt, path) if fmt else input_format(spark, path) for path in inputs]
-    if all(kind == "jsonl" for kind, _ in found):
-        return read_json_lines(spark, [path for _, path in found], mode)
-    readers = {
-        "jsonl": lambda path: read_json_lines(spark, path, mode),
-        "json": lambda path: read_json_array(spark, path, mode),
-        "parquet": lambda path: read_columnar(spark, path),
-    }
-    return union_rows(*[readers[kind](path) for kind, path in found])
+        found = [(fmt, path) for path in inputs] if fmt else _formats(spark, inputs)
+    parts = []
+    for kind, reader in (("jsonl", read_json_lines), ("json", read_json_array)):
+        numbers = [number for number, (named, _) in enumerate(found) if named == kind]
+        if numbers:  # one scan for all inputs of a kind; their rows know the inputs' places
+            parts.append(reader(spark, [found[n][1] for n in numbers], mode, numbers))
+    for number, (kind, path) in enumerate(found):
+        if kind == "parquet":
+            rows = read_columnar(spark, path).withColumn("input_ord", F.lit(number))
+            parts.append(rows.withColumn("seq", in_input(rows, number)))
+    return reduce(DataFrame.unionByName, parts)

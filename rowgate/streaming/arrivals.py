@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,7 +11,8 @@ from ..functions.text import strip
 from ..operators.merge import key_of, mark_first, with_status
 from ..operators.validate import is_valid, validate_rows
 from ..plans import Plan, Profile
-from ..session import delete_folder, staged
+from ..session import staged
+from .membership import candidates, key_runs, merge_runs, seen_keys, write_run
 
 
 def read_arriving_lines(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -28,58 +27,6 @@ def read_arriving_lines(spark: SparkSession, folder: str, files_per_batch: int |
     )
 
 
-# So many runs of one level are merged into one of the next.
-MERGED = 16
-
-
-def _prefix(key: str) -> Column:
-    """The first byte of a key; keys are hashes, so it deals them evenly over 256 folders."""
-    return F.conv(F.hex(F.substring(key, 1, 1)), 16, 10).cast("int").alias("prefix")
-
-
-def key_runs(spark: SparkSession, state: str, batch_id: int) -> list[tuple[int, int, str]]:
-    """(first batch, last batch, path) of the runs that hold the keys of all batches before ``batch_id``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(state)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    for status in system.listStatus(folder) if system.exists(folder) else []:
-        named = re.fullmatch(r"run=([0-9]+)-([0-9]+)", status.getPath().getName())
-        path = status.getPath().toString()
-        if named and int(named[2]) < batch_id and system.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-            found.append((int(named[1]), int(named[2]), path))
-    # a merged run takes the place of those inside it, which may not be deleted yet
-    return sorted(r for r in found if not any(o[0] <= r[0] and r[1] <= o[1] and o[2] != r[2] for o in found))
-
-
-def old_keys(spark: SparkSession, state: str, batch_id: int, prefixes: list[int]) -> DataFrame | None:
-    """Keys accepted before ``batch_id`` that begin with one of ``prefixes``; other folders are not read."""
-    runs = key_runs(spark, state, batch_id)
-    if not runs:
-        return None
-    read = spark.read.schema("key binary, prefix int").option("basePath", state)
-    return read.parquet(*[path for _, _, path in runs]).where(F.col("prefix").isin(prefixes)).select("key")
-
-
-def merge_runs(spark: SparkSession, state: str, batch_id: int) -> None:
-    """Merge runs of earlier batches: 16 of one level into one of the next, so that few are ever listed.
-
-    Only batches before ``batch_id`` are merged, so a replay of ``batch_id`` never meets its own keys. A key is rewritten
-    once per level. What a merge replaced is deleted after it has ended.
-    """
-    size = MERGED
-    while batch_id and batch_id % size == 0:
-        first, last = batch_id - size, batch_id - 1
-        inside = [r for r in key_runs(spark, state, batch_id) if first <= r[0] and r[1] <= last]
-        if len(inside) > 1:
-            keys = spark.read.schema("key binary, prefix int").option("basePath", state).parquet(*[p for _, _, p in inside])
-            keys.select("key", "prefix").repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(
-                f"{state}/run={first}-{last}"
-            )
-            for _, _, path in inside:
-                delete_folder(spark, path)
-        size *= MERGED
-
-
 def merge_batch(
     arrived: DataFrame,
     batch_id: int,
@@ -90,10 +37,9 @@ def merge_batch(
 ) -> None:
     """Merge one micro-batch against the keys accepted before it.
 
-    Rows go to ``output/batch=N``, newly accepted keys to ``state/run=N-N`` in folders by their first
-    byte. A replay overwrites both and looks only at keys of earlier batches, so it repeats the
-    same result. Of the old keys only folders are read whose first byte occurs in the batch, and
-    only keys that occur in the batch are kept. What the batch staged is deleted at its end.
+    Rows go to ``output/batch=N``, newly accepted keys to a run of their own in ``state`` (see ``membership``). A
+    replay overwrites both and looks only at keys of earlier batches, so it repeats the same result. Of the old keys only
+    buckets are read that may hold a key of the batch. What the batch staged is deleted at its end.
     """
     spark = arrived.sparkSession
     merge_runs(spark, state, batch_id)
@@ -102,27 +48,28 @@ def merge_batch(
     checked = checked.withColumn("key", F.when(is_valid(), key_of())).drop("v")
     order = F.struct("file", "block_start", F.monotonically_increasing_id())
     with staged(checked.withColumn("seq", order), "arrived") as checked:
-        firsts = mark_first(checked)
+        runs = key_runs(spark, state, batch_id)
         fresh = checked.where("key IS NOT NULL").select("key").distinct()
-        # 256 values at most
-        prefixes = [r["prefix"] for r in fresh.select(_prefix("key")).distinct().collect()]
-        old = old_keys(spark, state, batch_id, prefixes)
-        if old is not None:
-            seen = old.join(fresh, "key", "left_semi").select("key").distinct()
-            seen = seen.withColumn("__seen", F.lit(True))
-            # only the first row of a key is looked up, so a hot key is one row here
-            later = F.col("is_first") & F.coalesce("__seen", F.lit(False))
-            lookup = F.when(F.col("is_first"), F.col("key")).otherwise(F.unhex(F.sha2(F.to_json("seq"), 256)))
-            firsts = (
-                firsts.withColumn("__lookup", lookup)
-                .join(seen.withColumnRenamed("key", "__lookup"), "__lookup", "left")
-                .withColumn("is_first", F.when(later, F.lit(False)).otherwise(F.col("is_first")))
-                .drop("__lookup", "__seen")
-            )
-        with_status(firsts).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        with staged(candidates(fresh, runs), "candidates") as found:
+            write_merged(mark_first(checked), seen_keys(found, runs), f"{output}/batch={batch_id}")
     written = spark.read.parquet(f"{output}/batch={batch_id}")
-    keys = written.where("status = 'accepted'").select("key", _prefix("key")).repartition("prefix")
-    keys.write.mode("overwrite").partitionBy("prefix").parquet(f"{state}/run={batch_id}-{batch_id}")
+    write_run(spark, state, batch_id, batch_id, written.where("status = 'accepted'").select("key"))
+
+
+def write_merged(firsts: DataFrame, seen: DataFrame | None, path: str) -> None:
+    """Write rows with their status; the first row of a key that was seen before is a duplicate too."""
+    if seen is not None:
+        # only the first row of a key is looked up, so a hot key is one row here
+        lookup = F.when(F.col("is_first"), F.col("key")).otherwise(F.unhex(F.sha2(F.to_json("seq"), 256)))
+        known = seen.select(F.col("key").alias("__lookup"), F.lit(True).alias("__seen"))
+        later = F.col("is_first") & F.coalesce("__seen", F.lit(False))
+        firsts = (
+            firsts.withColumn("__lookup", lookup)
+            .join(known, "__lookup", "left")
+            .withColumn("is_first", F.when(later, F.lit(False)).otherwise(F.col("is_first")))
+            .drop("__lookup", "__seen")
+        )
+    with_status(firsts).write.mode("overwrite").parquet(path)
 
 
 def merge_arrivals(

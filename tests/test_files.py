@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import hashlib
 import json
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from rowgate.operators import merge_rows
@@ -10,7 +14,7 @@ from rowgate.plans import Plan
 from rowgate.sinks import json_lines_to_columnar, write_json_lines, write_rows, write_run_artifacts
 from rowgate.session import clear_staging, stage
 from rowgate.sources import read_json_lines
-from rowgate.streaming import arrivals, merge_arrivals
+from rowgate.streaming import arrivals, membership, merge_arrivals
 
 CODE_PLAN = Plan(
     "code",
@@ -124,11 +128,10 @@ def test_staged_tables_are_in_the_shared_folder_and_can_be_cleared(spark):
     clear_staging(spark)
 
 
-def test_state_of_arrivals_is_pruned_merged_and_freed(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(arrivals, "MERGED", 2)
+@pytest.fixture
+def arrivals_state(spark, tmp_path):
+    """The state folder, and a function that merges a batch of numbers and returns them with their status."""
     state, output = str(tmp_path / "state"), str(tmp_path / "out")
-    root = Path(spark.conf.get("spark.checkpoint.dir"))
-    before = set(root.rglob("arrived-*"))
 
     def arrive(batch, numbers):
         rows = [(json.dumps({"n": n}), "f", i) for i, n in enumerate(numbers)]
@@ -137,15 +140,77 @@ def test_state_of_arrivals_is_pruned_merged_and_freed(spark, tmp_path, monkeypat
         found = spark.read.parquet(f"{output}/batch={batch}").collect()
         return sorted((json.loads(r.raw)["n"], r.status) for r in found)
 
+    return state, arrive
+
+
+def test_state_of_arrivals_is_pruned_merged_and_freed(spark, arrivals_state, monkeypatch):
+    monkeypatch.setattr(membership, "MERGED", 2)
+    monkeypatch.setattr(membership, "BUCKET_KEYS", 50)
+    state, arrive = arrivals_state
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {*root.rglob("arrived-*"), *root.rglob("candidates-*")}
     for batch in range(5):
         fresh = range(batch * 200, batch * 200 + 200)
         expected = [(n, "accepted") for n in fresh] + ([(batch * 7, "duplicate")] if batch else [])
         assert arrive(batch, [*fresh, *([batch * 7] if batch else [])]) == sorted(expected)
         if batch == 4:  # a replay
             assert arrive(batch, [*fresh, batch * 7]) == sorted(expected)
-    runs = [(a, b) for a, b, _ in arrivals.key_runs(spark, state, 5)]
-    assert runs == [(0, 3), (4, 4)]
-    assert arrivals.old_keys(spark, state, 5, list(range(256))).count() == 1000
-    one = arrivals.old_keys(spark, state, 5, [17])
-    assert 0 < one.count() < 40 and "PartitionFilters: [isnotnull(prefix" in one._jdf.queryExecution().executedPlan().toString()
-    assert set(root.rglob("arrived-*")) == before
+    runs = membership.key_runs(spark, state, 5)
+    assert [(r.first, r.last, r.bits) for r in runs] == [(0, 3, 4), (4, 4, 2)]
+    keys = membership.run_keys(spark, runs)
+    assert keys.count() == keys.distinct().count() == 1000
+    assert {*root.rglob("arrived-*"), *root.rglob("candidates-*")} == before
+    assert len(list(Path(state).iterdir())) == 2
+
+
+def sha(*values):
+    return [(hashlib.sha256(str(v).encode()).digest(),) for v in values]
+
+
+def test_a_batch_reads_what_it_may_have_met(spark, tmp_path):
+    """200 runs of 400 keys in 8 buckets each: new keys read no bucket, an old key reads its own."""
+    state, runs = tmp_path / "state", []
+    for number in range(200):
+        keys = np.frombuffer(b"".join(k for (k,) in sha(*range(number * 400, number * 400 + 400))), np.uint8).reshape(-1, 32)
+        run = membership.Run(number, number, 3, f"file:{state}/run={number}-{number}-3")
+        folder = state / f"run={number}-{number}-3"
+        (folder / "filters").mkdir(parents=True)
+        for bucket in range(8):
+            held = keys[keys[:, 0] >> 5 == bucket]
+            (folder / "filters" / str(bucket)).write_bytes(membership.make_filter(held).tobytes())
+            (folder / "keys" / f"bucket={bucket}").mkdir(parents=True)
+            pq.write_table(pa.table({"key": [bytes(k) for k in held]}), folder / "keys" / f"bucket={bucket}" / "part.parquet")
+        (folder / "keys" / "_SUCCESS").touch()
+        runs.append(run)
+    assert membership.key_runs(spark, str(state), 200) == sorted(runs)
+
+    def met(*values):
+        found = stage(membership.candidates(spark.createDataFrame(sha(*values), "key binary"), runs), "candidates")
+        seen = membership.seen_keys(found, runs)
+        return membership.candidate_folders(found, runs), [] if seen is None else sorted(bytes(r.key) for r in seen.collect())
+
+    fresh = range(10**6, 10**6 + 300)
+    folders, seen = met(*fresh)
+    assert len(folders) <= 3 and seen == []  # 60,000 questions, of which one in 100,000 may be answered wrongly
+    old = [5, 399, 400, 41_000, 79_999]
+    folders, seen = met(*fresh, *old)
+    assert 5 <= len(folders) <= 8 and seen == sorted(k for (k,) in sha(*old))
+    assert {f.split("/run=")[1].split("-")[0] for f in folders} >= {"0", "1", "102", "199"}
+
+
+def test_filters_deny_no_key():
+    rng = np.random.default_rng(1)
+    for count in (0, 1, 7, 1000, 70_000):
+        keys = rng.integers(0, 256, (count, 32), np.uint8)
+        words = membership.make_filter(keys)
+        assert membership.may_hold(words, keys).all()
+        assert membership.may_hold(words, rng.integers(0, 256, (100_000, 32), np.uint8)).sum() <= 20
+
+
+def test_batches_without_keys(spark, arrivals_state):
+    state, arrive = arrivals_state
+    assert arrive(0, []) == []
+    assert membership.key_runs(spark, state, 1) == []
+    assert arrive(1, [1, 1]) == [(1, "accepted"), (1, "duplicate")]
+    assert arrive(2, []) == []
+    assert arrive(3, [1]) == [(1, "duplicate")]
