@@ -102,12 +102,56 @@ SELECT axis, value, declared, CAST(n AS BIGINT) AS n, share, target_share, share
 """
 
 
-def targets(spark, sf_dir):
-    """Batches of seven documents of each source, dealt to styles by share and to domains evenly."""
+def _batches_of_sources(spark, sf_dir):
     totals = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("chunk_id")).agg(F.count("*").alias("total"))
-    return batch_targets(batch_table(totals, 7), TEXT_COMPRESSION.axes)
+    return batch_table(totals, 7)
+
+
+def targets(spark, sf_dir):
+    """Batches of seven documents of all sources in a row, dealt to styles by share and to domains evenly over the run."""
+    return batch_targets(_batches_of_sources(spark, sf_dir), TEXT_COMPRESSION.axes, order=["chunk_id", "batch_index"])
+
+
+def targets_of_chunks(spark, sf_dir):
+    """The same with a run per source."""
+    return batch_targets(_batches_of_sources(spark, sf_dir), TEXT_COMPRESSION.axes, order=["batch_index"], per=["chunk_id"])
 
 
+def targets_by_batch(spark, sf_dir):
+    """The same, with every batch dealt by itself."""
+    return batch_targets(_batches_of_sources(spark, sf_dir), TEXT_COMPRESSION.axes)
+
+
+# The value of each row of a period (of 20 rows for styles, of 5 for domains): of the values that may have one more row,
+# that whose next one is due first.
+_RUN_SQL = """
+WITH RECURSIVE t AS (SELECT source AS chunk_id, count(*) AS total FROM documents GROUP BY source),
+u AS (SELECT chunk_id, total, unnest(range((total + 6) // 7)) AS batch_index FROM t),
+b AS (SELECT chunk_id, batch_index, least(7, total - batch_index * 7) AS n_rows FROM u),
+r AS (SELECT *, coalesce(sum(n_rows) OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low FROM b),
+axes(axis, names, wants, period) AS (VALUES
+  ('compression_style', ['extractive', 'abstractive', 'bullet', 'telegraphic'], [5, 7, 4, 4], 20),
+  ('domain', ['science', 'news', 'legal', 'technical', 'general'], [1, 1, 1, 1, 1], 5)),
+d(axis, names, wants, period, row, given) AS (
+  SELECT axis, names, wants, period, 0, list_transform(wants, lambda w: 0) FROM axes
+  UNION ALL
+  SELECT axis, names, wants, period, row + 1, list_transform(given, lambda g, i: g + CASE WHEN i = pick THEN 1 ELSE 0 END)
+  FROM (
+    SELECT *, list_position(due, list_min(due)) AS pick FROM (
+      SELECT *, list_transform(wants, lambda w, i: CASE WHEN given[i] * period < w * (row + 1)
+        THEN ((given[i] + 1) * period + w - 1) // w ELSE 1000000 END) AS due
+      FROM d WHERE row < period))),
+q AS (SELECT axis, period, row, unnest(names) AS value, unnest(wants) AS want, unnest(given) AS given FROM d),
+c AS (
+  SELECT chunk_id, batch_index, n_rows, x.axis, x.value,
+    ((low + n_rows) // x.period) * x.want + y.given - (low // x.period) * x.want - x.given AS count
+  FROM r JOIN q AS x ON x.row = low % x.period
+  JOIN q AS y ON y.axis = x.axis AND y.value = x.value AND y.row = (low + n_rows) % y.period)
+SELECT chunk_id, batch_index, n_rows, axis, value, CAST(count AS BIGINT) AS count FROM c WHERE count > 0
+"""
+_ALL_SQL = _RUN_SQL.replace("{run}", "ORDER BY chunk_id, batch_index")
+_CHUNKS_SQL = _RUN_SQL.replace("{run}", "PARTITION BY chunk_id ORDER BY batch_index")
+
 _TARGETS_SQL = """
 WITH t AS (SELECT source AS chunk_id, count(*) AS total FROM documents GROUP BY source),
 u AS (SELECT chunk_id, total, unnest(range((total + 6) // 7)) AS batch_index FROM t),
@@ -164,7 +208,9 @@ QUERIES: dict[str, Entry] = {
     "issue_profile": (issues, _ISSUES_SQL),
     "chunk_overlap": (overlap, _OVERLAP_SQL),
     "axis_coverage": (coverage, _COVERAGE_SQL),
-    "batch_targets": (targets, _TARGETS_SQL),
+    "batch_targets": (targets, _ALL_SQL),
+    "batch_targets_of_chunks": (targets_of_chunks, _CHUNKS_SQL),
+    "batch_targets_each": (targets_by_batch, _TARGETS_SQL),
     "source_repeats": (repeats, _REPEATS_SQL),
     "policy_filter": (policy, _POLICY_SQL),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,30 @@ def number_rows(rows: DataFrame, seq: str = "seq", into: str = "idx", total: str
     return numbered.drop("__part", "__place", "__offset", "__total")
 
 
+def running_total(rows: DataFrame, order: Sequence[str], value: str, into: str, per: Sequence[str] = ()) -> DataFrame:
+    """Add the sum of ``value`` over the rows before each one, in the order of ``order``, without a one-task window.
+
+    With ``per`` each group of these columns has a sum of its own. Rows are range partitioned, and staged with the number of
+    their partition; a partition then adds up its own rows, and the sums of those before it come from one row per partition and
+    group.
+    """
+    keys = [*per, *(c for c in order if c not in per)]
+    placed = rows.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    staged = stage(placed, "parts")
+    sums = staged.groupBy(*per, "__part").agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy(*per).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__earlier", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).drop("__sum")
+    same = [F.col("__part") == F.col("__of")]
+    for number, column in enumerate(per):
+        sums = sums.withColumnRenamed(column, f"__per_{number}")
+        same.append(F.col(column).eqNullSafe(F.col(f"__per_{number}")))
+    sums = sums.withColumnRenamed("__part", "__of")
+    joined = staged.join(sums, same).drop("__of", *(f"__per_{n}" for n in range(len(per))))
+    inside = Window.partitionBy("__part", *per).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return joined.withColumn(into, (F.col("__earlier") + within).cast("bigint")).drop("__part", "__earlier")
+
+
 def row_batches(rows: DataFrame, batch_size: int, seq: str = "seq") -> DataFrame:
     """Add ``batch_id``, ``pos`` and ``batch_n``: consecutive rows, the last batch may be short."""
     if batch_size < 1:

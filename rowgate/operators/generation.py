@@ -50,8 +50,12 @@ def generation_instructions(plan: Plan) -> str:
     return "\n\n".join(parts)
 
 
-def generation_requests(batches: DataFrame, plan: Plan, key: str = "chunk_id") -> DataFrame:
-    """One request per batch; ``message`` counts batches from 1 and names the chunk if any."""
+def generation_requests(batches: DataFrame, plan: Plan, key: str = "chunk_id", targets: DataFrame | None = None) -> DataFrame:
+    """One request per batch; ``message`` counts batches from 1 and names the chunk if any.
+
+    With ``targets`` (see ``batch_targets``) it also says how many rows should have each value of each axis, in
+    the order of the plan's axes and values; a batch without targets is asked for as without them.
+    """
     size = F.col("n_rows").cast("string")
     # Fixed value: the wording of the message.
     message = F.concat(
@@ -70,13 +74,28 @@ def generation_requests(batches: DataFrame, plan: Plan, key: str = "chunk_id") -
             "'. Produce rows that are distinct from other chunks generated from the same plan."
         ),
     )
+    message = F.concat(message, F.coalesce(chunk, F.lit("")))
+    if targets is not None:
+        batches = _with_targets(batches, plan, key, targets)
+        message = F.concat(message, F.coalesce(F.concat(F.lit(" Rows by axis: "), "__targets", F.lit(".")), F.lit("")))
     return batches.select(
-        key,
-        "batch_index",
-        "n_rows",
-        F.lit(generation_instructions(plan)).alias("instructions"),
-        F.concat(message, F.coalesce(chunk, F.lit(""))).alias("message"),
+        key, "batch_index", "n_rows", F.lit(generation_instructions(plan)).alias("instructions"), message.alias("message")
+    )
+
+
+def _with_targets(batches: DataFrame, plan: Plan, key: str, targets: DataFrame) -> DataFrame:
+    """Add the targets of each batch as text; a list has at most one entry per value of the plan's axes."""
+    pairs = [f"{axis.name}\x00{value}" for axis in plan.axes for value in dict.fromkeys(axis.values)]
+    # values of the plan by their places; what the plan does not have comes last
+    place = F.array_position(F.lit(pairs), F.concat("axis", F.lit("\x00"), "value"))
+    place = F.when(place == 0, len(pairs) + 1).otherwise(place)
+    shown = F.concat("axis", F.lit(" '"), "value", F.lit("': "), F.col("count").cast("string"))
+    listed = targets.groupBy(F.col(key).alias("__key"), F.col("batch_index").alias("__at")).agg(
+        F.array_sort(F.collect_list(F.struct(place.alias("k"), shown.alias("text")))).alias("__list")
     )
+    listed = listed.withColumn("__targets", F.array_join(F.transform("__list", lambda t: t["text"]), "; "))
+    same = [F.col(key).eqNullSafe(F.col("__key")), F.col("batch_index").eqNullSafe(F.col("__at"))]
+    return batches.join(listed, same, "left")
 
 
 def batch_audit(batches: DataFrame, samples: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import quote_column
 from ..functions.values import VariantValue
 from ..plans import Axis
+from .batches import running_total
 
 # What differs from row to row in the text of an issue: quoted values, lists, numbers.
 _QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
@@ -91,13 +95,83 @@ def axis_coverage(rows: DataFrame, axes: Sequence[Axis], value: str | None = "v"
     )
 
 
-def batch_targets(batches: DataFrame, axes: Sequence[Axis], size: str = "n_rows") -> DataFrame:
+# The longest period after which shares come out whole.
+MOST_PERIOD = 10_000
+
+
+def quota_order(shares: Sequence[float]) -> tuple[list[int], list[int]]:
+    """The value of each row of a period, by number, and how many rows of the period each value gets.
+
+    The period is the least number of rows in which every share is whole. Row by row, of the values whose share of the rows so
+    far allows one more, that comes whose next one is due first, of equal ones the first: so after any number of rows each value
+    has its share rounded down or up.
+    """
+    exact = [Fraction(repr(float(share))) for share in shares]
+    whole = [share / sum(exact) for share in exact]
+    period = math.lcm(*(share.denominator for share in whole))
+    if period > MOST_PERIOD:
+        raise ValueError(f"shares {list(shares)} are whole for no number of rows up to {MOST_PERIOD}")
+    rows, given, order = [int(share * period) for share in whole], [0] * len(whole), []
+    for row in range(period):
+        open_values = [k for k, n in enumerate(rows) if given[k] * period < n * (row + 1)]
+        order.append(min(open_values, key=lambda k: -(-(given[k] + 1) * period // rows[k])))
+        given[order[-1]] += 1
+    return order, rows
+
+
+def _quota(first: Column, order: list[int], rows: list[int], value: int) -> Column:
+    """How many of the first rows of a run a value has."""
+    before = [0]
+    for chosen in order[:-1]:
+        before.append(before[-1] + (chosen == value))
+    counts = F.from_json(F.lit(json.dumps(before)), "array<bigint>")  # one literal
+    period = F.lit(len(order)).cast("bigint")
+    return F.call_function("div", first, period) * rows[value] + F.get(counts, F.pmod(first, period).cast("int"))
+
+
+def batch_targets(
+    batches: DataFrame,
+    axes: Sequence[Axis],
+    size: str = "n_rows",
+    order: Sequence[str] | None = None,
+    per: Sequence[str] = (),
+    before: str | None = None,
+) -> DataFrame:
     """One row (..., axis, value, count) per batch and value that the batch should have.
 
-    A batch's rows are dealt to an axis's values by their shares (even shares if it has none); what
-    rounding leaves goes to the largest remainders, of equal ones to the value named first. Values that get
-    none are left out. The values are unfolded from a literal, so nothing is joined or shuffled.
+    With ``order`` the batches are one run. Its rows, in that order, are dealt to an axis's values by their shares (even shares if it
+    has none) such that after any number of batches a value has its share of the rows so far, rounded down or up;
+    a batch gets the rows between its ends. So the run as a whole keeps to the plan, however small its batches are. Values that
+    get none are left out. With ``per`` each group of these columns is a run of its own. ``before`` names a column with the
+    number of rows before the batch, if there is one; else it is summed up.
+
+    Without ``order`` each batch is dealt by itself: what rounding leaves goes to the largest remainders, of equal ones to the
+    value named first, the same way in every batch.
     """
+    if order is None and before is None:
+        return _each_by_itself(batches, axes, size)
+    wanted = []
+    for axis in axes:
+        values = list(dict.fromkeys(axis.values))
+        shares = axis.target_shares() or {v: 1 for v in values}
+        if values:
+            wanted.append((axis.name, values, *quota_order([shares[v] for v in values])))
+    if not wanted:
+        raise ValueError("no axis of the plan has values")
+    at = before or "__before"
+    rows = batches if before else running_total(batches, order or (), size, at, per)
+    ends = F.col(at).cast("bigint"), F.col(at).cast("bigint") + F.col(size).cast("bigint")
+    parts = []
+    for name, values, in_order, counts in wanted:
+        for k, value in enumerate(values):
+            low, high = (_quota(end, in_order, counts, k) for end in ends)
+            parts.append(F.struct(F.lit(name).alias("axis"), F.lit(value).alias("value"), (high - low).alias("count")))
+    dealt = rows.withColumn("__part", F.explode(F.filter(F.array(*parts), lambda p: p["count"] > 0)))
+    return dealt.select(*batches.columns, *(F.col(f"__part.{c}").alias(c) for c in ("axis", "value", "count")))
+
+
+def _each_by_itself(batches: DataFrame, axes: Sequence[Axis], size: str) -> DataFrame:
+    """Targets that round within each batch."""
     wanted = []
     for axis in axes:
         values = list(dict.fromkeys(axis.values))

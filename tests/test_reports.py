@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
@@ -10,6 +11,7 @@ from rowgate.operators import (
     batch_audit,
     batch_targets,
     chunk_overlap,
+    generation_requests,
     issue_profile,
     policy_filter,
     require_complete,
@@ -120,3 +122,53 @@ def test_plans_keep_safety_and_constraints():
     assert plan.constraints == {"most": 2} and plan.disallowed_categories == ["x"]
     assert Plan.from_dict(json.loads(plan.to_json())) == plan
     assert TEXT_COMPRESSION.plan().constraints == {"max_duplicate_source_per_100": 2}
+
+
+def test_targets_hold_over_a_run(spark):
+    """After any number of batches each value has its share of the rows so far, rounded down or up."""
+    rng = random.Random(3)
+    sizes = [rng.choice([1, 2, 5, 7, 13]) for _ in range(300)]
+    rows = [(f"c{i // 100}" if i < 200 else None, i % 100, n) for i, n in enumerate(sizes)]
+    batches = spark.createDataFrame(rows, "chunk_id string, batch_index int, n_rows bigint").repartition(7)
+    thirds = Axis("thirds", ["a", "b", "c"], {"a": 0.333, "b": 0.333, "c": 0.333})
+    axes = [*TEXT_COMPRESSION.axes, thirds, Axis("lean", [str(i) for i in range(11)], {"0": 0.9, **{str(i): 0.01 for i in range(1, 11)}})]
+    for per, runs in (((), [sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))]), (("chunk_id",), [rows[:100], rows[100:200], rows[200:]])):
+        order = [c for c in ("chunk_id", "batch_index") if c not in per]
+        found = {(r.chunk_id, r.batch_index, r.axis, r.value): r["count"] for r in batch_targets(batches, axes, order=order, per=per).collect()}
+        assert min(found.values()) >= 1
+        for axis in axes:
+            shares = axis.target_shares() or {v: 1 / len(axis.values) for v in axis.values}
+            whole = sum(shares.values())
+            for run in runs:
+                had, total = dict.fromkeys(shares, 0), 0
+                for chunk, index, n in run:
+                    got = {v: found.get((chunk, index, axis.name, v), 0) for v in shares}
+                    assert sum(got.values()) == n
+                    total += n
+                    for v, k in got.items():
+                        had[v] += k
+                        assert abs(had[v] - total * shares[v] / whole) < 1
+
+
+def test_targets_with_offsets_known_and_shares_without_a_period(spark):
+    batches = spark.createDataFrame([(0, 10, 0), (1, 10, 10), (2, 10, 20)], "batch_index int, n_rows bigint, at bigint")
+    axis = [Axis("x", ["a", "b"], {"a": 0.25, "b": 0.75})]
+    known, summed = (batch_targets(batches, axis, order=["batch_index"], before=b).collect() for b in ("at", None))
+    assert sorted(known) == sorted(summed)
+    assert batch_targets(batches.limit(0), axis, order=["batch_index"]).collect() == []
+    with pytest.raises(ValueError, match="whole"):
+        batch_targets(batches, [Axis("x", ["a", "b"], {"a": 0.1234567, "b": 0.8765433})], order=["batch_index"])
+
+
+def test_requests_say_the_targets(spark):
+    schema = {"type": "object", "properties": {"t": {"type": "string"}}}
+    plan = Plan("d", "", schema, axes=[Axis("style", ["plain", "it's"], {"plain": 0.5, "it's": 0.5}), Axis("tone", ["x"])])
+    batches = spark.createDataFrame([("c", 0, 3), (None, 0, 1), ("d", 0, 2)], "chunk_id string, batch_index bigint, n_rows bigint")
+    targets = batch_targets(batches.where("coalesce(chunk_id, '') <> 'd'"), plan.axes, order=["chunk_id", "batch_index"])
+    plain = {r.chunk_id: r.message for r in generation_requests(batches, plan).collect()}
+    found = {r.chunk_id: r.message for r in generation_requests(batches, plan, targets=targets).collect()}
+    assert found == {
+        None: plain[None] + " Rows by axis: style 'plain': 1; tone 'x': 1.",
+        "c": plain["c"] + " Rows by axis: style 'plain': 1; style 'it's': 2; tone 'x': 3.",
+        "d": plain["d"],
+    }

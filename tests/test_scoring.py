@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +27,7 @@ from rowgate.operators import (
     score_requests,
     with_samples,
 )
+from rowgate.operators.scoring import Journal
 from rowgate.plans import Plan
 
 PLAN = Plan(
@@ -244,3 +248,86 @@ def test_batches_of_a_run(spark):
     assert [(r.batch_index, r.got) for r in audit.where("NOT ok").collect()] == [(2, 4)]
     with pytest.raises(ValueError, match="asked for 5 rows and got 4"):
         require_complete(audit)
+
+
+def _requests(spark, count):
+    rows = [(i if i else None, "judge", f"text {i % 7}") for i in range(count)]
+    return spark.createDataFrame(rows, "batch_id bigint, instructions string, message string")
+
+
+def _counting_scorer(log, dies_at=None):
+    """A scorer that writes down every call, and ends its process at the ``dies_at``-th call of all."""
+
+    def make_scorer():
+        def score(messages):
+            with open(log, "a") as out:
+                out.write(messages[-1]["content"] + "\n")
+            if dies_at is not None and len(Path(log).read_text().splitlines()) >= dies_at:
+                os._exit(1)
+            repairs = sum(m["role"] == "assistant" for m in messages)
+            if "text 3" in messages[1]["content"] and not repairs:
+                return "no answer"
+            if "text 5" in messages[1]["content"]:
+                raise ConnectionError("refused")
+            return '[{"index": 0, "is_valid": true, "score": 1.0, "issues": []}]'
+
+        return score
+
+    return make_scorer
+
+
+def _answers(found):
+    return sorted(((r.batch_id, r.attempts, r.error, r.scorer_error, r.text) for r in found.collect()), key=repr)
+
+
+def test_a_killed_task_repeats_no_logged_call(spark, tmp_path):
+    requests, journal = _requests(spark, 60), str(tmp_path / "journal")
+    plain = _answers(run_scorer(requests, _counting_scorer(str(tmp_path / "plain")), partitions=1))
+    assert len((tmp_path / "plain").read_text().splitlines()) == 60 + 9  # nine requests are repaired
+    log = tmp_path / "log"
+    with pytest.raises(Exception, match="(?i)worker|exited|crashed"):
+        run_scorer(requests, _counting_scorer(str(log), 30), partitions=1, group=4, journal=journal)
+    before = len(log.read_text().splitlines())
+    assert before == 30
+    logged = sum(len(f.read_text().splitlines()) for f in (tmp_path / "journal").rglob("*") if f.is_file())
+    assert logged >= 20
+    resumed = run_scorer(requests, _counting_scorer(str(log)), partitions=1, group=4, journal=journal)
+    assert _answers(resumed) == plain
+    failing = sum(i % 7 == 5 for i in range(60))
+    calls = len(log.read_text().splitlines())
+    # what was not logged is asked again: the open group, and calls that raised
+    assert 69 + 30 - logged >= calls + 0 - failing and calls <= 69 + 4 + failing
+    again = run_scorer(requests, _counting_scorer(str(log)), partitions=3, in_flight=4, journal=journal)
+    assert _answers(again) == plain
+    assert len(log.read_text().splitlines()) == calls + failing
+
+
+def test_calls_in_flight(spark, tmp_path):
+    """Four calls of a task wait for each other, so they must be open at the same time."""
+
+    def make_scorer():
+        def score(messages):
+            name = tmp_path / messages[-1]["content"].replace(" ", "-")
+            name.touch()
+            for _ in range(200):
+                if len(list(tmp_path.glob("in-flight-*"))) >= 4:
+                    return "[]"
+                time.sleep(0.05)
+            return "alone"
+
+        return score
+
+    rows = [(i, "", f"in flight {i}") for i in range(4)]
+    requests = spark.createDataFrame(rows, "batch_id bigint, instructions string, message string")
+    found = run_scorer(requests, make_scorer, partitions=1, in_flight=4, max_calls=1)
+    assert [r.text for r in found.collect()] == ["[]"] * 4
+
+
+def test_half_written_lines_are_no_answers(tmp_path):
+    journal = Journal(f"file:{tmp_path}/log")
+    assert journal.read(3) == {}
+    journal.write(3, [("a", "one\ntwo é"), ("b", None)])
+    journal.write(3, [])
+    (tmp_path / "log" / "3" / "torn").write_text('["c", "x"]\n["d", "ha')
+    assert journal.read(3) == {"a": "one\ntwo é", "b": None, "c": "x"}
+    assert journal.read(4) == {}
