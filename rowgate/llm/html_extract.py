@@ -2,8 +2,8 @@
 
 Each page's containers are scored: long text in few links counts for a container, names of menus,
 adverts, comments and the like count against it, and so does what lies in another container's
-side. A page votes for the tag-class path of its best container; votes are summed per host in
-Spark, and every page of the host is extracted again from the container that stands at the
+side. A page votes for the tag-class path of its best container, in which numbers and hexadecimal names are generalised;
+votes are summed per host in Spark, and every page of the host is extracted again from the container that stands at the
 host's winning path. A page that has nothing there uses its own best container.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
@@ -23,6 +23,7 @@ thousandth of all pages, and adaptive execution may still split it.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from dataclasses import dataclass, field
@@ -36,7 +37,7 @@ from .common import over_batches, table
 
 TASK_PAGES = 2_000
 HOT_HOSTS = 1_000
-DEPTH = 12  # of a path's steps, from the container upwards
+DEPTH = 12  # steps of a path that are written out, from the container upwards
 
 # Elements without content, with raw content, and those that begin a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,6 +66,7 @@ _BAD_NAME = re.compile(
     r"newsletter|notices?|popup|modal|promo\w*|related|share|sharing|sidebar|side-?bar|social|sponsor\w*|subscribe|toolbar|widgets?|skip|login|signup)(?:$|[-_\s])",
     re.IGNORECASE,
 )
+_NUMBERED = re.compile(r"(?<![a-z0-9])(?=[a-f]*[0-9])[0-9a-f]{6,}(?![a-z0-9])|[0-9]+")
 _TAG = re.compile(r"<!--|<!\[CDATA\[|<[!?]|</?[A-Za-z]")
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -78,6 +80,7 @@ class Node:
     name: str  # class and id
     left_out: bool
     children: list = field(default_factory=list)  # of texts and node numbers
+    trail: str = ""
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -88,6 +91,7 @@ def parse(html: str | None) -> list[Node]:
     """The page's elements; the first is the root. Every text ends somewhere, however broken the markup."""
     html = html or ""
     nodes, stack = [Node("", -1, "", False)], [0]
+    open_at: dict[str, list[int]] = {}  # places in the stack of the open elements of a name, the innermost last
 
     def text(a: int, b: int) -> None:
         if b > a:
@@ -95,13 +99,11 @@ def parse(html: str | None) -> list[Node]:
 
     def close(names, limits) -> None:
         """End the innermost open element of these names, unless one of the limits is nearer."""
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[depth]].tag
-            if tag in names:
-                del stack[depth:]
-                return
-            if tag in limits:
-                return
+        depth = max((places[-1] for n in names if (places := open_at.get(n))), default=0)
+        if depth and depth > max((places[-1] for n in limits if (places := open_at.get(n))), default=0):
+            for number in stack[depth:]:
+                open_at[nodes[number].tag].pop()
+            del stack[depth:]
 
     at, length = 0, len(html)
     while at < length:
@@ -158,20 +160,37 @@ def parse(html: str | None) -> list[Node]:
             after = html.find(">", a)
             at = after + 1 if closing and after >= 0 else length
         elif tag not in VOID and not (inner.endswith("/") and tag in ("svg", "path")):
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(number)
     return nodes
 
 
 def _step(node: Node) -> str:
-    classes = ".".join(sorted(set(node.name.lower().split())))
+    """Tag and classes; numbers and long hexadecimal names, which differ from page to page, are all one."""
+    classes = ".".join(sorted({_NUMBERED.sub("#", name) for name in node.name.lower().split()}))
     return f"{node.tag}.{classes}" if classes else node.tag
 
 
+def _trail(nodes: list[Node], number: int) -> str:
+    """A digest of all steps down to an element."""
+    chain = []
+    while number > 0 and not nodes[number].trail:
+        chain.append(number)
+        number = nodes[number].parent
+    trail = nodes[number].trail
+    for number in reversed(chain):
+        trail = nodes[number].trail = hashlib.sha256(f"{trail}>{_step(nodes[number])}".encode("utf-8", "surrogatepass")).hexdigest()[:16]
+    return trail
+
+
 def path_of(nodes: list[Node], number: int) -> str:
+    """The steps from the root; of a deep element's upper ones a digest."""
     steps = []
     while number > 0 and len(steps) < DEPTH:
         steps.append(_step(nodes[number]))
         number = nodes[number].parent
+    if number > 0:
+        steps.append("~" + _trail(nodes, number))
     return ">".join(reversed(steps))
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -64,6 +65,11 @@ def test_any_markup_ends(html):
 
 
 def test_hard_pages_end_soon():
+    tags = 100_000
+    for html in ("<b>" * tags + "</i>" * tags, "<b><table>" + "<i>" * tags + "</b>" * tags, "<p>" + "<i>" * tags + "<div>" * 50):
+        start = time.time()
+        parse(html)
+        assert time.time() - start < 20
     for html in ("<" * 50_000, "<div>" * 30_000 + "x", "<a " + "x=" * 30_000, "<p>" * 30_000, "<!--" * 20_000, "<script>" * 5_000):
         assert isinstance(extract(html, None), str)
 
@@ -81,6 +87,30 @@ def test_consensus_wins(spark):
     assert texts[6] == "true text" and texts[7] == ("other " * 9).strip()
 
 
+def test_numbered_names_vote_together(spark):
+    """Pages whose ids differ vote for one path; counted by hand, and by the extractor of every path."""
+    page = '<body><div class="wrap v2" id="post-{i}"><p>{text}</p></div><div class=box id="x{i}a7f3c9"><p>{other}</p></div></body>'
+    rows = [(i, "http://h/", page.format(i=i, text="story " * 30, other="box")) for i in range(5)]
+    rows += [(5, "http://h/", page.format(i=77, text="short story", other="box " * 200))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    best = Counter()
+    for _, _, html in rows:
+        nodes = parse(html)
+        best[path_of(nodes, best_container(nodes))] += 1
+    assert best == {"body>div.post-#.v#.wrap": 5, "body>div.box.x#a#f#c#": 1}
+    assert [(r.host, r.path) for r in winners(votes(df)).collect()] == [("h", "body>div.post-#.v#.wrap")]
+    texts = {r.page_id: r.text for r in main_texts(df).collect()}
+    assert texts == {**{i: ("story " * 30).strip() for i in range(5)}, 5: "short story"}
+
+
+def test_deep_containers_are_told_apart():
+    inner = "<div>" * 20 + "<section><p>{}</p></section>" + "</div>" * 20
+    html = f"<body><main>{inner.format('one')}</main><center>{inner.format('two')}</center></body>"
+    nodes = parse(html)
+    paths = [path_of(nodes, n) for n, node in enumerate(nodes) if node.tag == "section"]
+    assert len(set(paths)) == 2 and [extract(html, p) for p in paths] == ["one", "two"]
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None), (1, "no url", ""), (2, "http://u:p@h/", "<p>a"), (2, "http://u:p@h/", "<p>a"), (3, "http://h", "<p>" + "long " * 100_000)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("salt", F.lit(1))
