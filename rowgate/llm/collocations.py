@@ -1,19 +1,19 @@
 """Phrase collocations by the stripes pattern.
 
-The stripe of a prefix is an associative counter of the words that follow it; what ends a piece, or cannot be part of a frequent
-phrase, is counted in its rest. One structure so gives extensions (its entries), the prefix's total (their sum with
-the rest) and the subsumption maximum (the largest entry, and for the phrase without its first word the same entry seen from the other
-side). The stripe of the empty prefix counts words, and its total is ``n``.
+The stripe of a prefix is an associative counter of the words that follow it. One structure so gives extensions (a stripe's
+entries), prefix totals (a prefix is itself an entry of the stripe of its first words, which counts all its occurrences; all words
+are entries of the empty prefix, whose total is ``n``) and subsumption maxima (the largest entry of a phrase's own stripe, and the
+entry of that phrase behind one more word).
 
-Stripes are made for one prefix length after another. A stripe of k words is begun only where all of its words but the last, and counts an
-entry only where all but its first, are phrases of the round before with at least ``LEAST`` occurrences; no other phrase can reach
-``LEAST``. Tasks ask a Bloom filter of those phrases, at most ``FILTER_BITS`` bits at any size of the corpus: it never
-denies one of them, and what it lets pass in error is counted exactly and dropped. From three words on, only runs of
-words that pass are read again.
+Stripes are made for one prefix length after another. An entry is counted only where all words of its phrase but the last, and all
+but the first, are phrases of the round before with at least ``LEAST`` occurrences; no other phrase can reach ``LEAST``. Tasks
+ask a Bloom filter of those phrases, at most ``FILTER_BITS`` bits at any size of the corpus: it never denies one of them, and what it
+lets pass in error is counted exactly and dropped. From three words on, only runs of three or more words are read again in
+which every two neighbours pass.
 
-Each task sums stripes over ``CHUNK_WORDS`` words before a shuffle. A prefix that many words follow is split: an entry's slot is
-a hash of its next word, so the stripe of a hot prefix is dealt over ``SLOTS`` keys (the empty prefix, over ``FIRST_SLOTS``).
-Stripes of equal prefix and slot are merged entry by entry; entries below ``LEAST`` then join the rest.
+Each task sums stripes over ``CHUNK_WORDS`` words before a shuffle. The stripe of a hot prefix, one that at least one of
+``HOT`` words begins, is split over ``SLOTS`` keys by a hash of the next word (that of the empty prefix over ``FIRST_SLOTS``); as
+each word begins one phrase of a length, no more than ``HOT`` prefixes of a length are hot, and the set is sent to tasks. Stripes of equal prefix and slot are merged entry by entry; entries below ``LEAST`` are then summed up into one.
 
 Defined results: null and empty texts have no words; a null language is ``und``, together with documents of that name. Repeated rows
 count again, ids do not matter and other columns are not read. An empty table gives an empty result. Ties of score go to the more frequent
@@ -22,13 +22,13 @@ phrase, then to the phrase that is less in UTF-8 byte order; equal phrases do no
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,9 +41,10 @@ LEAST = 100
 LONGEST = 5
 TOP = 2_000
 COVER = 100  # per cent of a phrase's occurrences that a longer one must have to take its place
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 22
 _CHUNK_BYTES = 64 << 20
-FIRST_SLOTS, SLOTS = 4_096, 64
+_BLOCK_WORDS = 1 << 13  # words of runs that are kept in one row
+FIRST_SLOTS, SLOTS, HOT = 4_096, 64, 4_096
 FILTER_BITS = 1 << 26
 _BITS_EACH, _PROBES = 16, 4
 
@@ -51,7 +52,8 @@ _BITS_EACH, _PROBES = 16, 4
 _END = b"\xff"
 _PIECES = bytes(255 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in LOWER)
 
-_STRIPES = "lang string, prefix string, slot int, next array<string>, n array<bigint>"
+# Next words are joined by blanks, which no word has.
+_STRIPES = "lang string, prefix string, slot int, next string, n array<int>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -156,53 +158,66 @@ def _texts(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
 
 
-def _stripes(lang: str, ids: np.ndarray, words: list[bytes], size: int, known: Filter | None) -> list[pa.Array] | None:
-    """Stripes of prefixes of ``size`` words: the columns of ``_STRIPES``."""
+def _stripes(
+    lang: str, ids: np.ndarray, words: list[bytes], size: int, known: Filter | None, hot: frozenset[str]
+) -> list[pa.Array] | None:
+    """Stripes of prefixes of ``size`` words, split if they are ``hot``: the columns of ``_STRIPES``."""
     total = len(words)
     if size == 0:
         at, following, rank = np.zeros(1, np.int64), ids[ids != 0], 0
     else:
         passing = _passing(ids, words, size, lang, known)
-        at = np.flatnonzero(passing)
-        padded = np.concatenate([ids, np.zeros(1, np.int64)])
-        # a following word counts as one only if the phrase without the first word passes too
-        following = np.where(passing[at + 1], padded[at + size], 0)
-        rank = ids[at]
+        # a prefix, and the phrase without its first word
+        at = np.flatnonzero(passing[:-1] & passing[1:])
+        following, rank = ids[at + size], ids[at]
         for k in range(1, size):
             rank = np.unique(rank * total + ids[at + k], return_inverse=True)[1]
     if not len(following):
         return None
     keys, counts = np.unique(rank * total + following, return_counts=True)
     prefix_of, word_of = keys // total, keys % total
-    slots = np.array([zlib.crc32(w) % (SLOTS if size else FIRST_SLOTS) for w in words], np.int64)
-    slots[0] = 0
-    slot_of = slots[word_of]
-    order = np.lexsort((slot_of, prefix_of))
-    prefix_of, word_of, slot_of, counts = prefix_of[order], word_of[order], slot_of[order], counts[order]
-    begins = np.flatnonzero(np.concatenate([[True], (prefix_of[1:] != prefix_of[:-1]) | (slot_of[1:] != slot_of[:-1])]))
     if size == 0:
-        prefixes = pa.array([""] * len(begins))
+        named, split = [b""], np.ones(1, bool)
     else:
-        ranks, first = np.unique(rank, return_index=True)
+        first = np.unique(rank, return_index=True)[1]
         named = [b" ".join([words[i] for i in ids[p : p + size].tolist()]) for p in at[first].tolist()]
-        prefixes = _texts(named).take(pa.array(np.searchsorted(ranks, prefix_of[begins])))
+        # prefixes by their places among those of this chunk
+        prefix_of = np.searchsorted(rank[first], prefix_of)
+        split = np.array([f"{lang}\0{name.decode()}" in hot for name in named], bool) if hot else np.zeros(len(named), bool)
+    slot_of = np.zeros(len(keys), np.int64)
+    dealt = split[prefix_of]
+    hashed = {w: zlib.crc32(words[w]) % (SLOTS if size else FIRST_SLOTS) for w in np.unique(word_of[dealt]).tolist()}
+    slot_of[dealt] = [hashed[w] for w in word_of[dealt].tolist()]
+    if dealt.any():
+        order = np.lexsort((word_of, slot_of, prefix_of))
+        prefix_of, word_of, slot_of, counts = prefix_of[order], word_of[order], slot_of[order], counts[order]
+    begins = np.flatnonzero(np.concatenate([[True], (prefix_of[1:] != prefix_of[:-1]) | (slot_of[1:] != slot_of[:-1])]))
     offsets = pa.array(np.append(begins, len(counts)).astype(np.int32))
-    names = _texts([None, *words[1:]])
+    following = pa.ListArray.from_arrays(offsets, _texts([b"", *words[1:]]).take(pa.array(word_of)))
     return [
         pa.array([lang] * len(begins)),
-        prefixes,
+        _texts(named).take(pa.array(prefix_of[begins])),
         pa.array(slot_of[begins].astype(np.int32)),
-        pa.ListArray.from_arrays(offsets, names.take(pa.array(word_of))),
-        pa.ListArray.from_arrays(offsets, pa.array(counts)),
+        pc.binary_join(following, " "),
+        pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))),
     ]
 
 
 def _runs(lang: str, ids: np.ndarray, words: list[bytes], known: Filter) -> list[pa.Array] | None:
-    """Longest runs of words in which every two neighbours pass."""
+    """Longest runs of three or more words in which every two neighbours pass, a line each, some thousand words to a row."""
     passing = _passing(ids, words, 2, lang, known)
     begins = np.flatnonzero(passing[:-1] & ~np.concatenate([[False], passing[:-2]]))
     ends = np.flatnonzero(passing[:-1] & ~passing[1:]) + 2
-    found = [b" ".join([words[i] for i in ids[a:b].tolist()]) for a, b in zip(begins.tolist(), ends.tolist())]
+    long = ends - begins > 2
+    found, block, held = [], [], 0
+    for a, b in zip(begins[long].tolist(), ends[long].tolist()):
+        block.append(b" ".join([words[i] for i in ids[a:b].tolist()]))
+        held += b - a
+        if held >= _BLOCK_WORDS:
+            found.append(b"\n".join(block))
+            block, held = [], 0
+    if block:
+        found.append(b"\n".join(block))
     return [pa.array([lang] * len(found)), _texts(found)] if found else None
 
 
@@ -237,9 +252,9 @@ def _by_chunks(docs: DataFrame, work, schema: str) -> DataFrame:
 # rounds
 
 def _merged(stripes: DataFrame, least: int) -> DataFrame:
-    """(lang, prefix, slot, next, n): stripes merged entry by entry; entries below ``least`` are one with the rest (NULL)."""
+    """(lang, prefix, slot, next, n): stripes merged entry by entry; those below ``least`` are one entry (NULL)."""
     key = ["lang", "prefix", "slot"]
-    entries = stripes.repartition(*key).select(*key, F.inline(F.arrays_zip("next", "n")))
+    entries = stripes.repartition(*key).select(*key, F.inline(F.arrays_zip(F.split("next", " ").alias("next"), F.col("n").alias("n"))))
     # stripes stand together by their keys, so neither sum moves them
     summed = entries.groupBy(*key, "next").agg(F.sum("n").alias("n"))
     kept = F.when(F.col("n") >= least, F.col("next")).alias("next")
@@ -252,9 +267,10 @@ def stripes_of(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> l
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     rounds: list[DataFrame] = []
     for size in range(longest):
-        known = None
+        known, hot = None, frozenset()
         if size:
             known = spark.sparkContext.broadcast(frequent_filter(extensions(rounds[-1])))
+            hot = _hot(extensions(rounds[-1]), rounds[0].agg(F.sum("n")).first()[0])
             if size == 2:
 
                 def runs(lang, ids, words, known=known):
@@ -262,24 +278,25 @@ def stripes_of(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> l
 
                 rows = stage(_by_chunks(rows, runs, "lang string, text string"), "runs")
 
-        def work(lang, ids, words, size=size, known=known):
-            return _stripes(lang, ids, words, size, known.value if known is not None else None)
+        def work(lang, ids, words, size=size, known=known, hot=hot):
+            return _stripes(lang, ids, words, size, known.value if known is not None else None, hot)
 
         rounds.append(stage(_merged(_by_chunks(rows, work, _STRIPES), least), f"stripes-{size}"))
     return rounds
 
 
+def _hot(phrases: DataFrame, words: int | None) -> frozenset[str]:
+    """Prefixes that begin at one of ``HOT`` words or more: ``HOT`` of them at most."""
+    rows = phrases.where(F.col("n") * HOT >= (words or 0)).select("lang", "phrase").collect()
+    return frozenset(f"{r['lang']}\0{r['phrase']}" for r in rows)
+
+
 def extensions(stripes: DataFrame) -> DataFrame:
     """(lang, phrase, n): prefixes with the words that follow them."""
     phrase = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
     return stripes.where("next IS NOT NULL").select("lang", phrase.alias("phrase"), "prefix", "n")
 
 
-def totals(stripes: DataFrame) -> DataFrame:
-    """(lang, phrase, n): occurrences of each prefix."""
-    return stripes.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("n").alias("n"))
-
-
 def _exact(column: str) -> Column:
     return F.col(column).cast("decimal(19,0)")
 
@@ -293,10 +310,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     for more in found[2:]:
         candidates = candidates.unionByName(more)
     parts = found[0].select("lang", "phrase", "n")
-    first_parts = totals(rounds[1])
-    for more, striped in zip(found[1:-1], rounds[2:]):
+    for more in found[1:-1]:
         parts = parts.unionByName(more.select("lang", "phrase", "n"))
-        first_parts = first_parts.unionByName(totals(striped))
     # the largest count of a phrase with one more word; a still longer one has no more
     longer = candidates.where(F.size(words) > 2)
     inside = F.array_join(F.slice(words, F.lit(2), F.size(words) - 1), " ")
@@ -311,9 +326,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
             "right": F.array_join(F.slice(words, F.col("k") + 1, F.size(words) - F.col("k")), " "),
         }
     )
-    cuts = cuts.join(first_parts.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l")), ["lang", "left"])
+    cuts = cuts.join(parts.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l")), ["lang", "left"])
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r")), ["lang", "right"])
-    cuts = cuts.join(totals(rounds[0]).select("lang", "n"), "lang")
+    cuts = cuts.join(rounds[0].groupBy("lang").agg(F.sum("n").alias("n")), "lang")
     # whole numbers of up to 38 digits; the quotient is below 1000 * n
     above, below = F.lit(1000).cast("decimal(4,0)") * _exact("a"), _exact("l") * _exact("r")
     cuts = cuts.withColumns({"above": (above.cast("decimal(22,0)") * F.col("n").cast("decimal(15,0)")).cast("decimal(38,0)"), "below": below.cast("decimal(38,0)")})
