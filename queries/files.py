@@ -40,13 +40,12 @@ def scan_jsonl(spark, sf_dir):
     table(spark, sf_dir, "events").orderBy("event_id").select(lines.alias("value")).write.text(events)
     rows = read_json_lines(spark, [documents, events])
     # the rank of every line in the order of the inputs, and what it holds
-    ranked = number_rows(rows.select("seq", "input_ord", "raw", "v"), into="line")
+    shown = F.when(F.col("input_ord") == 0, F.try_variant_get("v", "$.text", "string")).otherwise(F.col("raw"))
+    lines = rows.select("seq", "input_ord", F.col("v").isNull().alias("broken"), shown.alias("content"))
+    ranked = number_rows(lines, into="line")
     of_input = ranked.groupBy("input_ord").agg(F.min("line").alias("first"))
     placed = ranked.join(F.broadcast(of_input), "input_ord")  # one row per input
-    shown = F.when(F.col("input_ord") == 0, F.try_variant_get("v", "$.text", "string")).otherwise(F.col("raw"))
-    return placed.select(
-        "input_ord", (F.col("line") - F.col("first")).alias("line"), F.col("v").isNull().alias("broken"), shown.alias("content")
-    )
+    return placed.select("input_ord", (F.col("line") - F.col("first")).alias("line"), "broken", "content")
 
 
 _SCAN_SQL = """
@@ -262,6 +261,21 @@ def gate_artifacts(spark, sf_dir):
     return metrics.unionByName(rows[0]).unionByName(rows[1])
 
 
+def gate_files(spark, sf_dir):
+    """What the files of the same run hold: the accepted rows, and the rejects with their issues and scores."""
+    paths = write_run_artifacts(gated_documents(spark, sf_dir), staging_path(spark, "gated"), TEXT_PLAN)
+    shown = [
+        read_json_lines(spark, paths[f"{file}_jsonl"], "failfast").select(
+            F.lit(file).alias("file"),
+            F.try_variant_get("v", f"{root}.text", "string").alias("text"),
+            F.array_join(F.try_variant_get("v", "$.issues", "array<string>"), "; ").alias("issues"),
+            F.try_variant_get("v", "$.score", "double").alias("score"),
+        )
+        for file, root in (("accepted", "$"), ("rejected", "$.sample"))
+    ]
+    return shown[0].unionByName(shown[1])
+
+
 _GATED_SQL = GATE + """
 , counted AS (
   SELECT count(*) AS raw_sample_count, count(*) FILTER (status = 'accepted') AS valid_count,
@@ -273,6 +287,12 @@ UNION ALL SELECT 'accepted', 'rows', valid_count FROM counted
 UNION ALL SELECT 'rejected', 'rows', rejected_count FROM counted
 """
 
+_GATED_FILES_SQL = GATE + """
+SELECT CASE status WHEN 'accepted' THEN 'accepted' ELSE 'rejected' END AS file, text,
+  CASE WHEN status <> 'accepted' THEN issues END AS issues, CASE WHEN status <> 'accepted' THEN score END AS score
+FROM gated JOIN documents USING (doc_id)
+"""
+
 QUERIES: dict[str, Entry] = {
     "scan_jsonl": (scan_jsonl, _SCAN_SQL),
     "scan_json_array": (scan_json_array, "SELECT doc_id, text, 0 AS input_ord FROM documents"),
@@ -281,6 +301,7 @@ QUERIES: dict[str, Entry] = {
     "code_file_table": (code_files, _CODE_FILES_SQL),
     "code_files_roundtrip": (code_files_roundtrip, _CODE_BACK_SQL),
     "gate_artifacts": (gate_artifacts, _GATED_SQL),
+    "gate_files": (gate_files, _GATED_FILES_SQL),
     "merge_roundtrip": (merge_roundtrip, _ROUNDTRIP_SQL),
     "merge_files": (merge_files, _FILES_SQL),
     "merge_many_files": (merge_many_files, _MANY_SQL),

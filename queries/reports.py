@@ -10,6 +10,7 @@ from rowgate.operators import (
     batch_table,
     batch_targets,
     chunk_overlap,
+    chunk_pairs,
     issue_profile,
     key_of,
     policy_filter,
@@ -66,6 +67,24 @@ SELECT f.chunk AS first_chunk, d.chunk AS chunk, count(*) AS duplicates
 FROM d JOIN d f ON f.doc_id = d.first_id WHERE d.doc_id <> d.first_id GROUP BY ALL
 """
 
+
+def pairs(spark, sf_dir):
+    """Texts that every two of nine chunks share, one of which has no name."""
+    documents = table(spark, sf_dir, "documents")
+    chunk = F.when(F.col("doc_id") % 9 > 0, F.concat(F.lit("part-"), (F.col("doc_id") % 9).cast("string")))
+    found = chunk_pairs(documents.select(chunk.alias("part"), key_of(["text"]).alias("key")), "part")
+    return found.select("chunk", "other", "keys", "other_keys", "shared", F.round("containment", 9).alias("containment"), F.round("jaccard", 9).alias("jaccard"))
+
+
+_PAIRS_SQL = """
+WITH d AS (SELECT DISTINCT CASE WHEN doc_id % 9 > 0 THEN 'part-' || doc_id % 9 ELSE '' END AS chunk, text FROM documents WHERE text IS NOT NULL),
+n AS (SELECT chunk, count(*) AS keys FROM d GROUP BY chunk),
+s AS (SELECT a.chunk, b.chunk AS other, count(*) AS shared FROM d a JOIN d b ON a.text = b.text AND a.chunk < b.chunk GROUP BY ALL)
+SELECT nullif(s.chunk, '') AS chunk, s.other, n.keys, m.keys AS other_keys, shared, round(shared / least(n.keys, m.keys)::DOUBLE, 9) AS containment,
+  round(shared / (n.keys + m.keys - shared)::DOUBLE, 9) AS jaccard
+FROM s JOIN n ON n.chunk = s.chunk JOIN n AS m ON m.chunk = s.other
+"""
+
 _STYLES = ["extractive", "abstractive", "bullet", "telegraphic"]
 _DOMAINS = ["science", "news", "legal", "technical", "general"]
 
@@ -207,6 +226,7 @@ WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic =
 QUERIES: dict[str, Entry] = {
     "issue_profile": (issues, _ISSUES_SQL),
     "chunk_overlap": (overlap, _OVERLAP_SQL),
+    "chunk_pairs": (pairs, _PAIRS_SQL),
     "axis_coverage": (coverage, _COVERAGE_SQL),
     "batch_targets": (targets, _ALL_SQL),
     "batch_targets_of_chunks": (targets_of_chunks, _CHUNKS_SQL),

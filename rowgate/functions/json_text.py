@@ -49,7 +49,7 @@ def with_parsed(df: DataFrame, text: str, into: str) -> DataFrame:
     ).isNull()
     value = F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
     too_long = F.concat(F.lit("a JSON text of "), size.cast("string"), F.lit(" characters is beyond what can be parsed"))
-    refused = value.isNull() & (size > MOST_PARSED)
+    refused = (size > MOST_PARSED) & value.isNull()
     value = F.when(refused, F.raise_error(too_long).cast("variant")).otherwise(value)
     return df.withColumn(pair, parse_json(wrapped)).withColumn(into, value).drop(pair)
 
@@ -113,16 +113,17 @@ def canonical_json(raw: Column, parsed: Column) -> Column:
     mark = "\x01"
     # strings that begin with the mark get one more, so no string can pass for a marked float
     told_apart = lambda text: F.replace(text, F.lit('"\\u0001'), F.lit('"\\u0001\\u0001'))
-    marked = F.regexp_replace(told_apart(F.get_json_object(raw, "$")), _STRING_OR_NUMBER, f"$1{mark}$2{mark}")
+    # the path function prints a text plainly, but takes no string of 20,000,000 characters; then numbers count as written
+    written = F.coalesce(F.get_json_object(raw, "$"), raw)
+    marked = F.regexp_replace(told_apart(written), _STRING_OR_NUMBER, f"$1{mark}$2{mark}")
     marked = F.replace(marked, F.lit(mark * 2), F.lit(""))
     marked = F.regexp_replace(marked, f"{mark}([^{mark}]+){mark}", r'"\\u0001$1"')
-    exact = F.to_json(F.try_parse_json(marked))
+    long = F.from_json(marked, "variant", {"maxStringLen": str(2**31 - 1)})
+    exact = F.to_json(F.when(F.length(raw) > PLAIN_PARSED, long).otherwise(F.try_parse_json(marked)))
     is_number = F.ascii(raw).between(ord("0"), ord("9")) | raw.startswith("-")
     may_hold_floats = is_number | raw.rlike(_UNSAFE_NUMBER)
     # a bare string loses its quotes on the way through a path, and holds no number
     plain = told_apart(F.to_json(parsed))
-    # rows longer than the plain parser takes are compared by their own text if they may hold floats
-    exact = F.when(F.length(raw) > PLAIN_PARSED, raw).otherwise(exact)
     return F.when(may_hold_floats & ~raw.startswith('"'), exact).otherwise(plain)
 
 

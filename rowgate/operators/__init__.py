@@ -12,7 +12,7 @@ from .merge import (
     merge_rows,
     rejected,
 )
-from .reports import axis_coverage, batch_targets, chunk_overlap, issue_profile, policy_filter, source_repeats
+from .reports import axis_coverage, batch_targets, chunk_overlap, chunk_pairs, issue_profile, policy_filter, source_repeats
 from .responses import (
     explode_samples,
     explode_verdicts,
@@ -31,6 +31,7 @@ __all__ = [
     "policy_filter",
     "issue_profile",
     "chunk_overlap",
+    "chunk_pairs",
     "batch_targets",
     "axis_coverage",
     "accepted",

@@ -15,14 +15,21 @@ from ..session import stage
 def number_rows(rows: DataFrame, seq: str = "seq", into: str = "idx", total: str | None = None) -> DataFrame:
     """Add a dense number from 0 in the order of ``seq``, without a one-task window.
 
-    Rows are range partitioned and sorted, and staged with their partition and place. The
-    partition sizes, one row per partition, then give each partition its offset.
+    Rows are evaluated once, and staged as they stand with a number of their own. Only that and ``seq`` are then range
+    partitioned, sorted and staged with their partition and place; the partition sizes, one row per partition, give each
+    partition its offset. The ranks are joined back on the rows' own numbers, which Spark does without moving rows where the
+    ranks are small.
     """
+    own = stage(rows.withColumn("__own", F.monotonically_increasing_id()), "rows")
     placed = (
-        rows.repartitionByRange(seq)
+        own.select("__own", seq)
+        .repartitionByRange(seq)
         .sortWithinPartitions(seq)
-        .withColumn("__part", F.spark_partition_id())
-        .withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)))
+        .select(
+            "__own",
+            F.spark_partition_id().alias("__part"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("__place"),
+        )
     )
     staged = stage(placed, "numbered")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -34,12 +41,11 @@ def number_rows(rows: DataFrame, seq: str = "seq", into: str = "idx", total: str
         .select("__part", "__offset", "__total")
     )
     # one row per range partition, so never more than spark.sql.shuffle.partitions
-    numbered = staged.join(F.broadcast(offsets), "__part").withColumn(
-        into, F.col("__offset") + F.col("__place")
-    )
+    ranks = staged.join(F.broadcast(offsets), "__part").select("__own", (F.col("__offset") + F.col("__place")).alias("__rank"), "__total")
+    numbered = own.join(ranks, "__own").withColumn(into, F.col("__rank"))
     if total is not None:
         numbered = numbered.withColumnRenamed("__total", total)
-    return numbered.drop("__part", "__place", "__offset", "__total")
+    return numbered.drop("__own", "__rank", "__total")
 
 
 def running_total(rows: DataFrame, order: Sequence[str], value: str, into: str, per: Sequence[str] = ()) -> DataFrame:

@@ -139,13 +139,18 @@ def rejected(classified: DataFrame) -> DataFrame:
     return classified.where("status <> 'accepted'")
 
 
-def merge_metrics(classified: DataFrame) -> DataFrame:
-    """Counts of a merge, or of a gate, in one row: every row that was not accepted is a reject."""
+def merge_counts() -> list[Column]:
+    """The counts of a merge as aggregates, which may also be observed while its rows are written."""
     status = F.col("status")
-    return classified.agg(
-        F.count("*").alias("raw_sample_count"),
+    return [
+        F.count(F.lit(1)).alias("raw_sample_count"),
         F.count_if(status == "accepted").alias("valid_count"),
         F.count_if(status != "accepted").alias("rejected_count"),
         F.count_if(status == "duplicate").alias("duplicate_count"),
         F.count_if(status.isin("invalid", "rejected")).alias("invalid_count"),
-    )
+    ]
+
+
+def merge_metrics(classified: DataFrame) -> DataFrame:
+    """Counts of a merge, or of a gate, in one row: every row that was not accepted is a reject."""
+    return classified.agg(*merge_counts())

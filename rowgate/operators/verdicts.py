@@ -144,13 +144,21 @@ def quality_gate(
     ).drop(KEY, "__seq", "__first", *[f"__{c}" for c in judged])
 
 
-def gate_metrics(gated: DataFrame) -> DataFrame:
-    """Counts of a gate in one row; accepted and rejected are those after dedupe."""
+def gate_counts() -> list[Column]:
+    """The counts of a gate as aggregates; a refused batch is counted by the first of its rows, which are all there."""
     accepted = F.count_if(F.col("status") == "accepted")
-    return gated.agg(
-        F.count("*").alias("raw_sample_count"),
+    return [
+        F.count(F.lit(1)).alias("raw_sample_count"),
         accepted.alias("valid_count"),
-        (F.count("*") - accepted).alias("rejected_count"),
+        (F.count(F.lit(1)) - accepted).alias("rejected_count"),
         F.count_if(F.col("status") == "duplicate").alias("duplicate_count"),
-        F.count_distinct(F.when(F.col("batch_error").isNotNull(), F.col("batch_id"))).alias("validation_error_batches"),
-    )
+        F.count_if(F.col("batch_error").isNotNull() & (F.col("pos") == 0)).alias("validation_error_batches"),
+    ]
+
+
+def gate_metrics(gated: DataFrame) -> DataFrame:
+    """Counts of a gate in one row; accepted and rejected are those after dedupe."""
+    if "pos" in gated.columns:
+        return gated.agg(*gate_counts())
+    failed = F.count_distinct(F.when(F.col("batch_error").isNotNull(), F.col("batch_id")))
+    return gated.withColumn("pos", F.lit(None).cast("int")).agg(*gate_counts()[:-1], failed.alias("validation_error_batches"))

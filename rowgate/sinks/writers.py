@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,11 +14,11 @@ from ..functions.json_text import parse_json
 from ..functions.text import quote_column
 from ..functions.values import VariantValue
 from ..operators.batches import number_rows
-from ..operators.merge import merge_metrics
+from ..operators.merge import merge_counts
 from ..operators.validate import typed_projection
-from ..operators.verdicts import gate_metrics
+from ..operators.verdicts import gate_counts
 from ..plans import Plan
-from ..session import arrow_file_system, qualified, stage
+from ..session import arrow_file_system, delete_folder, qualified
 from ..sources.rows import read_json_lines
 
 
@@ -137,18 +137,31 @@ def artifacts_dir(output_path: str) -> str:
     return f"{output_path.rstrip('/')}/_artifacts"
 
 
-def reject_records(classified: DataFrame) -> DataFrame:
-    """Rejected rows as one JSON object each: the row, its issues and its score."""
-    issues = F.to_json("issues")
-    record = F.concat(
-        F.lit('{"sample": '), F.col("raw"), F.lit(', "issues": '), issues, F.lit(', "score": '),
-        F.coalesce(F.col("score").cast("string"), F.lit("null")), F.lit("}"),
-    )
+def _reject_record() -> Column:
+    """A rejected row as one JSON object: the row, its issues and its score."""
     # text that is not JSON is kept as a JSON string
     quoted = F.regexp_extract(F.to_json(F.struct(F.col("raw").alias("r"))), r'(?s)^\{"r":(.*)\}$', 1)
-    broken = F.array_contains("issues", "bad_json")
-    sample = F.when(broken, quoted).otherwise(F.col("raw"))
-    return classified.where("status <> 'accepted'").withColumn("raw", sample).withColumn("raw", record)
+    sample = F.when(F.array_contains("issues", "bad_json"), quoted).otherwise(F.col("raw"))
+    return F.concat(
+        F.lit('{"sample": '), sample, F.lit(', "issues": '), F.to_json("issues"), F.lit(', "score": '),
+        F.coalesce(F.col("score").cast("string"), F.lit("null")), F.lit("}"),
+    )
+
+
+def reject_records(classified: DataFrame) -> DataFrame:
+    """Rejected rows as one JSON object each: the row, its issues and its score."""
+    return classified.where("status <> 'accepted'").withColumn("raw", _reject_record())
+
+
+def _place(spark: SparkSession, source: str, target: str) -> None:
+    """Move a written folder to its place; where nothing was written, an empty folder takes it."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(source)
+    goal = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system = goal.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(goal):
+        raise FileExistsError(target)
+    if not (system.rename(made, goal) if system.exists(made) else system.mkdirs(goal)):
+        raise OSError(f"cannot write {target}")
 
 
 def write_run_artifacts(
@@ -163,27 +176,39 @@ def write_run_artifacts(
 ) -> dict[str, str]:
     """Write ``accepted.jsonl``, ``rejected.jsonl``, ``metrics.json`` and ``plan.json``.
 
-    The classified rows are staged once; both outputs and the counts read from there. Rows of a gate get
-    the counts of a gate. Typed rows are written as JSON: their ``columns``, or all that a merge did not add.
-    ``columnar`` also writes the accepted rows as typed parquet to ``hf_dataset``.
+    The classified rows are read once: one write deals them to both files, and the counts are observed while they pass. Rows
+    of a gate get the counts of a gate. Typed rows are written as JSON: their ``columns``, or all that a merge did not add.
+    ``columnar`` also writes the accepted rows as typed parquet to ``hf_dataset``, from the file of accepted rows.
     """
-    spark = classified.sparkSession
-    staged = stage(with_raw(classified, columns), "classified")
-    folder = artifacts_dir(output_path)
-    accepted = staged.where("status = 'accepted'")
+    if columnar and plan is None:
+        raise ValueError("columnar output needs a plan, which names the columns and their types")
+    spark, folder = classified.sparkSession, artifacts_dir(output_path)
     paths = {
         "artifacts_dir": folder,
-        "accepted_jsonl": write_json_lines(accepted, f"{folder}/accepted.jsonl"),
-        "rejected_jsonl": write_json_lines(reject_records(staged), f"{folder}/rejected.jsonl"),
+        **{f"{file}_jsonl": f"{folder}/{file}.jsonl" for file in ("accepted", "rejected")},
         "metrics_json": f"{folder}/metrics.json",
     }
-    if columnar:
-        if plan is None:
-            raise ValueError("columnar output needs a plan, which names the columns and their types")
-        paths["hf_dataset"] = write_columnar(accepted, f"{folder}/hf_dataset", plan)
+    rows, counts = with_raw(classified, columns), Observation()
     if metrics is None:
-        metrics = gate_metrics(staged) if "batch_error" in staged.columns else merge_metrics(staged)
-    _put(spark, paths["metrics_json"], json.dumps(metrics.first().asDict(), indent=2))
+        aggregates = merge_counts()
+        if "batch_error" in rows.columns:
+            if "pos" not in rows.columns:
+                raise ValueError("the rows of a gate need their place in the batch, pos")
+            aggregates = gate_counts()
+        rows = rows.observe(counts, *aggregates)
+    accepted = F.col("status") == "accepted"
+    lines = rows.select(
+        F.when(accepted, F.col("raw")).otherwise(_reject_record()).alias("value"),
+        F.when(accepted, "accepted").otherwise("rejected").alias("file"),
+    )
+    lines.write.partitionBy("file").text(f"{folder}/_rows")
+    for file in ("accepted", "rejected"):
+        _place(spark, f"{folder}/_rows/file={file}", paths[f"{file}_jsonl"])
+    delete_folder(spark, f"{folder}/_rows")
+    if columnar:
+        paths["hf_dataset"] = json_lines_to_columnar(spark, paths["accepted_jsonl"], f"{folder}/hf_dataset", plan)
+    found = counts.get if metrics is None else metrics.first().asDict()
+    _put(spark, paths["metrics_json"], json.dumps(found, indent=2))
     if plan is not None:
         paths["plan_json"] = f"{folder}/plan.json"
         _put(spark, paths["plan_json"], plan.to_json())

@@ -290,3 +290,17 @@ def test_columns_of_the_rows_are_kept(spark):
     with pytest.raises(ValueError, match="already have"):
         dedupe_rows(rows, columns=["text"])
     assert dedupe_rows(rows, columns=["text"], into="only").where("only").count() == 2
+
+
+def test_one_key_at_all_sizes(json_rows):
+    """Rows of 25 million characters in other orders of their keys; floats and integers stay apart there too."""
+    blank, text = " " * 500, "x" * 25_000_000
+    rows = [
+        f'{{"a": 1.0, "t": "{text}", "b": [1, 2.50]}}',
+        f'{{"b":{blank}[1,2.50],"t":"{text}","a":1.0}}',
+        f'{{"b": [1, 2.50], "t": "{text}", "a": 1}}',
+        '{"parts": [' + ", ".join(f'"{"y" * 1000}"' for _ in range(20_000)) + '], "f": 1.50}',
+        '{"f": 1.5, "parts": [' + ",".join(f'"{"y" * 1000}"' for _ in range(20_000)) + "]}",
+    ]
+    marked = dedupe_rows(json_rows(rows).repartition(5), stage_keyed=True)
+    assert [r.is_first for r in marked.select("seq", "is_first").orderBy("seq").collect()] == [True, False, True, True, False]

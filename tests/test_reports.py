@@ -11,6 +11,7 @@ from rowgate.operators import (
     batch_audit,
     batch_targets,
     chunk_overlap,
+    chunk_pairs,
     generation_requests,
     issue_profile,
     policy_filter,
@@ -172,3 +173,29 @@ def test_requests_say_the_targets(spark):
         "c": plain["c"] + " Rows by axis: style 'plain': 1; style 'it's': 2; tone 'x': 3.",
         "d": plain["d"],
     }
+
+
+def test_chunks_that_share_rows_first_seen_elsewhere(spark):
+    """B and C share a row that A had first; a hot row is in every chunk; one chunk has no name."""
+    texts = {"a": "xyzh", "b": "xqh", "c": "xqqrh", None: "hhx", "d": "w"}
+    rows = [(c, t) for c, ts in texts.items() for t in ts] + [("a", "h")] * 500 + [("d", None)]
+    found = {(r.chunk, r.other): r for r in chunk_pairs(spark.createDataFrame(rows, "part string, key string"), "part").collect()}
+    sets = {c: set(ts) for c, ts in texts.items()}
+    order = [None, "a", "b", "c", "d"]
+    expected = {(one, two) for i, one in enumerate(order) for two in order[i + 1 :] if sets[one] & sets[two]}
+    assert set(found) == expected and ("b", "c") in expected
+    for (one, two), r in found.items():
+        both = len(sets[one] & sets[two])
+        assert (r["keys"], r.other_keys, r.shared, r.error) == (len(sets[one]), len(sets[two]), both, 0.0)
+        assert r.containment == both / min(len(sets[one]), len(sets[two])) and r.jaccard == both / len(sets[one] | sets[two])
+
+
+def test_estimates_of_shared_rows(spark):
+    rows = spark.range(60_000).selectExpr("concat('k', id) AS key", "explode(filter(array(if(id < 40000, 'a', null), if(id >= 20000, 'b', null), if(id % 3 = 0, 'c', null)), x -> x IS NOT NULL)) AS part")
+    exact = {(r.chunk, r.other): r.shared for r in chunk_pairs(rows, "part").collect()}
+    assert exact == {("a", "b"): 20_000, ("a", "c"): 13_334, ("b", "c"): 13_333}
+    for r in chunk_pairs(rows, "part", share=0.1).collect():
+        assert 0 < r.error < 0.05 * r.shared
+        assert abs(r.shared - exact[r.chunk, r.other]) < 4 * r.error
+    with pytest.raises(ValueError):
+        chunk_pairs(rows, "part", share=0)
