@@ -3,8 +3,9 @@
 Every document is measured (words, symbols, repeated lines, repeated runs of words) and held
 against rules. Failures of every rule are counted per host; each host's failure rate is drawn
 towards the rate of all hosts by a beta prior fitted to the hosts' rates (method of moments), so
-a host with few documents is judged mildly. A host whose drawn-in rate of some rule reaches
-the rule's limit is rejected, and the verdict is joined back: its documents go, unless they fail no rule at all.
+a host with few documents is judged mildly. A host of ``LEAST_DOCUMENTS`` or more whose drawn-in rate of some rule reaches
+``FACTOR`` times the rate of all documents (within the rule's bounds) is rejected, and the verdict is joined back: its
+documents go, unless they fail no rule at all.
 
 Defined results: null, empty and blank texts have no words and fail the base rule. A null host is a
 host like any other. Repeated rows count as often as they occur. With one host, or hosts with
@@ -32,8 +33,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 PRIOR_DOCUMENTS = 10.0
 LEAST_WEIGHT = 2.0  # that of a uniform prior
-# rule -> the drawn-in failure rate from which a host is rejected
-HOST_LIMITS = {"few_words": 0.5, "repeats": 0.5, "symbols": 0.5, "lines": 0.5}
+# A host is rejected from this multiple of the rate of all hosts on, within the bounds of its rule: a rate below the
+# first never rejects, one from the second on always does.
+FACTOR = 4.0
+HOST_LIMITS = {"few_words": (0.2, 0.5), "repeats": (0.2, 0.5), "symbols": (0.2, 0.5), "lines": (0.2, 0.5)}
+LEAST_DOCUMENTS = 20  # of a host that is judged
 
 
 def words_of(text: Column) -> Column:
@@ -117,14 +121,15 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     prior = hosts.agg(*of_all)
     joined = hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior.withColumn("one", F.lit(1))), "one")  # of one row
     bad = F.lit(False)
-    for r, limit in HOST_LIMITS.items():
+    for r, (least, most) in HOST_LIMITS.items():
         m, spread = F.col(f"m_{r}"), F.col(f"m_{r}") * (1 - F.col(f"m_{r}"))
         # variance between hosts, without what chance adds to each rate
         between = F.col(f"v_{r}") - spread * F.col(f"i_{r}")
         weight = F.when(between > 0, F.greatest(spread / between - 1, F.lit(LEAST_WEIGHT))).otherwise(F.lit(PRIOR_DOCUMENTS))
         weight = F.least(F.coalesce(weight, F.lit(PRIOR_DOCUMENTS)), F.lit(1000.0))
+        limit = F.least(F.greatest(FACTOR * m, F.lit(least)), F.lit(most))
         bad = bad | ((F.col(f"f_{r}") + weight * m) / (F.col("n") + weight) >= limit)
-    return joined.select("host", bad.alias("rejected"))
+    return joined.select("host", (bad & (F.col("n") >= LEAST_DOCUMENTS)).alias("rejected"))
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -153,7 +158,8 @@ _LIMITS_SQL = ", ".join(
     f"sum(f_{r}) / sum(n) AS m_{r}, var_samp(f_{r} / n) AS v_{r}, avg(1 / n) AS i_{r}" for r in HOST_LIMITS
 )
 _BAD_SQL = " OR ".join(
-    f"(f_{r} + w_{r} * m_{r}) / (n + w_{r}) >= {limit}" for r, limit in HOST_LIMITS.items()
+    f"(f_{r} + w_{r} * m_{r}) / (n + w_{r}) >= least(greatest({FACTOR} * m_{r}, {least}), {most})"
+    for r, (least, most) in HOST_LIMITS.items()
 )
 _WEIGHT_SQL = ", ".join(
     f"least(coalesce(CASE WHEN v_{r} - m_{r} * (1 - m_{r}) * i_{r} > 0 "
@@ -189,7 +195,7 @@ WITH d AS (
     {", ".join(f"CAST(sum(CAST({r} AS INTEGER)) AS DOUBLE) AS f_{r}" for r in HOST_LIMITS)}
   FROM j GROUP BY host
 ), verdicts AS (
-  SELECT host, {_BAD_SQL} AS rejected
+  SELECT host, ({_BAD_SQL}) AND n >= {LEAST_DOCUMENTS} AS rejected
   FROM (SELECT *, {_WEIGHT_SQL} FROM h, (SELECT {_LIMITS_SQL} FROM h))
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repeats AS base_failed,

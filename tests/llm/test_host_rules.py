@@ -3,11 +3,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import duckdb
 import pytest
+from compare import difference
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rowgate.llm.host_rules import host_verdicts, judge, measure, op9_host_rules
+from rowgate.llm.host_rules import OP9_SQL, host_verdicts, judge, measure, op9_host_rules
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -70,3 +72,25 @@ def test_verdicts_take_effect(spark):
     assert kept == Counter(expected)
     assert judge(df).count() == len(rows)
     assert judge(df.limit(0)).count() == 0
+
+
+def test_a_worse_host_goes(spark):
+    """40 per cent against 5 for the rest; below the least number of documents, or the least rate, a host stays."""
+    rates = {"worse": (200, 80), "few": (15, 9), "mild": (300, 45), **{f"h{k}": (300, 15) for k in range(10)}}
+    rows = [(h, i < bad) for h, (n, bad) in rates.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "host string, repeats boolean").selectExpr("*", "false few_words", "false symbols", "false lines")
+    assert {r.host for r in host_verdicts(df).collect() if r.rejected} == {"worse"}
+
+
+def test_rejected_hosts_by_sql(spark, tmp_path):
+    """Where a host is rejected, the query still gives the rows of its SQL."""
+    fine = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, f"{fine} # # # # # {i}" if i % 10 < 4 else f"{fine} {i}", "worse") for i in range(100)]
+    rows += [(1000 + i, f"{fine} # # # # # {i}" if i % 20 == 0 else f"{fine} {i}", f"h{i % 5}") for i in range(900)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = op9_host_rules(spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert difference(found, connection, OP9_SQL) is None
+    gone = {r.doc_id for r in found.collect() if not r.kept}
+    assert gone == {i for i in range(100) if i % 10 < 4}
