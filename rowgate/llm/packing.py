@@ -12,15 +12,15 @@ Clusters are components of near duplicates, by fingerprints that differ in few b
 share a bin either.
 
 Shards: documents are dealt by a hash of id and cluster into shards of about ``SHARD_ROWS`` rows, each of
-which is packed by one task; their number grows with the table, so tasks don't. Bins are
-never shared by shards. A shard that by ill luck (a hash of one repeated row) is larger is packed in
+which is packed by one task; their number grows with the table, so tasks don't. Rows of equal id and cluster that are more than a
+shard are dealt over as many shards as they fill. Bins are never shared by shards. A shard that by ill luck is larger is packed in
 blocks of ``BLOCK_ROWS`` rows, so a task's memory is bounded; within a block source and cluster
 numbers are the bits.
 
-A token is one of the vocabulary whose path is given to ``measured``, without the end id (the pipeline gives that of
-``op3_records``); without a path it is a word, as in ``op7_packing``.
+A token is one of the vocabulary whose path is given to ``measured``, without the end id (the query and the pipeline give that
+of ``op3_records``); without a path it is a word.
 
-Defined results: null and empty texts have no tokens, and one piece of length 0 that goes into a
+Defined results: null and empty texts have no tokens and no cluster, and one piece of length 0 that goes into a
 bin like any other. A null source or cluster conflicts with nothing. Repeated rows are separate
 pieces that conflict by their cluster. Ties: longer first, then by id, cluster and source; of bins with
 equal room the oldest. An empty table gives no pieces. Other columns are not read.
@@ -40,6 +40,7 @@ from .common import encoded, over_batches, table
 from .components import components
 from .records import END_ID, encoder
 from .simhash import fingerprint, links
+from .tokens import CACHE_ENTRIES, CACHED_LENGTH
 
 CAPACITY = 2048
 PER_SOURCE = 2
@@ -121,9 +122,13 @@ def pack_documents(
     if capacity < 1 or per_source < 1:
         raise ValueError("a bin must hold a token and a piece of a source")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    count = shards_of(docs.count(), shard_rows)
+    equal = docs.groupBy("doc_id", F.col("cluster").cast("bigint").alias("cluster")).agg(F.count("*").alias("n"))
+    rows, most = equal.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
+    count, salt = shards_of(rows, shard_rows), F.lit(0).cast("bigint")
+    if (most or 0) > shard_rows:
+        docs, salt = _salted(docs, equal.where(F.col("n") > shard_rows), shard_rows), F.col("__salt")
     dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(count)).alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "cluster", salt), F.lit(count)).alias("shard"),
         "doc_id",
         F.col("n_tokens").cast("bigint").alias("n_tokens"),
         F.col("source").cast("string").alias("source"),
@@ -163,6 +168,35 @@ def pack_documents(
     return dealt.mapInArrow(run, schema)
 
 
+def _salted(docs: DataFrame, hot: DataFrame, shard_rows: int) -> DataFrame:
+    """Rows with a number of the shard they are dealt to among those of equal id and cluster; staged, as that is by their order."""
+    hot = hot.select(F.col("doc_id").alias("__id"), F.col("cluster").alias("__cluster"), F.ceil(F.col("n") / shard_rows).alias("__parts"))
+    joined = docs.join(hot, [docs["doc_id"].eqNullSafe(hot["__id"]), docs["cluster"].eqNullSafe(hot["__cluster"])], "left")
+    part = F.pmod(F.monotonically_increasing_id(), F.coalesce("__parts", F.lit(1)))
+    return stage(joined.withColumn("__salt", part).drop("__id", "__cluster", "__parts"), "salted")
+
+
+_counts: dict[str, dict[str, int]] = {}
+
+
+def token_counts(texts: list[str | None], path: str) -> list[int]:
+    """Tokens of each text. The vocabulary joins nothing across a blank, so words between blanks are counted once per worker."""
+    encode, known = encoder(path), _counts.setdefault(path, {})
+    if len(known) > CACHE_ENTRIES:
+        known.clear()
+    sizes = []
+    for text in texts:
+        words = (text or "").split(" ")
+        counts = list(map(known.get, words))
+        if None in counts:
+            missing = list({w for w, n in zip(words, counts) if n is None})
+            fresh = dict(zip(missing, (len(i) // encode.width - 1 for i in encode.encode(missing, END_ID))))
+            known.update((w, n) for w, n in fresh.items() if len(w) <= CACHED_LENGTH)
+            counts = [fresh[w] if n is None else n for w, n in zip(words, counts)]
+        sizes.append(sum(counts))
+    return sizes
+
+
 def measured(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, source, cluster) of ``docs``: tokens of the vocabulary, else words; the component of near duplicates.
 
@@ -174,8 +208,7 @@ def measured(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     def work(batch):
         texts = batch.column("text").to_pylist()
         if tokenizer_path:
-            encode = encoder(tokenizer_path)
-            sizes = [len(i) // encode.width - 1 for i in encode.encode(texts, END_ID)]
+            sizes = token_counts(texts, tokenizer_path)
         else:
             sizes = [len(encoded(t).split()) for t in texts]
         return [batch.column("doc_id"), sizes, batch.column("source"), [fingerprint((t or "").lower()) for t in texts]]
@@ -183,7 +216,8 @@ def measured(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     made = stage(over_batches(rows, work, f"doc_id {kind}, n_tokens bigint, source string, fp bigint"), "measured")
     roots = components(links(stage(made.select("fp").distinct(), "distinct")))
     joined = made.join(roots, made["fp"] == roots["node"], "left")
-    return joined.select("doc_id", "n_tokens", "source", F.coalesce("root", "fp").alias("cluster"))
+    cluster = F.when(F.col("n_tokens") > 0, F.coalesce("root", "fp")).alias("cluster")
+    return joined.select("doc_id", "n_tokens", "source", cluster)
 
 
 def bin_name() -> Column:
@@ -191,5 +225,9 @@ def bin_name() -> Column:
 
 
 def op7_packing(spark, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     pieces = pack_documents(measured(table(spark, sf_dir, "documents"), tokenizer_path))
     return pieces.select(bin_name().alias("bin_id"), "doc_id", "start", "length")

@@ -4,9 +4,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from rowgate.llm.packing import Bins, measured, op7_packing, pack, pack_documents
+from rowgate.llm.packing import Bins, measured, op7_packing, pack, pack_documents, token_counts
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -82,10 +84,12 @@ def check_bins(pieces, docs, capacity, per_source):
 
 def test_query(spark):
     rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     docs = {}
     for r in rows:
         words = [w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]
-        docs[r.doc_id] = len(words), r.source, " ".join(words).lower()
+        size = len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)
+        docs[r.doc_id] = size, r.source, " ".join(words).lower() if size else r.doc_id
     bins = check_bins(op7_packing(spark, SF_DIR).collect(), docs, 2048, 2)
     tokens = sum(d[0] for d in docs.values())
     assert tokens / (2048 * len(bins)) > 0.9
@@ -133,6 +137,26 @@ def test_pieces_are_tokens(spark):
     assert all(start == 2048 * k for of in found.values() for k, (start, _) in enumerate(sorted(of)))
 
 
+def test_counts_are_the_library_s():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [None, "", " ", "  a \n b\t", "It's 12,000 'quoted' words...\n\nÉté\u00a0x", "z" * 500, "<|endoftext|> a", "日本 語 \u2003x"]
+    expected = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert token_counts(texts, path) == expected == token_counts(texts, path)
+
+
+def test_equal_rows_are_dealt_over_shards(spark):
+    """20,000 equal rows, and as many empty ones, are many shards and few bins."""
+    df = spark.range(20_000).selectExpr("7L AS doc_id", "500 AS n_tokens", "'s' AS source", "1L AS cluster")
+    df = df.unionByName(spark.range(20_000).selectExpr("CAST(NULL AS BIGINT)", "0", "CAST(NULL AS STRING)", "CAST(NULL AS BIGINT)").toDF(*df.columns))
+    pieces = pack_documents(df, shard_rows=1000)
+    sizes = {r["shard"]: r["count"] for r in pieces.groupBy("shard").count().collect()}
+    assert sum(sizes.values()) == 40_000 and max(sizes.values()) < 8_000 and len(sizes) > 15
+    equal = pieces.where("doc_id = 7").groupBy("shard", "block", "bin").count()
+    assert equal.count() == 20_000  # copies share no bin
+    assert pieces.where("doc_id IS NULL").select("shard", "block", "bin").distinct().count() < 100
+
+
 def test_near_copies_share_no_bin(spark):
     words = [f"w{i * i % 997}x{i}" for i in range(900)]
     texts = [" ".join([*words[:at], "changed", *words[at + 1 :]]) for at in (100, 500, 800)] + ["something else " * 100]
