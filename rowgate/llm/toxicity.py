@@ -1,23 +1,26 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five transducers read the words of a clause from left to right and are composed into one pass:
+Five transducers read the words of a clause from left to right and are composed: their product runs as one machine, whose
+state is the tuple of theirs.
 
 - insult: a trie acceptor of word beginnings, learned from labelled rows. The last accepting
   state that a word passes gives its weight, so one state accepts all inflections of a stem.
-- threat: a trie acceptor of verbs of harm, or such a verb after a modal.
-- target: second-person words and names of address.
-- negation: words that turn the clause's insult around if they stand within ``REACH`` words before it.
-- reported speech: quotation marks, or verbs of saying before the insult.
-
-The composition maps a clause to at most one match per insult or threat, of a kind that says what
-surrounds it: plain, at a target, negated or reported. A document is scored by its matched
-clauses: a logistic model over, per kind, the weight of matches (log scale, and as a rate per clause). No word
-counts on its own outside a match, and texts without any match get the model's base rate.
+- threat: a modal, then a verb of harm, then a person as its object, each at most ``REACH`` words behind the one before. What
+  the addressee will do ("you will beat them") is no threat, and neither is harm to things.
+- target: someone is addressed at most ``REACH`` words before, or right behind; possessives address nobody.
+- negation: words that turn an insult or threat around if they stand within ``REACH`` words before it.
+- reported speech: quotation marks, or verbs of saying before it.
+
+The composition gives at most one match per insult or threat, of a kind that says what surrounds it: plain, at a target, negated
+or reported. A document is scored by its matched clauses: a logistic model over, per kind, the weight of matches (log scale, and as
+a rate per clause). No word decides alone: plain matches count only beside those of another clause (the heaviest clause's own are
+left out), so a text in which one clause has such words is like one without, unless they are said to someone. Texts without any match
+get the model's base rate. Where no labelled row has an insult at a target, it weighs what plain ones do.
 
 Beginnings are kept with their log ratio shrunk towards none. How much evidence they must have (``ROOTS``) is
 chosen by the labels: rows are dealt into folds, each is matched by beginnings learned from the other
 folds, and the model is fitted to these matches; the bar of the least loss is taken. So chance words of few labels
-get little weight. Threats need no learned word: where no labelled row holds one, one threat makes a text toxic.
+get little weight. Threats need no learned word: where no labelled row holds one, one threat to a person makes a text toxic.
 
 The acceptor's weights and the model are fitted on at most ``FIT_ROWS`` labelled rows (chosen by
 a hash of the id), never on rows held out. Labels, lang, source and doc_id are no inputs of a score.
@@ -62,7 +65,8 @@ REACH = 3
 REJECT_AT = 0.5
 
 # Function words of the four languages of the corpus (en, de, fr, es).
-TARGETS = frozenset("you your you're u ya du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted ustedes vos".split())
+TARGETS = frozenset("you you're u ya du dich dir ihr euch tu te toi vous tú ti usted ustedes vos".split())
+PERSONS = TARGETS | frozenset("him her them us me everyone everybody anyone someone ihn ihm ihnen uns mich mir jeden lui leur nous moi ellos ellas nosotros".split())
 NEGATIONS = frozenset("not never no isn't aren't wasn't don't nobody nicht kein keine nie niemals pas jamais aucun ne nunca jamás ningún".split())
 REPORTS = frozenset("said says say wrote writes called calls quoted claimed told sagte sagt schrieb nannte dit dite écrit appelé dijo dice escribió llamó".split())
 MODALS = frozenset("will shall gonna going i'll we'll must should werde werden wird muss vais va doit voy vamos debe".split())
@@ -87,70 +91,133 @@ def clauses(text: str | None) -> list[list[str]]:
     return [t for c in _CLAUSE.split((text or "").lower()) if (t := _TOKEN.findall(c))]
 
 
+class Transducer:
+    """States, and arcs (state, class of word) -> (state, output); the first class with an arc is taken.
+
+    ``default`` gives the arc of words without one. An output is None or a weight.
+    """
+
+    def __init__(self, start, arcs: dict, default: dict):
+        self.start, self.arcs, self.default = start, arcs, default
+
+    def step(self, state, classes: tuple[str, ...]):
+        for name in classes:
+            arc = self.arcs.get((state, name))
+            if arc is not None:
+                return arc
+        return self.default[state]
+
+
+def _reaching(name: str) -> Transducer:
+    """Gives 1 for a word of the class ``name`` and for each of the ``REACH`` words behind it."""
+    arcs = {(k, name): (REACH, 1.0) for k in range(REACH + 1)}
+    return Transducer(0, arcs, {0: (0, None), **{k: (k - 1, 1.0) for k in range(1, REACH + 1)}})
+
+
+def _speech() -> Transducer:
+    """Gives 1 inside quotation marks and from a verb of saying on."""
+    arcs = {("plain", "quote"): ("quoted", 1.0), ("quoted", "quote"): ("plain", None)}
+    arcs |= {(state, "report"): ("said", 1.0) for state in ("plain", "quoted", "said")}
+    return Transducer("plain", arcs, {"plain": ("plain", None), "quoted": ("quoted", 1.0), "said": ("said", 1.0)})
+
+
+def _threat() -> Transducer:
+    """Gives 1 at the person who is the object of a verb of harm behind a modal."""
+    arcs, default = {}, {"idle": ("idle", None), "you": ("idle", None)}
+    states = ["idle", "you", *((step, k) for step in ("can", "harm") for k in range(1, REACH + 1))]
+    for state in states:
+        if state != "you":  # not what the addressee can do
+            arcs[state, "modal"] = ("can", REACH), None
+        if state in ("idle", "you"):
+            arcs[state, "target"] = "you", None
+        elif state[0] == "can":
+            arcs[state, "harm"] = ("harm", REACH), None
+        else:
+            arcs[state, "person"] = "idle", 1.0
+        if state not in default:
+            default[state] = ((state[0], state[1] - 1) if state[1] > 1 else "idle"), None
+    return Transducer("idle", arcs, default)
+
+
+SPEECH, NEGATION, TARGET, THREATS = _speech(), _reaching("negation"), _reaching("target"), _threat()
+COMPOSED = (SPEECH, NEGATION, TARGET, THREATS)
+_CLASSES = (("quote", _QUOTES), ("report", REPORTS), ("modal", MODALS), ("negation", NEGATIONS), ("target", TARGETS), ("person", PERSONS))
+
+
+def classes_of(word: str) -> tuple[str, ...]:
+    """The classes that transducers read, but for insults, which are the trie's."""
+    found = [name for name, words in _CLASSES if word in words]
+    return (*found, "harm") if word.startswith(HARMS) else tuple(found)
+
+
 class Grammar:
     """The composed transducers over the stems of a model."""
 
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
         sizes = sorted({len(s) for s in stems}, reverse=True)
-        self.sizes, self.known = sizes, {}
-        self.least = min(sizes, default=99)
+        self.sizes = sizes
+        self.known: dict[str, tuple[float, tuple[str, ...]]] = {}
+        # product state -> class -> (product state, outputs); made as states are met, of which there are few hundred
+        self.arcs: dict[tuple, dict] = {}
 
     def weight(self, word: str) -> float:
         """Of the last accepting state that the word passes; 0 if it passes none."""
+        found = 0.0
+        for size in self.sizes:
+            if size <= len(word) and (found := self.stems.get(word[:size], 0.0)):
+                break
+        return found
+
+    def read(self, word: str) -> tuple[float, tuple[str, ...]]:
+        """A word's weight and classes."""
         found = self.known.get(word)
         if found is None:
-            found = 0.0
-            for size in self.sizes:
-                if size <= len(word) and (found := self.stems.get(word[:size], 0.0)):
-                    break
+            found = self.weight(word), classes_of(word)
             if len(self.known) > 500_000:
                 self.known.clear()
             self.known[word] = found
         return found
 
+    def step(self, state: tuple, classes: tuple[str, ...]) -> tuple[tuple, tuple]:
+        arcs = self.arcs.setdefault(state, {})
+        found = arcs.get(classes)
+        if found is None:
+            steps = [t.step(s, classes) for t, s in zip(COMPOSED, state)]
+            found = arcs[classes] = tuple(s for s, _ in steps), tuple(o for _, o in steps)
+        return found
+
     def match(self, clause: list[str]) -> list[tuple[int, float]]:
-        """(kind, weight) of each match of a clause."""
-        found = [(i, w) for i, t in enumerate(clause) if (w := self.weight(t))]
-        harms = [i for i, t in enumerate(clause) if t.startswith(HARMS)]
-        if not found and not harms:
+        """(kind, weight) of each match of a clause: insults first, then threats."""
+        read = [self.read(word) for word in clause]
+        if not any(w or "harm" in c for w, c in read):
             return []
-        quoted = reported = False
-        modal = negated = -REACH - 1
-        states = []  # after each word: inside quotes or after a verb of saying; last modal, last negation
-        for i, token in enumerate(clause):
-            if token in _QUOTES:
-                quoted = not quoted
-            elif token in REPORTS:
-                reported = True
-            elif token in MODALS:
-                modal = i
-            if token in NEGATIONS:
-                negated = i
-            states.append((quoted or reported, modal, negated))
-        target = not TARGETS.isdisjoint(clause)
-        out = []
-        for i, weight in found:
-            speech, _, no = states[i]
-            kind = 3 if speech else 2 if i - no <= REACH else 1 if target else 0
-            out.append((kind, weight))
-        for i in harms:
-            speech, can, no = states[i]
-            if target and i - can <= REACH and i - no > REACH and not speech:
-                out.append((4, 1.0))
-        return out
+        state, insults, threats = tuple(t.start for t in COMPOSED), [], []
+        for at, (weight, classes) in enumerate(read):
+            state, (speech, negated, target, threat) = self.step(state, classes)
+            if weight:
+                # who is addressed right behind is only read next
+                near = target or at + 1 < len(read) and "target" in read[at + 1][1]
+                insults.append((3 if speech else 2 if negated else 1 if near else 0, weight))
+            if threat and not speech and not negated:
+                threats.append((4, threat))
+        return insults + threats
 
     def features(self, text: str | None) -> list[float]:
         """Per kind the log of the summed weight, then per kind the summed weight per clause."""
-        sums, count = [0.0] * len(KINDS), 0
+        sums, count, heaviest = [0.0] * len(KINDS), 0, 0.0
         for clause in clauses(text):
             count += 1
+            plain = sums[0]
             for kind, weight in self.match(clause):
                 sums[kind] += weight
-        return _features(sums, count)
+            heaviest = max(heaviest, sums[0] - plain)
+        return _features(sums, count, heaviest)
 
 
-def _features(sums: list[float], count: int) -> list[float]:
+def _features(sums: list[float], count: int, heaviest: float) -> list[float]:
+    """Of plain matches those of the heaviest clause are left out."""
+    sums = [max(0.0, sums[0] - heaviest), *sums[1:]]
     return [math.log1p(s) for s in sums] + [s / max(count, 1) for s in sums]
 
 
@@ -162,15 +229,17 @@ class Folded:
         self.grammar = Grammar({start: at + 1 for at, (start, _, _) in enumerate(learned)})
 
     def features(self, text: str | None) -> list[float]:
-        sums, count = [[0.0] * len(KINDS) for _ in ROOTS], 0
+        sums, count, heaviest = [[0.0] * len(KINDS) for _ in ROOTS], 0, [0.0] * len(ROOTS)
         for clause in clauses(text):
             count += 1
+            plain = [of_bar[0] for of_bar in sums]
             for kind, found in self.grammar.match(clause):
                 _, weight, ratio = ("", 1.0, math.inf) if KINDS[kind] == "threat" else self.learned[int(found) - 1]
                 for of_bar, root in zip(sums, ROOTS):
                     if ratio > root**2:
                         of_bar[kind] += weight
-        return [f for of_bar in sums for f in _features(of_bar, count)]
+            heaviest = [max(h, of_bar[0] - p) for h, of_bar, p in zip(heaviest, sums, plain)]
+        return [f for of_bar, h in zip(sums, heaviest) for f in _features(of_bar, count, h)]
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -326,6 +395,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, stems: int
     weights, base, threat = w[:-1].tolist(), float(w[-1]), KINDS.index("threat")
     if not x[:, threat].any():
         weights[threat] = (THREAT - base) / math.log(2)
+    targeted, plain = x[:, bar * size + 1], weights[0]
+    if not targeted.any():
+        weights[1] = max(weights[1], plain)
     return Model({start: weight for start, weight, ratio in learned if ratio > ROOTS[bar] ** 2}, weights, base)
 
 
