@@ -24,6 +24,10 @@ least of the frequent ones.
 from __future__ import annotations
 
 import re
+import struct
+from collections.abc import Iterator
+from itertools import chain, compress
+from operator import not_
 from typing import NamedTuple
 
 import numpy as np
@@ -33,11 +37,12 @@ from pyspark.sql import functions as F
 
 from rowgate.session import stage
 
-from .common import arrow_schema, encoded, table
+from .common import arrow_schema, table
 from .token_counts import pre_tokens
-from .tokens import Cache, load_tokenizer
+from .tokens import CACHE_ENTRIES, CACHED_LENGTH, load_tokenizer
 
 PRODUCTS = 1 << 20
+PART_CHARS = 1 << 20  # of texts whose pieces are looked up together
 FREQUENT = 1 << 18
 _SPACED = re.compile(r" +[^ ]*")
 
@@ -62,21 +67,29 @@ class Csr(NamedTuple):
 
 
 def row_products(left: Csr, right: Csr):
-    """(rows, columns, values) of left·right by Gustavson's method, a block of rows at a time, in order of rows."""
-    widths = np.diff(right.starts)[left.columns]  # what each entry of the left matrix gathers
-    made = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
-    ends = made[left.starts]  # products made before each row
+    """(rows, columns, values) of left·right by Gustavson's method, a block of rows at a time, in order of rows and columns."""
+    begins, ends = right.starts[left.columns], right.starts[left.columns + 1]
+    widths = ends - begins  # what each entry of the left matrix gathers
+    made = np.concatenate([[0], np.cumsum(widths)])
+    before = made[left.starts]  # products made before each row
     row, rows = 0, len(left.starts) - 1
     while row < rows:
-        last = max(row + 1, int(np.searchsorted(ends, ends[row] + PRODUCTS, "right")) - 1)
-        first_entry, last_entry = left.starts[row], left.starts[last]
-        width = widths[first_entry:last_entry]
-        total = int(ends[last] - ends[row])
-        of_entry = np.repeat(np.arange(first_entry, last_entry), width)
-        place = np.arange(total) - (made[of_entry] - ends[row]) + right.starts[left.columns[of_entry]]
-        of_row = np.repeat(np.arange(row, last), ends[row + 1 : last + 1] - ends[row:last])
-        keys, values = np.unique(of_row * right.width + right.columns[place], return_counts=True)
-        yield keys // max(right.width, 1), keys % max(right.width, 1), values
+        last = max(row + 1, int(np.searchsorted(before, before[row] + PRODUCTS, "right")) - 1)
+        a, b = left.starts[row], left.starts[last]
+        if before[last] - before[row] == b - a and (widths[a:b] == 1).all():
+            columns = right.columns[begins[a:b]]
+        else:
+            of_entry = np.repeat(np.arange(a, b), widths[a:b])
+            columns = right.columns[np.arange(before[row], before[last]) - made[of_entry] + begins[of_entry]]
+        of_row = np.repeat(np.arange(row, last), before[row + 1 : last + 1] - before[row:last])
+        same_row = of_row[1:] == of_row[:-1]
+        steps = columns[1:] - columns[:-1]
+        if (same_row & (steps < 0)).any():
+            order = np.lexsort((columns, of_row))
+            of_row, columns = of_row[order], columns[order]
+            same_row, steps = of_row[1:] == of_row[:-1], columns[1:] - columns[:-1]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(columns)), bool), ~same_row | (steps != 0)]))
+        yield of_row[first], columns[first], np.diff(np.append(first, len(columns)))
         row = last
 
 
@@ -84,21 +97,36 @@ class Side:
     """One tokenizer: packed ids of a text's pieces, byte lengths and decimal names of its ids."""
 
     def __init__(self, entries: list[bytes], encode):
-        self.entries, self.encode, self.cache = entries, encode, Cache()
+        self.entries, self.encode = entries, encode
+        self.known: dict[str, bytes] = {}
         self.lengths = np.array([len(e) for e in entries], np.int64)
 
-    def _make(self, pieces: list[str]) -> list[bytes]:
+    def _make(self, pieces: list[str]) -> dict[str, bytes]:
         """Packed ids of pieces; of those whose ids do not give back their bytes a mark instead."""
-        made = []
+        entry, made = self.entries.__getitem__, {}
         for piece, ids in zip(pieces, self.encode(pieces)):
-            whole = b"".join(map(self.entries.__getitem__, ids)) == encoded(piece)
-            made.append(np.array(ids, "<i4").tobytes() if whole else b"?")
+            whole = b"".join(map(entry, ids)) == piece.encode()
+            made[piece] = struct.pack(f"<{len(ids)}i", *ids) if whole else b"?"
         return made
 
-    def ids(self, pieces: list[str]) -> np.ndarray | None:
-        known = self.cache.fill(pieces, self._make)
-        packed = list(map(known.__getitem__, pieces))
-        return None if b"?" in known.values() else np.frombuffer(b"".join(packed), "<i4")
+    def ids(self, texts: list[list[str]]) -> list[np.ndarray | None]:
+        """Ids of texts given by their pieces; the pieces that are not known yet are encoded at once."""
+        pieces = list(chain.from_iterable(texts))
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        packed = list(map(self.known.get, pieces))
+        missing = list(compress(range(len(pieces)), map(not_, packed)))
+        if missing:
+            fresh = self._make(list({pieces[i] for i in missing}))
+            for i in missing:
+                packed[i] = fresh[pieces[i]]
+            self.known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHED_LENGTH)
+        out, at = [], 0
+        for text in texts:
+            part = packed[at : at + len(text)]
+            at += len(text)
+            out.append(None if b"?" in part else np.frombuffer(b"".join(part), "<i4"))
+        return out
 
 
 def byte_level_characters() -> dict[str, int]:
@@ -143,20 +171,28 @@ class Aligner:
         self.names = [n + e for names, ends in ((names_a, ",|"), (names_b, ",;")) for e in ends for n in names]
 
     def align(self, text: str | None) -> dict:
-        """Ids and groups of both sides' tokens, overlap links and linked id pairs."""
-        whole = " " + (text or "")
-        a = self.a.ids(pre_tokens(whole)) if text else None
-        b = self.b.ids(_SPACED.findall(whole)) if a is not None else None
-        if a is None or b is None:
-            none = np.empty(0, np.int64)
-            return {"a": none, "b": none, "group_a": none, "group_b": none, "n_groups": 0, "overlaps": [none] * 3, "n_links": 0, "pairs": none, "times": none}
+        return self.align_all([text])[0]
+
+    def align_all(self, texts: list[str | None]) -> list[dict]:
+        """Ids and groups of both sides' tokens, overlap links and linked id pairs, of each text."""
+        whole = [" " + text if text else "" for text in texts]
+        of_a = self.a.ids([pre_tokens(w) for w in whole])
+        of_b = self.b.ids([_SPACED.findall(w) for w in whole])
+        return [self._aligned(a, b) if w and a is not None and b is not None else self._nothing() for w, a, b in zip(whole, of_a, of_b)]
+
+    @staticmethod
+    def _nothing() -> dict:
+        none = np.empty(0, np.int64)
+        return {"a": none, "b": none, "group_a": none, "group_b": none, "n_groups": 0, "overlaps": [none] * 3, "n_links": 0, "pairs": none, "times": none}
+
+    def _aligned(self, a: np.ndarray, b: np.ndarray) -> dict:
         bytes_a = Csr.of_runs(self.a.lengths[a])
         of_byte = Csr.of_owners(np.repeat(np.arange(len(b)), self.b.lengths[b]), len(b))
         overlaps = [np.concatenate(parts) for parts in zip(*row_products(bytes_a, of_byte))]
         rows, columns, _ = overlaps
         # rows come in order and each one's columns do, so a row's first and last entries are its B tokens' ends
-        first = columns[np.searchsorted(rows, np.arange(len(a)))]
-        last = columns[np.searchsorted(rows, np.arange(len(a)), "right") - 1]
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        first, last = columns[starts], columns[np.append(starts[1:], len(rows)) - 1]
         group_a = np.cumsum(np.concatenate([[False], first[1:] != last[:-1]]))
         group_b = np.empty(len(b), np.int64)
         group_b[columns] = group_a[rows]
@@ -184,8 +220,10 @@ class Aligner:
         count_a, count_b = len(self.a.entries), len(self.b.entries)
         named = np.empty(len(a) + len(b), np.int64)
         # a token stands behind all tokens of earlier groups, and B's behind A's of the same group
-        named[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + ends_a * count_a
-        named[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = 2 * count_a + b + ends_b * count_b
+        until_a = np.append(0, np.flatnonzero(ends_a) + 1)
+        until_b = np.append(0, np.flatnonzero(ends_b) + 1)
+        named[np.arange(len(a)) + until_b[group_a]] = a + ends_a * count_a
+        named[np.arange(len(b)) + until_a[group_b + 1]] = 2 * count_a + b + ends_b * count_b
         return "".join(map(self.names.__getitem__, named.tolist()))[:-1]
 
 
@@ -229,6 +267,19 @@ def _structs(parts: list[list[np.ndarray]], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), flat).cast(kind)
 
 
+def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in parts of about ``PART_CHARS`` characters, or of one text that is longer."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if size >= PART_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def align_texts(docs: DataFrame, path_a: str, path_b: str, columns: tuple[str, ...] = tuple(_SCHEMAS)) -> DataFrame:
     """``doc_id`` and the named columns per row of ``docs``.
 
@@ -255,9 +306,11 @@ def align_texts(docs: DataFrame, path_a: str, path_b: str, columns: tuple[str, .
         return _lists([f[key] for f in found], kind)
 
     def run(batches):
-        align = aligner(path_a, path_b).align
+        align_all = aligner(path_a, path_b).align_all
         for batch in batches:
-            found = [align(text) for text in batch.column(1).to_pylist()]
+            found: list[dict] = []
+            for part in _parts(batch.column(1).to_pylist()):
+                found += align_all(part)
             made = [column(name, found, arrow.field(name).type) for name in columns]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], schema=arrow)
 
