@@ -40,7 +40,6 @@ from .common import encoded, over_batches, table
 from .components import components
 from .records import END_ID, encoder
 from .simhash import fingerprint, links
-from .tokens import CACHE_ENTRIES, CACHED_LENGTH
 
 CAPACITY = 2048
 PER_SOURCE = 2
@@ -176,25 +175,10 @@ def _salted(docs: DataFrame, hot: DataFrame, shard_rows: int) -> DataFrame:
     return stage(joined.withColumn("__salt", part).drop("__id", "__cluster", "__parts"), "salted")
 
 
-_counts: dict[str, dict[str, int]] = {}
-
-
 def token_counts(texts: list[str | None], path: str) -> list[int]:
-    """Tokens of each text. The vocabulary joins nothing across a blank, so words between blanks are counted once per worker."""
-    encode, known = encoder(path), _counts.setdefault(path, {})
-    if len(known) > CACHE_ENTRIES:
-        known.clear()
-    sizes = []
-    for text in texts:
-        words = (text or "").split(" ")
-        counts = list(map(known.get, words))
-        if None in counts:
-            missing = list({w for w, n in zip(words, counts) if n is None})
-            fresh = dict(zip(missing, (len(i) // encode.width - 1 for i in encode.encode(missing, END_ID))))
-            known.update((w, n) for w, n in fresh.items() if len(w) <= CACHED_LENGTH)
-            counts = [fresh[w] if n is None else n for w, n in zip(words, counts)]
-        sizes.append(sum(counts))
-    return sizes
+    """Tokens of each text, without the end id."""
+    encode = encoder(path)
+    return [len(ids) // encode.width - 1 for ids in encode.encode(texts, END_ID)]
 
 
 def measured(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
