@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowgate import Plan
@@ -96,6 +99,20 @@ def jsonl_roundtrip(spark, sf_dir):
     return typed_projection(read_json_lines(spark, path, "failfast"), DOCUMENT_PLAN, keep=())
 
 
+def format_dispatch(spark, sf_dir):
+    """Documents written in every named format but code, and read back by what the folder holds."""
+    rows, found = documents_as_rows(spark, sf_dir), []
+    for fmt in ("json", "jsonl", "parquet", "huggingface", "HF"):
+        path = write_rows(rows, staging_path(spark, "written"), fmt, DOCUMENT_PLAN, merged=True)
+        back = typed_projection(read_rows(spark, path, "failfast"), DOCUMENT_PLAN, keep=())
+        found.append(back.select(F.lit(fmt).alias("fmt"), "doc_id", "lang", "n_chars", "text"))
+    return reduce(DataFrame.unionByName, found)
+
+
+_DISPATCH_SQL = """
+SELECT fmt, doc_id, lang, n_chars, text FROM documents, (VALUES ('json'), ('jsonl'), ('parquet'), ('huggingface'), ('HF')) v(fmt)
+"""
+
 _DOCUMENTS_SQL = "SELECT doc_id, lang, n_chars, text FROM documents"
 
 
@@ -297,6 +314,7 @@ QUERIES: dict[str, Entry] = {
     "scan_jsonl": (scan_jsonl, _SCAN_SQL),
     "scan_json_array": (scan_json_array, "SELECT doc_id, text, 0 AS input_ord FROM documents"),
     "jsonl_roundtrip": (jsonl_roundtrip, _DOCUMENTS_SQL),
+    "format_dispatch": (format_dispatch, _DISPATCH_SQL),
     "columnar_roundtrip": (columnar_roundtrip, _COLUMNAR_SQL),
     "code_file_table": (code_files, _CODE_FILES_SQL),
     "code_files_roundtrip": (code_files_roundtrip, _CODE_BACK_SQL),
