@@ -202,7 +202,7 @@ def _composed(tables: pd.DataFrame) -> pd.DataFrame:
 def _dealt(ranges: DataFrame, size: int, count: int) -> DataFrame:
     """Ranges over as many tasks as a scan of their bytes would have."""
     spark = ranges.sparkSession
-    a_task = int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
+    a_task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return ranges.repartition(max(1, -(-size // a_task), min(count, spark.sparkContext.defaultParallelism)))
 
 
