@@ -331,7 +331,7 @@ def count_links(links: DataFrame) -> DataFrame:
 def _least_frequent(counts: DataFrame, entries: int) -> int:
     """The least power of two that at most ``entries`` pairs reach."""
     by_size = counts.groupBy(F.floor(F.log2("n") + F.lit(1e-9)).cast("int").alias("size")).count()
-    least, taken = 63, 0
+    least, taken = 62, 0
     for row in sorted(by_size.collect(), reverse=True):  # one row per power of two
         taken += row["count"]
         if taken > entries:

@@ -22,9 +22,12 @@ ONE.encode_special_tokens = True
 ALIGNER = Aligner(*PATHS)
 
 
+BYTE = byte_level_characters()
+
+
 def token_bytes(side: int, token: int) -> bytes:
     if side == 0:
-        return bytes(map(byte_level_characters().__getitem__, ONE.id_to_token(token)))
+        return bytes(map(BYTE.__getitem__, ONE.id_to_token(token)))
     piece = TWO.id_to_piece(token)
     return bytes([int(piece[3:5], 16)]) if TWO.is_byte(token) else piece.replace("▁", " ").encode()
 
@@ -34,14 +37,19 @@ def groups(text: str | None) -> list[tuple[list[int], list[int]]]:
     if not text:
         return []
     sides = ONE.encode(" " + text, add_special_tokens=False).ids, TWO.encode(text)
-    ends = []
-    for side, ids in enumerate(sides):
-        pieces = [token_bytes(side, i) for i in ids]
-        if b"".join(pieces) != (" " + text).encode():
-            return []
-        ends.append(np.cumsum([len(p) for p in pieces]).tolist())
-    cuts = sorted(set(ends[0]) & set(ends[1]))
-    return [tuple([i for i, e in zip(ids, at) if low < e <= high] for ids, at in zip(sides, ends)) for low, high in zip([0, *cuts], cuts)]
+    if any(b"".join(token_bytes(k, i) for i in ids) != (" " + text).encode() for k, ids in enumerate(sides)):
+        return []
+    found, group, ends, at = [], ([], []), [0, 0], [0, 0]
+    while at[0] < len(sides[0]) or at[1] < len(sides[1]):
+        side = 0 if ends[0] <= ends[1] else 1
+        token = sides[side][at[side]]
+        group[side].append(token)
+        at[side] += 1
+        ends[side] += len(token_bytes(side, token))
+        if ends[0] == ends[1]:
+            found.append(group)
+            group = ([], [])
+    return found
 
 
 def shown(found: list) -> str:
@@ -116,7 +124,7 @@ COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_s
 
 def test_query(spark, tmp_path):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").filter("length(text) < 1500")
-    odd = [(-1, None), (-2, ""), (-3, "an underline ▁ mark"), (None, "null id"), (-4, "twice"), (-4, "twice"), (-5, "lo ng " * 30_000)]
+    odd = [(-1, None), (-2, ""), (-3, "an underline ▁ mark"), (None, "null id"), (-4, "twice"), (-4, "twice"), (-5, "lo ng " * 20_000)]
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id bigint, text string"))
     docs.selectExpr("*", "1 AS n_a", "2 AS links", "'x' AS row", "3 AS pair").write.parquet(f"{tmp_path}/documents.parquet")
     given_rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
