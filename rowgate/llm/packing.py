@@ -38,7 +38,7 @@ from rowgate.session import stage
 
 from .common import encoded, over_batches, table
 from .components import components
-from .records import END_ID, encoder
+from .records import encoder
 from .simhash import fingerprint, links
 
 CAPACITY = 2048
@@ -177,8 +177,7 @@ def _salted(docs: DataFrame, hot: DataFrame, shard_rows: int) -> DataFrame:
 
 def token_counts(texts: list[str | None], path: str) -> list[int]:
     """Tokens of each text, without the end id."""
-    encode = encoder(path)
-    return [len(ids) // encode.width - 1 for ids in encode.encode(texts, END_ID)]
+    return encoder(path).counts(texts)
 
 
 def measured(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

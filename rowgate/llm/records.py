@@ -35,7 +35,7 @@ from rowgate.session import arrow_file_system, qualified, stage, staging_path
 
 from .common import table
 from .crc32c import crc32c, masked
-from .tokens import Cache, load_tokenizer
+from .tokens import Cache, Memo, load_tokenizer
 
 END_ID = 1
 SHARD_BYTES = 32 << 20
@@ -48,17 +48,23 @@ _STOP = re.compile(r"(?<=[A-Za-z0-9ß-öø-ÿ])(?=[.,][ \n])")
 _FOREIGN = re.compile(r"[^\x00-įı-ɏ]")
 
 
+def lowered(text: str | None) -> str:
+    text = text or ""
+    # a special string's case matters
+    return text if "<|" in text or _FOREIGN.search(text) else text.lower()
+
+
 def word_pieces(text: str | None) -> list[str]:
     """Pieces of a text for a tokenizer that lower-cases and drops white space: their ids in a row are the text's."""
-    text = text or ""
-    if "<|" not in text and not _FOREIGN.search(text):  # a special string's case matters
-        text = text.lower()
-    return _STOP.sub(" ", text).replace("\n", " ").split(" ")
+    return _STOP.sub(" ", lowered(text)).replace("\n", " ").split(" ")
 
 
 # A word of these letters is one pre-token and no normaliser changes it, so the library's model may be asked at once.
 _WORD = re.compile(r"[a-zß-öø-ÿ]+")
 _PROBES = ["the", "été", "straßen", "ñandúes", "zzzqxj", "øyåþ"]
+# Such a word and signs up to the end of a piece: the signs are a pre-token of their own.
+_TAILED = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
+_TAILS = [",", "...", "'", "!'\"", "%%%", "-", "_", "$+<"]
 
 
 def byte_characters() -> dict[int, int]:
@@ -81,11 +87,17 @@ class Encoder:
         self.cache, self.model = Cache(), self.tokenizer.model
         # whether this vocabulary's model takes words as it is asked here
         self.direct = [self._of_word(p) for p in _PROBES] == self._of_any(_PROBES)
+        tailed = self._of_any([p + t for p in _PROBES for t in _TAILS])
+        self.tailed = self.direct and tailed == [self._of_word(p) + t for p in _PROBES for t in self._of_any(_TAILS)]
+        self.counted = Memo(self._count)
 
-    def _of_word(self, word: str) -> bytes:
+    def _tokens(self, word: str) -> list:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_BYTES)
-        return np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
+        return self.model.tokenize(word)
+
+    def _of_word(self, word: str) -> bytes:
+        return np.array([t.id for t in self._tokens(word)], self.dtype).tobytes()
 
     def _of_any(self, pieces: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -103,6 +115,19 @@ class Encoder:
         end = np.array([end_id], self.dtype).tobytes()
         return [b"".join([*map(known.__getitem__, s), end]) for s in split]
 
+    def _count(self, piece: str) -> int:
+        if self.direct and _WORD.fullmatch(piece):
+            return len(self._tokens(piece))
+        found = _TAILED.fullmatch(piece) if self.tailed else None
+        if found:
+            return len(self._tokens(found[1])) + self.counted[found[2]]
+        return len(self._of_any([piece])[0]) // self.width
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Numbers of the ids of texts, without an end; ids are not kept."""
+        known = self.counted.__getitem__
+        return [sum(map(known, lowered(t).replace("\n", " ").split(" "))) for t in texts]
+
 
 _encoders: dict[str, Encoder] = {}
 

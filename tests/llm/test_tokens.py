@@ -16,7 +16,7 @@ from rowgate.llm import records
 from rowgate.llm.crc32c import _plain, crc32c, masked
 from rowgate.llm.records import Encoder, op3_records, read_index, read_records, read_shards, scan_shard, write_records
 from rowgate.llm.token_counts import count_tokens, op8_token_counts, pre_tokens
-from rowgate.llm.tokens import Cache
+from rowgate.llm.tokens import Cache, Memo
 
 SF_DIR = "/root/testdata/sf0.01"
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -48,6 +48,36 @@ def test_counts_are_the_library_s(text):
     assert total == len(library.encode(text, add_special_tokens=False).ids)
 
 
+@settings(max_examples=1500, deadline=None)
+@given(texts)
+def test_numbers_of_ids_are_the_library_s(text):
+    expected = LIBRARY[WORDS].encode(text, add_special_tokens=False).ids
+    assert ENCODER.counts([text, None, text]) == [len(expected), 0, len(expected)]
+
+
+def test_counting_asks_once_and_keeps_no_ids(monkeypatch):
+    """Signs after words, known and new, are counted apart from them; the rest goes to the library once."""
+    encoder, asked = Encoder(WORDS), []
+    of_any = encoder._of_any
+    monkeypatch.setattr(encoder, "_of_any", lambda pieces: asked.extend(pieces) or of_any(pieces))
+    words = [a + b for a in ("wort", "été", "straße", "mot") for b in "abcdefghijklmnopqrstuvwxyz"]
+    text = "\n".join(w + tail for w in words for tail in ("", ",", ".%%%", "***", "!'")) + " 555-1234 a@b.cd"
+    expected = len(LIBRARY[WORDS].encode(text, add_special_tokens=False).ids)
+    assert encoder.counts([text, text.upper().replace("SS", "ß")]) == [expected] * 2
+    assert sorted(asked) == sorted([",", ".%%%", "***", "!'", "555-1234", "a@b.cd"])
+    assert not encoder.cache.young and not encoder.cache.old
+
+
+def test_memo_stays_small():
+    made = []
+    memo = Memo(lambda p: made.append(p) or len(p), 10)
+    for k in range(30):
+        assert memo["again"] == 5 and memo[f"p{k}"] == len(f"p{k}")
+        assert len(memo) <= 5 and len(memo.old) <= 5
+    assert made.count("again") == 1 and len(made) == 31
+    assert memo["z" * 65] == 65 == memo["z" * 65] and made.count("z" * 65) == 2
+
+
 def test_crc32c():
     assert crc32c([b"123456789", b"", b"abc"]) == [0xE3069283, 0, _plain(b"abc")]
     rng = np.random.default_rng(0)
