@@ -21,6 +21,8 @@ stay exact at any bucket size.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,12 +46,9 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = encoded(text).translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return np.array([digest(joined, SEED)], np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-size].tolist()]
-    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())], np.uint64)
+    # no Python code per shingle
+    runs = map(b" ".join, zip(*(words[k:] for k in range(size)))) if len(words) > size else [b" ".join(words)]
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, runs, repeat(SEED))), ">u8").astype(np.uint64)
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rowgate.llm.components import components
-from rowgate.llm.simhash import fingerprint, keep_one, links, near_duplicates, op5_simhash
+from rowgate.llm.simhash import fingerprint, keep_one, links, near_duplicates, op5_simhash, shingle_hashes
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -47,6 +47,16 @@ def test_fingerprint(text):
     assert fingerprint(text) & (1 << 64) - 1 == plain_fingerprint(text)
 
 
+def test_shingles_of_every_size():
+    words = ["a", "Été", "x" * 3000, "a", "a", "ß.", "b"]
+    for size in range(1, 9):
+        runs = [words[k : k + size] for k in range(max(1, len(words) - size + 1))]
+        expected = [xxhash.xxh64_intdigest(" ".join(r).replace("É", "\0").lower().replace("\0", "É").encode(), 42) for r in runs]
+        found = shingle_hashes(" \t" + "  ".join(words) + "\n", size)
+        assert found.dtype == "uint64" and found.tolist() == expected
+    assert shingle_hashes(" \n").tolist() == shingle_hashes(None).tolist() == []
+
+
 def test_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
     fps = {r.doc_id: plain_fingerprint(r.text) for r in docs}
