@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 import pytest
+from compare import difference
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from __spark_entry__ import oracle_sql, queries
 from rowgate.functions.row_checks import code_issues, with_field_issues, with_schema_issues
 from rowgate.functions.text import python_float, python_string, strip
 from rowgate.operators import is_valid, validate_rows
@@ -322,3 +325,25 @@ def test_python_texts(spark):
     padded = [" \t  x　\x1f\n", "​x", ""]
     df = spark.createDataFrame([(s,) for s in padded], "s string")
     assert [r[0] for r in df.select(strip(F.col("s"))).collect()] == [s.strip() for s in padded]
+
+
+def test_text_compression_of_no_characters(spark, tmp_path):
+    name = "profile_text_compression"
+    texts = ["", "x", "twelve chars", "lorem ipsum " * 20]
+    counted = [(i, texts[i % 4], 0) for i in range(60)] + [(60 + i, t, len(t)) for i, t in enumerate(texts[1:])]
+    rows = spark.createDataFrame(counted, "doc_id bigint, text string, n_chars bigint")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    checked = queries()[name](spark, str(tmp_path))
+    assert difference(checked, duck, oracle_sql()[name]) is None
+    above = "$.target_ratio: value above maximum 0.9"
+    assert checked.where(F.col("issues").contains(above)).where("doc_id < 60").count() == 60
+
+
+def test_text_compression_of_nulls(spark, tmp_path):
+    rows = [(0, None, 0), (1, None, 5), (2, "lorem ipsum " * 20, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries()["profile_text_compression"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    missing = [f"$: missing required field '{n}'" for n in ("source_text", "compressed_text", "target_ratio")]
+    assert [row.issues for row in found] == ["; ".join(missing), "; ".join(missing), missing[2]]
